@@ -215,11 +215,9 @@ def complete_years(
     kind = df.schema[year].dataType
     in_range = F.when(F.col(year).between(first, last), F.col(year).cast("int"))
     present = df.groupBy(*unit).agg(F.collect_set(in_range).alias("_present"))
-    missing = present.select(
-        *unit,
-        F.explode(
-            F.array_except(F.sequence(F.lit(first), F.lit(last)), F.col("_present"))
-        ).cast(kind).alias(year),
+    absent = F.array_except(F.sequence(F.lit(first), F.lit(last)), F.col("_present"))
+    missing = present.select(*unit, F.explode(absent).alias(year)).withColumn(
+        year, F.col(year).cast(kind)
     )
     return df.unionByName(missing, allowMissingColumns=True)
 
