@@ -20,6 +20,7 @@ def local_session(app: str = "panelwright", cores: str = "8", **conf: str) -> Sp
         .config("spark.sql.shuffle.partitions", cores if cores != "*" else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
