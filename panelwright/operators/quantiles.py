@@ -18,16 +18,19 @@ value, which leaves at most some thousand distinct doubles per wanted rank.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import present
+from ..session import BROADCAST_ROWS, frozen
 
 #: Rows that Spark's own ``percentile`` may buffer, in total or per group.
 BUFFERED_ROWS = 1_000_000
 BUFFERED_GROUP_ROWS = 10_000
 
 _SLICES = 65_536
+_SALTS = 32
 
 
 def join_keys_null_safe(
@@ -41,10 +44,21 @@ def join_keys_null_safe(
     return left.join(renamed, condition, how).drop(*[f"_r_{key}" for key in keys])
 
 
-def _buffers_suffice(values: DataFrame, by: Sequence[str], total: int, per_group: int) -> bool:
-    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
-    return (row["total"] or 0) <= total or row["largest"] <= per_group
+@dataclass(frozen=True)
+class GroupSizes:
+    """What one cheap aggregate tells about the groups of a frame."""
+
+    total: int
+    largest: int
+    groups: int
+
+
+def group_sizes(df: DataFrame, by: Sequence[str]) -> GroupSizes:
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(
+        F.sum("n").alias("total"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("groups")
+    ).first()
+    return GroupSizes(row["total"] or 0, row["largest"] or 0, row["groups"])
 
 
 def quantile_columns(
@@ -54,6 +68,7 @@ def quantile_columns(
     by: Sequence[str] = (),
     buffered_rows: int = BUFFERED_ROWS,
     buffered_group_rows: int = BUFFERED_GROUP_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """One row per group: the group columns, then one column per named quantile.
 
@@ -61,16 +76,13 @@ def quantile_columns(
     """
     by = list(by)
     number = F.col(value).cast("double")
-    values = df.select(*by, number.alias("_v"))
-    complete = values.where(present(F.col("_v")))
-    if _buffers_suffice(complete, by, buffered_rows, buffered_group_rows):
-        wanted = F.expr(
-            "percentile(CASE WHEN NOT isnan(_v) THEN _v END, array(%s))"
-            % ", ".join(f"{p!r}D" for p in probs.values())
-        )
+    values = df.select(*by, F.when(present(number), number).alias("_v"))
+    sizes = sizes or group_sizes(values, by)
+    if sizes.total <= buffered_rows or sizes.largest <= buffered_group_rows:
+        wanted = F.expr("percentile(_v, array(%s))" % ", ".join(f"{p!r}D" for p in probs.values()))
         packed = values.groupBy(*by).agg(wanted.alias("_q"))
         return packed.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-    found = _by_narrowing(complete, by, probs)
+    found = _by_narrowing(values.where(F.col("_v").isNotNull()), by, probs, sizes)
     groups = values.select(*by).distinct() if by else None
     return join_keys_null_safe(groups, found, by, "left") if by else found
 
@@ -86,60 +98,72 @@ def _slice(value: Column, low: Column, high: Column) -> Column:
     return F.coalesce(F.least(inside, F.lit(_SLICES - 1)), F.lit(0)).cast("long")
 
 
-def _locate(buckets: DataFrame, wanted: DataFrame | None, path: Sequence[str], bucket: str,
-            by: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """The bucket of every wanted rank, with the rank counted from the bucket's start."""
-    inside = W.partitionBy(*path) if path else W.partitionBy(F.lit(0))
-    upto = inside.orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)
-    counted = buckets.withColumn("_end", F.sum("_n").over(upto)).withColumn(
-        "_start", F.col("_end") - F.col("_n")
-    )
-    if wanted is None:
-        # First level: ranks follow from the group size.
-        size = F.sum("_n").over(inside)
-        ranks = F.array_distinct(F.array(*[
-            F.struct(
-                F.lit(float(p)).alias("_p"), position.alias("_position"), side.alias("_whole")
-            )
-            for p in sorted(set(probs))
-            for position in [(F.col("_size") - 1) * F.lit(float(p))]
-            for side in (F.floor(position), F.ceil(position))
-        ]))
-        targets = (
-            counted.withColumn("_size", size)
-            .select("*", F.inline(ranks))
-            .withColumn("_rank", F.col("_whole"))
-            .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
-        )
-    else:
-        targets = join_keys_null_safe(
-            counted, wanted.select(*path, "_p", "_rank", "_position", "_whole"), path
-        ).where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
-    return targets.withColumn("_rank", F.col("_rank") - F.col("_start"))
+def _ranks(probs: Sequence[float]) -> Column:
+    """Both order statistics around each wanted position, as an array of structs."""
+    positions = {float(p): (F.col("_size") - 1) * F.lit(float(p)) for p in sorted(set(probs))}
+    return F.array_distinct(F.array(*[
+        F.struct(F.lit(p).alias("_p"), position.alias("_position"), side.alias("_whole"))
+        for p, position in positions.items()
+        for side in (F.floor(position), F.ceil(position))
+    ]))
+
+
+def _with_ends(buckets: DataFrame, path: Sequence[str], bucket: str) -> DataFrame:
+    """Rows before and up to each bucket; a path has a limited number of buckets."""
+    upto = W.partitionBy(*path or [F.lit(0)]).orderBy(bucket).rowsBetween(W.unboundedPreceding, 0)
+    ends = buckets.withColumn("_end", F.sum("_n").over(upto))
+    return ends.withColumn("_start", F.col("_end") - F.col("_n"))
+
+
+def _inside_bucket(targets: DataFrame) -> DataFrame:
+    """Keep the bucket of every rank and count the rank from the bucket's start."""
+    inside = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end"))
+    return targets.where(inside).withColumn("_rank", F.col("_rank") - F.col("_start"))
 
 
-def _by_narrowing(values: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
-    spread = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-    rows = values.withColumn("_b0", _coarse(F.col("_v")))
+_TARGET = ["_p", "_position", "_whole", "_rank"]
+
+
+def _by_narrowing(
+    values: DataFrame, by: list[str], probs: Mapping[str, float], sizes: GroupSizes
+) -> DataFrame:
+    few = sizes.groups * 2 * len(probs) <= BROADCAST_ROWS
+    if few:
+        rows = values.withColumn("_w", F.lit(1))
+    else:
+        # Too many wanted slices to broadcast: collapse equal values first, so
+        # that a hash of the value can spread a crowded slice over tasks.
+        rows = values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_w"))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(_SALTS)))
+
+    def only(rows: DataFrame, slices: DataFrame, path: Sequence[str]) -> DataFrame:
+        if few:
+            return join_keys_null_safe(rows, F.broadcast(slices), path)
+        salted = slices.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long"))
+        return join_keys_null_safe(rows, salted, [*path, "_salt"])
+
+    spread = [F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    rows = rows.withColumn("_b0", _coarse(F.col("_v")))
     path = [*by, "_b0"]
-    wanted = _locate(rows.groupBy(*path).agg(*spread), None, by, "_b0", by, list(probs.values()))
+    whole = W.partitionBy(*by or [F.lit(0)])
+    coarse = rows.groupBy(*path).agg(*spread).withColumn("_size", F.sum("_n").over(whole))
+    targets = _with_ends(coarse, by, "_b0").select("*", F.inline(_ranks(list(probs.values()))))
+    # The wanted slices are few; writing them keeps each level one plain scan.
+    wanted = frozen(_inside_bucket(targets.withColumn("_rank", F.col("_whole"))))
     for level in ("_b1", "_b2"):
-        brackets = wanted.select(*path, "_lo", "_hi").distinct()
-        rows = join_keys_null_safe(rows, brackets, path)
-        rows = rows.withColumn(level, _slice(F.col("_v"), F.col("_lo"), F.col("_hi")))
-        rows = rows.drop("_lo", "_hi")
-        wanted = _locate(rows.groupBy(*path, level).agg(*spread), wanted, path, level, by, [])
+        rows = only(rows, wanted.select(*path, "_lo", "_hi").distinct(), path)
+        rows = rows.withColumn(level, _slice(F.col("_v"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+        ends = _with_ends(rows.groupBy(*path, level).agg(*spread), path, level)
+        wanted = frozen(_inside_bucket(join_keys_null_safe(ends, wanted.select(*path, *_TARGET), path)))
         path = [*path, level]
-    rows = join_keys_null_safe(rows, wanted.select(*path).distinct(), path)
-    exact = _locate(
-        rows.groupBy(*path, "_v").agg(F.count(F.lit(1)).alias("_n")), wanted, path, "_v", by, []
-    )
-    weight = F.col("_position") - F.floor("_position")
+    rows = only(rows, wanted.select(*path).distinct(), path)
+    ends = _with_ends(rows.groupBy(*path, "_v").agg(F.sum("_w").alias("_n")), path, "_v")
+    exact = _inside_bucket(join_keys_null_safe(ends, wanted.select(*path, *_TARGET), path))
+
     below = F.max(F.when(F.col("_whole") == F.floor("_position"), F.col("_v")))
     above = F.max(F.when(F.col("_whole") == F.ceil("_position"), F.col("_v")))
-    pairs = exact.groupBy(*by, "_p").agg(
-        ((1 - F.first(weight)) * below + F.first(weight) * above).alias("_q")
-    )
+    weight = F.first(F.col("_position") - F.floor("_position"))
+    pairs = exact.groupBy(*by, "_p").agg(((1 - weight) * below + weight * above).alias("_q"))
     return pairs.groupBy(*by).agg(*[
         F.max(F.when(F.col("_p") == p, F.col("_q"))).alias(name) for name, p in probs.items()
     ])
@@ -154,7 +178,3 @@ def quantiles(
     pairs = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.col(n).alias("quantile"))
                       for n, p in names.items()])
     return wide.select(*by, F.inline(pairs))
-
-
-def median_column(df: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    return quantile_columns(df, value, {name: 0.5}, by)

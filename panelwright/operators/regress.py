@@ -177,87 +177,155 @@ class _Within:
     """Rows with both effects subtracted (columns named as before), and group facts."""
 
     rows: DataFrame
-    n_groups: int
-    n_levels: int
-    groups_nested: bool
-    levels_nested: bool
-
-
-def _bounded_levels(df: DataFrame, effect: str) -> list | None:
-    """Levels of an effect if there are few, else None. Reads at most one more."""
-    levels = df.select(effect).distinct().limit(SMALL_EFFECT_LEVELS + 1).collect()
-    return sorted(row[0] for row in levels) if len(levels) <= SMALL_EFFECT_LEVELS else None
+    sizes: tuple[int, int]
+    nested: tuple[bool, bool]
+    n_obs: int
+    variation: np.ndarray
+    squares: np.ndarray
 
 
-def _level_counts(small: str, levels: Sequence) -> list[Column]:
-    return [F.count_if(F.col(small) == level).alias(f"_n{i}") for i, level in enumerate(levels)]
+@dataclass(frozen=True)
+class _Levels:
+    """Per level of an effect with few levels: size, means and variances of the columns."""
+
+    values: list
+    counts: np.ndarray
+    means: np.ndarray
+    variances: np.ndarray
+    split: bool
+
+    def without_singletons(self) -> bool:
+        return bool((self.counts > 1).all())
+
+    @property
+    def variation(self) -> np.ndarray:
+        """Centred sums of squares over all rows, from level moments."""
+        overall = self.counts @ self.means / self.counts.sum()
+        return self.counts @ (self.variances + (self.means - overall) ** 2)
+
+    @property
+    def squares(self) -> np.ndarray:
+        return self.counts @ (self.variances + self.means**2)
+
+
+def _split(cluster: str) -> Column:
+    """Aggregate: whether a group spans several clusters."""
+    return (F.min(cluster) != F.max(cluster)).alias("_split")
+
+
+def _levels(df: DataFrame, effect: str, columns: Sequence[str], cluster: str) -> _Levels | None:
+    """Moments per level if the effect has few levels, else None; one aggregate."""
+    rows = df.groupBy(effect).agg(
+        F.count(F.lit(1)).alias("_n"), _split(cluster),
+        *[F.avg(c).alias(f"_a_{c}") for c in columns],
+        *[F.var_pop(c).alias(f"_s_{c}") for c in columns],
+    ).limit(SMALL_EFFECT_LEVELS + 1).collect()
+    if len(rows) > SMALL_EFFECT_LEVELS:
+        return None
+    rows.sort(key=lambda row: row[effect])
+    return _Levels(
+        [row[effect] for row in rows],
+        np.array([row["_n"] for row in rows], dtype=float),
+        np.array([[row[f"_a_{c}"] for c in columns] for row in rows]).reshape(len(rows), len(columns)),
+        np.array([[row[f"_s_{c}"] for c in columns] for row in rows]).reshape(len(rows), len(columns)),
+        any(row["_split"] for row in rows),
+    )
 
 
 def _subtract_both(
-    df: DataFrame, columns: Sequence[str], large: str, small: str, cluster: str, levels: list
+    df: DataFrame, columns: Sequence[str], large: str, small: str, cluster: str, levels: _Levels,
+    kept_in_memory: list[DataFrame], singletons: bool,
 ) -> _Within:
-    """Exact two-way demeaning where one effect has few levels."""
-    spark, n_levels = df.sparkSession, len(levels)
-    counts = [f"_n{i}" for i in range(n_levels)]
-    groups = df.groupBy(large).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.avg(c).alias(f"_m_{c}") for c in columns],
-        *_level_counts(small, levels),
-        (F.min(cluster) != F.max(cluster)).alias("_split"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        # Level sums over rows, and the same sums over group means.
-        per_level = df.groupBy(small).agg(
-            F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in columns],
-            (F.min(cluster) != F.max(cluster)).alias("_split"),
-        ).collect()
-        cells = groups.select(
-            "_n", *counts, *[f"_m_{c}" for c in columns],
-            F.posexplode(F.array(*counts)).alias("_level", "_in_level"),
-        ).where(F.col("_in_level") > 0)
-        overlap = cells.groupBy("_level").agg(
-            *[F.sum(F.col("_in_level") * F.col(c) / F.col("_n")).alias(c) for c in counts],
-            *[F.sum(F.col("_in_level") * F.col(f"_m_{c}")).alias(f"_m_{c}") for c in columns],
-        ).collect()
+    """Exact two-way demeaning where one effect has few levels.
+
+    With ``singletons`` false, groups of one row are removed until none is left.
+    """
+    while True:
+        counts = [f"_n{i}" for i in range(len(levels.values))]
+        groups = df.groupBy(large).agg(
+            F.count(F.lit(1)).alias("_n"), _split(cluster),
+            *[F.avg(c).alias(f"_m_{c}") for c in columns],
+            *[F.count_if(F.col(small) == level).alias(n) for n, level in zip(counts, levels.values)],
+        ).persist(StorageLevel.MEMORY_AND_DISK)
+        kept_in_memory.append(groups)
         facts = groups.agg(
-            F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("_split"), F.lit(False)).alias("split")
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("_n") == 1).alias("lonely"),
+            F.max("_n").alias("largest"), F.coalesce(F.bool_or("_split"), F.lit(False)).alias("split"),
         ).first()
-
-        position = {level: i for i, level in enumerate(levels)}
-        system = np.zeros((n_levels, n_levels))
-        right = np.zeros((n_levels, len(columns)))
-        for row in per_level:
-            i = position[row[small]]
-            system[i, i] += row["_n"]
-            right[i] += [row[c] for c in columns]
-        for row in overlap:
-            i = row["_level"]
-            system[i] -= [row[c] for c in counts]
-            right[i] -= [row[f"_m_{c}"] for c in columns]
-        effects = np.linalg.pinv(system, rcond=1e-10, hermitian=True) @ right
-
-        offset = {
-            c: F.col(f"_m_{c}") - sum(
+        if singletons or (facts["lonely"] == 0 and levels.without_singletons()):
+            break
+        if facts["lonely"]:
+            lonely = groups.where(F.col("_n") == 1).select(large)
+            df = df.join(
+                F.broadcast(lonely) if facts["lonely"] <= BROADCAST_ROWS else lonely, large, "left_anti"
+            )
+        rare = [value for value, n in zip(levels.values, levels.counts) if n == 1]
+        if rare:
+            df = df.where(~F.col(small).isin(*rare))
+        levels = _levels(df, small, columns, cluster)
+        if not levels.values:
+            raise ValueError("no rows are left once singletons are removed")
+
+    # The level effects solve a system with one row per level: level sums over
+    # rows minus the same sums over group means.
+    cells = groups.select(
+        "_n", *counts, *[f"_m_{c}" for c in columns],
+        F.posexplode(F.array(*counts)).alias("_level", "_in_level"),
+    ).where(F.col("_in_level") > 0)
+    overlap = cells.groupBy("_level").agg(
+        *[F.sum(F.col("_in_level") * F.col(c) / F.col("_n")).alias(c) for c in counts],
+        *[F.sum(F.col("_in_level") * F.col(f"_m_{c}")).alias(f"_m_{c}") for c in columns],
+    ).collect()
+    system = np.diag(levels.counts)
+    right = levels.counts[:, None] * levels.means
+    for row in overlap:
+        system[row["_level"]] -= [row[c] for c in counts]
+        right[row["_level"]] -= [row[f"_m_{c}"] for c in columns]
+    effects = np.linalg.pinv(system, rcond=1e-10, hermitian=True) @ right
+
+    offsets = groups.select(large, "_n", *[
+        (
+            F.col(f"_m_{c}") - sum(
                 (F.col(n) * F.lit(float(effects[i, k])) for i, n in enumerate(counts)), F.lit(0.0)
             ) / F.col("_n")
-            for k, c in enumerate(columns)
-        }
-        offsets = groups.select(large, *[o.alias(f"_group_{c}") for c, o in offset.items()])
-        if facts["n"] <= BROADCAST_ROWS:
-            offsets = F.broadcast(offsets)
-        # At most SMALL_EFFECT_LEVELS rows.
-        level_rows = F.broadcast(spark.createDataFrame(
-            [(level, *map(float, effects[i])) for level, i in position.items()],
-            [small, *[f"_level_{c}" for c in columns]],
-        ).withColumn(small, F.col(small).cast(df.schema[small].dataType)))
-        rows = df.join(offsets, large).join(level_rows, small).withColumns({
-            c: F.col(c) - F.col(f"_group_{c}") - F.col(f"_level_{c}") for c in columns
-        }).select(*df.columns)
-        return _Within(
-            rows, facts["n"], n_levels, not facts["split"], not any(r["_split"] for r in per_level)
-        )
-    finally:
-        groups.unpersist()
+        ).alias(f"_group_{c}")
+        for k, c in enumerate(columns)
+    ])
+    # At most SMALL_EFFECT_LEVELS rows.
+    level_rows = F.broadcast(df.sparkSession.createDataFrame(
+        [(level, *map(float, effects[i])) for i, level in enumerate(levels.values)],
+        [small, *[f"_level_{c}" for c in columns]],
+    ).withColumn(small, F.col(small).cast(df.schema[small].dataType)))
+    n_obs = int(levels.counts.sum())
+    placed = _join_offsets(df, offsets, large, facts["n"], facts["largest"], n_obs)
+    rows = placed.join(level_rows, small).withColumns({
+        c: F.col(c) - F.col(f"_group_{c}") - F.col(f"_level_{c}") for c in columns
+    }).select(*df.columns)
+    return _Within(
+        rows, (facts["n"], len(levels.values)), (not facts["split"], not levels.split),
+        n_obs, levels.variation, levels.squares,
+    )
+
+
+def _join_offsets(
+    df: DataFrame, offsets: DataFrame, key: str, n_groups: int, largest: int, n_rows: int
+) -> DataFrame:
+    """Bring group offsets (with group size ``_n``) to the rows.
+
+    Few groups are broadcast. Many groups are shuffled, except that groups
+    above a thousandth of all rows - there are at most a thousand of them - are
+    still broadcast, so their rows never have to meet in one task.
+    """
+    if n_groups <= BROADCAST_ROWS:
+        return df.join(F.broadcast(offsets.drop("_n")), key)
+    limit = n_rows / 1_000
+    if largest <= limit:
+        return df.join(offsets.drop("_n"), key)
+    crowded = F.broadcast(offsets.where(F.col("_n") > limit).drop("_n"))
+    ordinary = offsets.where(F.col("_n") <= limit).drop("_n")
+    return df.join(crowded, key).unionByName(
+        df.join(crowded.select(key), key, "left_anti").join(ordinary, key)
+    )
 
 
 def _subtract_alternating(
@@ -265,56 +333,61 @@ def _subtract_alternating(
     tolerance: float = 1e-8, rounds: int = 1_000,
 ) -> _Within:
     """Two large effects: subtract means in turn until nothing changes any more."""
-    sizes = []
-    for effect in effects:
-        groups = df.groupBy(effect).agg((F.min(cluster) != F.max(cluster)).alias("_split"))
-        sizes.append(groups.agg(
+    facts = [
+        df.groupBy(effect).agg(_split(cluster)).agg(
             F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("_split"), F.lit(False)).alias("split")
-        ).first())
+        ).first()
+        for effect in effects
+    ]
     rows = frozen(df)
-    scale = rows.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    before = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.var_pop(c).alias(f"v_{c}") for c in columns],
+        *[F.sum(F.col(c) * F.col(c)).alias(f"s_{c}") for c in columns],
+    ).first()
+    spread = {c: before[f"v_{c}"] ** 0.5 or 1.0 for c in columns}
     for _ in range(rounds):
-        before = rows
         for effect in effects:
             means = rows.groupBy(effect).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-            joined = rows.join(means, effect)
-            # The last step's change is what the next round would still remove.
-            rows = joined.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in columns})
-            rows = rows.select(*before.columns, *(
-                [F.greatest(*[
-                    F.abs(F.col(f"_m_{c}")) / (scale[c] or 1.0) for c in columns
-                ], F.lit(0.0)).alias("_change")] if effect == effects[-1] else []
-            ))
+            # What the second effect still removes is the change of this round.
+            rows = rows.join(means, effect).select(
+                *[c for c in df.columns if c not in columns],
+                *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns],
+                F.greatest(F.lit(0.0), *[F.abs(F.col(f"_m_{c}")) / spread[c] for c in columns]).alias("_change"),
+            )
         rows = frozen(rows)
         change = rows.agg(F.max("_change")).first()[0] or 0.0
         rows = rows.drop("_change")
         if change < tolerance:
             return _Within(
-                rows, sizes[0]["n"], sizes[1]["n"], not sizes[0]["split"], not sizes[1]["split"]
+                rows, tuple(f["n"] for f in facts), tuple(not f["split"] for f in facts), before["n"],
+                np.array([before[f"v_{c}"] * before["n"] for c in columns]),
+                np.array([before[f"s_{c}"] for c in columns]),
             )
     raise RuntimeError("alternating demeaning did not converge")
 
 
-def _within(df: DataFrame, columns: Sequence[str], effects: Sequence[str], cluster: str) -> _Within:
-    large, small = effects
-    levels = _bounded_levels(df, small)
-    if levels is not None:
-        return _subtract_both(df, columns, large, small, cluster, levels)
-    levels = _bounded_levels(df, large)
-    if levels is not None:
-        w = _subtract_both(df, columns, small, large, cluster, levels)
-        return replace(
-            w, n_groups=w.n_levels, n_levels=w.n_groups,
-            groups_nested=w.levels_nested, levels_nested=w.groups_nested,
-        )
-    return _subtract_alternating(df, columns, effects, cluster)
+def _within(
+    df: DataFrame, columns: Sequence[str], effects: Sequence[str], cluster: str,
+    kept_in_memory: list[DataFrame], singletons: bool,
+) -> _Within:
+    """Subtract both effects, by the exact plan whenever one effect has few levels."""
+    first, second = effects
+    for large, small in ((first, second), (second, first)):
+        levels = _levels(df, small, columns, cluster)
+        if levels is not None:
+            if not levels.values:
+                raise ValueError("no complete rows")
+            return _subtract_both(df, columns, large, small, cluster, levels, kept_in_memory, singletons)
+    rows = df if singletons else drop_singletons(df, effects)
+    return _subtract_alternating(rows, columns, effects, cluster)
 
 
 def demean_fixed_effects(df: DataFrame, columns: Sequence[str], effects: Sequence[str]) -> DataFrame:
     """The columns with the group means of one or two fixed effects removed."""
     if len(effects) == 1:
         return demean_one(df, columns, effects[0], suffix="").select(*df.columns)
-    return _within(df, columns, effects, effects[0]).rows.select(*df.columns)
+    return _within(df, columns, effects, effects[0], [], singletons=True).rows.select(*df.columns)
 
 
 def independent_terms(
@@ -352,80 +425,53 @@ def _square(row, names: Sequence[str], prefix: str) -> np.ndarray:
 
 def fe_ols(df: DataFrame, spec: ModelSpec) -> Fit:
     """Fit one model."""
-    rows = design_matrix(df, spec).persist(StorageLevel.MEMORY_AND_DISK)
+    design = design_matrix(df, spec).persist(StorageLevel.MEMORY_AND_DISK)
+    kept_in_memory = [design]
     try:
-        return _fit(drop_singletons(rows, spec.effects), spec)
+        return _fit(design, spec, kept_in_memory)
     finally:
-        rows.unpersist()
+        for frame in kept_in_memory:
+            frame.unpersist()
 
 
-def _fit(design: DataFrame, spec: ModelSpec) -> Fit:
-    terms = [t.name for t in spec.terms]
+def _fit(design: DataFrame, spec: ModelSpec, kept_in_memory: list[DataFrame]) -> Fit:
+    source = [spec.outcome, *[t.name for t in spec.terms]]
     # Plain internal names: term labels may hold characters SQL would parse.
-    names = [f"_z{i}" for i in range(len(terms) + 1)]
+    names = [f"_z{i}" for i in range(len(source))]
     keys = list(dict.fromkeys([*spec.effects, spec.cluster]))
-    source = [spec.outcome, *terms]
-    rows = design.select(*keys, *[
-        F.col(f"`{old}`").alias(new) for old, new in zip(source, names)
-    ])
-    before = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(names)],
-        *[F.sum(F.col(c) * F.col(c)).alias(f"s{i}") for i, c in enumerate(names)],
-    ).first()
-    n = before["n"]
-    if n == 0:
-        raise ValueError(f"model {spec.name}: no complete rows")
-    within = _within(rows, names, spec.effects, spec.cluster)
+    rows = design.select(*keys, *[F.col(f"`{old}`").alias(new) for old, new in zip(source, names)])
+    within = _within(rows, names, spec.effects, spec.cluster, kept_in_memory, singletons=False)
 
     clusters = within.rows.groupBy(spec.cluster).agg(*[
         F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in _pairs(names)
     ]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        total = clusters.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in _pairs(names)],
-        ).first()
-        products = _square(total, names, "p")
-        variation = np.array([before[f"v{i}"] * n for i in range(len(names))])
-        squares = np.array([before[f"s{i}"] for i in range(len(names))])
-        kept = [k + 1 for k in independent_terms(products[1:, 1:], variation[1:], squares[1:])]
-        bread = np.linalg.inv(products[np.ix_(kept, kept)]) if kept else np.zeros((0, 0))
-        beta = bread @ products[kept, 0]
-
-        meat = np.zeros((len(kept), len(kept)))
-        if kept:
-            def product(i: int, j: int) -> Column:
-                return F.col(f"p{min(i, j)}_{max(i, j)}")
-
-            score = {
-                f"g{a}": product(0, i) - sum(
-                    (product(i, j) * F.lit(float(b)) for j, b in zip(kept, beta)), F.lit(0.0)
-                )
-                for a, i in enumerate(kept)
-            }
-            outer = clusters.select(*[c.alias(name) for name, c in score.items()]).agg(*[
-                F.sum(F.col(f"g{a}") * F.col(f"g{b}")).alias(f"g{a}_{b}") for a, b in _pairs(kept)
-            ]).first()
-            meat = _square(outer, kept, "g")
-        n_clusters = total["n"]
-    finally:
-        clusters.unpersist()
+    kept_in_memory.append(clusters)
+    total = clusters.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in _pairs(names)],
+    ).first()
+    n, n_clusters, products = within.n_obs, total["n"], _square(total, names, "p")
+    kept = [
+        k + 1
+        for k in independent_terms(products[1:, 1:], within.variation[1:], within.squares[1:])
+    ]
+    inner = products[np.ix_(kept, kept)]
+    bread = np.linalg.inv(inner) if kept else inner
+    beta = bread @ products[kept, 0]
+    meat = _score_products(clusters, kept, beta) if kept else inner
 
     # Parameters: slopes and all effect levels; for the small-sample factor the
     # levels of an effect nested in the clusters are left out.
-    sizes = (within.n_groups, within.n_levels)
-    nested = (within.groups_nested, within.levels_nested)
-    parameters = len(kept) + sum(sizes) - 1
-    counted = parameters - sum(size - 1 for size, inside in zip(sizes, nested) if inside)
+    parameters = len(kept) + sum(within.sizes) - 1
+    counted = parameters - sum(size - 1 for size, inside in zip(within.sizes, within.nested) if inside)
     factor = 1.0
     if n_clusters > 1 and n > counted:
         factor = n_clusters / (n_clusters - 1) * (n - 1) / (n - counted)
-    variance = np.diag(bread @ meat @ bread) * factor if kept else np.array([])
-    errors = np.sqrt(np.maximum(variance, 0.0))
+    errors = np.sqrt(np.maximum(np.diag(bread @ meat @ bread) * factor, 0.0))
 
-    residual = products[0, 0] - 2 * beta @ products[kept, 0] + beta @ products[np.ix_(kept, kept)] @ beta
-    r2 = 1 - residual / variation[0] if variation[0] > 0 else float("nan")
+    residual = products[0, 0] - beta @ products[kept, 0]
+    variation = within.variation[0]
+    r2 = 1 - residual / variation if variation > 0 else float("nan")
     within_r2 = 1 - residual / products[0, 0] if products[0, 0] > 0 else float("nan")
     adj_r2 = 1 - (1 - r2) * (n - 1) / (n - parameters) if n > parameters else float("nan")
     labels = [source[k] for k in kept]
@@ -436,11 +482,26 @@ def _fit(design: DataFrame, spec: ModelSpec) -> Fit:
         for label in labels if std_errors[label] > 0
     }
     return Fit(
-        spec.name, design.sparkSession, tuple(terms), estimates, std_errors, p_values,
-        int(n), int(n_clusters), float(r2), float(adj_r2), float(within_r2),
+        spec.name, design.sparkSession, tuple(source[1:]), estimates, std_errors, p_values,
+        n, int(n_clusters), float(r2), float(adj_r2), float(within_r2),
     )
 
 
+def _score_products(clusters: DataFrame, kept: Sequence[int], beta: np.ndarray) -> np.ndarray:
+    """Sum over clusters of the outer product of each cluster's score."""
+    def product(i: int, j: int) -> Column:
+        return F.col(f"p{min(i, j)}_{max(i, j)}")
+
+    scores = clusters.select(*[
+        (product(0, i) - sum((product(i, j) * F.lit(float(b)) for j, b in zip(kept, beta)), F.lit(0.0))
+         ).alias(f"g{a}")
+        for a, i in enumerate(kept)
+    ])
+    outer = scores.agg(*[
+        F.sum(F.col(f"g{a}") * F.col(f"g{b}")).alias(f"g{a}_{b}") for a, b in _pairs(kept)
+    ]).first()
+    return _square(outer, kept, "g")
+
 
 def drop_collinear(df: DataFrame, spec: ModelSpec) -> DataFrame:
     """Which terms a fit keeps and which it drops as redundant."""

@@ -8,16 +8,15 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.numeric import present, safe_corr
+from ..session import BROADCAST_ROWS
 from .distributions import student_t_two_sided
 from .filters import drop_na_listwise
-from .quantiles import join_keys_null_safe, quantile_columns
+from .quantiles import group_sizes, join_keys_null_safe, quantile_columns
 
-T_SCHEMA = "double"
-
-
-@F.pandas_udf(T_SCHEMA)
+@F.pandas_udf(DoubleType())
 def t_test_p_value(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Two-sided Student t probability; used on result rows only, never on data rows."""
     for statistic, freedom in batches:
@@ -108,7 +107,12 @@ def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], **limits: int) -
     rows = df.where(present(F.col(value).cast("double"))).select(
         *by, F.col(value).cast("double").alias("_v")
     )
-    boxes = quantile_columns(rows, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, **limits)
+    sizes = group_sizes(rows, by)
+    boxes = quantile_columns(
+        rows, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, sizes=sizes, **limits
+    )
+    if sizes.groups <= BROADCAST_ROWS:
+        boxes = F.broadcast(boxes)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     fenced = join_keys_null_safe(rows, boxes, by)
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)

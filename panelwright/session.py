@@ -55,13 +55,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the copy.
+    """Write ``df`` to a new table in the shared folder and continue from the copy.
 
     Used where later steps must see one and the same row placement (range
-    blocks) or where a loop would otherwise grow the plan.
+    blocks), or where a loop would otherwise grow the plan.  Unlike an RDD
+    checkpoint the rows are computed only once and stay columnar.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "frozen")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def has_at_most(df: DataFrame, limit: int) -> bool:

@@ -23,18 +23,14 @@ def join_inner_key(t):
 
 
 @query("join_left_dim", """
-WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS firm FROM orders),
-     d AS (SELECT CASE WHEN c_custkey = 5 THEN NULL ELSE c_custkey END AS firm, c_mktsegment
-           FROM customer WHERE c_custkey % 4 = 1)
-SELECT o_orderkey, o.firm, c_mktsegment FROM o LEFT JOIN d ON o.firm IS NOT DISTINCT FROM d.firm""")
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS firm FROM orders),
+     d AS (SELECT CASE WHEN c_acctbal >= 0 THEN c_custkey END AS firm, min(c_mktsegment) AS segment FROM customer GROUP BY 1)
+SELECT o_orderkey, o.firm, segment FROM o LEFT JOIN d ON o.firm IS NOT DISTINCT FROM d.firm""")
 def join_left_dim(t):
-    # A third of the facts has no firm id, and the dimension has such a row too.
-    facts = t.orders.select(
-        "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("firm")
-    )
-    dim = t.customer.where(F.col("c_custkey") % 4 == 1).select(
-        F.when(F.col("c_custkey") != 5, F.col("c_custkey")).alias("firm"), "c_mktsegment"
-    )
+    # A large part of the facts has no firm id, and the dimension has such a row too.
+    facts = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")).alias("firm"))
+    firm = F.when(F.col("c_acctbal") >= 0, F.col("c_custkey")).alias("firm")
+    dim = t.customer.groupBy(firm).agg(F.min("c_mktsegment").alias("segment"))
     return joins.join_on(facts, dim, ["firm"], null_safe=True)
 
 

@@ -10,8 +10,13 @@ from .registry import query
 from .stats_queries import t_probability_sql
 from .tables import BALANCED_SQL, UNIT_YEARS_SQL, r, round_all, with_balanced, with_panel
 
-UNIT_SPEC = ModelSpec("y", (main("x1"), main("x2")), ("unit", "yr"), "firm", "unit_fe")
-NATION_SPEC = ModelSpec("y", (main("x1"), main("x2")), ("nation", "yr"), "firm", "nation_fe")
+
+def unit_spec() -> ModelSpec:
+    return ModelSpec("y", (main("x1"), main("x2")), ("unit", "yr"), "firm", "unit_fe")
+
+
+def nation_spec() -> ModelSpec:
+    return ModelSpec("y", (main("x1"), main("x2")), ("nation", "yr"), "firm", "nation_fe")
 
 
 def fit_ctes(tag: str, source: str, large: str, y: str = "y", a: str = "x1", b: str = "x2") -> str:
@@ -134,19 +139,19 @@ def drop_collinear(t):
 
 @query("fe_ols", with_balanced(", " + fit_ctes("u", "balanced", "unit") + "\n" + coefficient_rows("u", "unit_fe")))
 def fe_ols(t):
-    return rounded_coefficients(regress.fe_ols(t.balanced, UNIT_SPEC).coefficients())
+    return rounded_coefficients(regress.fe_ols(t.balanced, unit_spec()).coefficients())
 
 
 @query("fe_ols_group_effects", with_balanced(", " + fit_ctes("v", "balanced", "nation") + "\n" + coefficient_rows("v", "nation_fe")))
 def fe_ols_group_effects(t):
-    return rounded_coefficients(regress.fe_ols(t.balanced, NATION_SPEC).coefficients())
+    return rounded_coefficients(regress.fe_ols(t.balanced, nation_spec()).coefficients())
 
 
 @query("cluster_se", with_balanced(", " + fit_ctes("v", "balanced", "nation") + f"""
 SELECT 'x1' AS term, {r('se1')} AS std_error, CAST(n_c AS INTEGER) AS n_clusters FROM v_fit
 UNION ALL SELECT 'x2', {r('se2')}, CAST(n_c AS INTEGER) FROM v_fit"""))
 def cluster_se(t):
-    return round_all(regress.cluster_se(t.balanced, NATION_SPEC), "std_error")
+    return round_all(regress.cluster_se(t.balanced, nation_spec()), "std_error")
 
 
 _STATISTICS = f"n AS n_obs, n_c AS n_clusters, {r('r2')} AS r2, {r('adj_r2')} AS adj_r2, {r('within_r2')} AS within_r2"
@@ -154,7 +159,7 @@ _STATISTICS = f"n AS n_obs, n_c AS n_clusters, {r('r2')} AS r2, {r('adj_r2')} AS
 
 @query("fit_statistics", with_balanced(", " + fit_ctes("u", "balanced", "unit") + f"\nSELECT 'unit_fe' AS model, {_STATISTICS} FROM u_fit"))
 def fit_statistics(t):
-    return round_all(regress.fit_statistics(t.balanced, UNIT_SPEC), "r2", "adj_r2", "within_r2")
+    return round_all(regress.fit_statistics(t.balanced, unit_spec()), "r2", "adj_r2", "within_r2")
 
 
 _PHASES = {"p1": 1, "p2": 2, "p3": 3}
@@ -174,7 +179,7 @@ def _doubled(t):
 def model_grid(t):
     subsets = {label: F.col("phase") == k for label, k in _PHASES.items()}
     panel = _doubled(t).persist()
-    return rounded_coefficients(regress.tidy(regress.model_grid(panel, NATION_SPEC, ["y", "y2"], subsets)))
+    return rounded_coefficients(regress.tidy(regress.model_grid(panel, nation_spec(), ["y", "y2"], subsets)))
 
 
 @query("subsample_fit", with_balanced(
@@ -183,7 +188,7 @@ def model_grid(t):
 ))
 def subsample_fit(t):
     units = t.balanced.groupBy("unit").agg(F.stddev_samp("x1").alias("sd")).where(F.col("sd") > 0.5)
-    fit = regress.subsample_fit(t.balanced, UNIT_SPEC, F.col("nation") != 3, units, "unit")
+    fit = regress.subsample_fit(t.balanced, unit_spec(), F.col("nation") != 3, units, "unit")
     return rounded_coefficients(fit.coefficients())
 
 
@@ -213,7 +218,7 @@ def _table_sql() -> str:
 ))
 def regression_table(t):
     panel = t.balanced.persist()
-    fits = [regress.fe_ols(panel, UNIT_SPEC), regress.fe_ols(panel, NATION_SPEC)]
+    fits = [regress.fe_ols(panel, unit_spec()), regress.fe_ols(panel, nation_spec())]
     return regress.regression_table(fits, {"x1": "Verified", "x2": "Index"})
 
 

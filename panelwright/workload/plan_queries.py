@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.recode import first_match
-from ..plans import firms, fuel, policy, register
+from ..plans import firms, fuel, policy, register, study_models
 from .ordered_queries import SHAREHOLDERS_SQL, shareholder_cells
 from .registry import query
 from .scalar_queries import FUEL_TEXTS_SQL, fuel_text
@@ -372,19 +372,20 @@ def daily_prices(t):
 
 
 def tax_sheet(t):
-    """One row per supplier with a tax id, an instrument and one column per year."""
+    """Taxes from all suppliers: an id, an instrument and one column per year."""
     ids = list(fv.TAX_COUNTRY)
-    key = F.col("s_suppkey")
-    single = t.supplier.where(key < len(ids) + 3)
-    return single.select(
-        F.coalesce(F.get(F.array(*map(F.lit, ids)), key.cast("int")), F.lit("Tax_XX")).alias("Unique ID"),
-        F.col("s_name").alias("Name of the initiative"),
-        F.when(key % 5 == 4, "ETS").otherwise("Carbon tax").alias("Instrument Type"),
-        *[F.when((key + y) % 3 != 0, ((key * 7 + y) % 50).cast("string")).alias(str(y)) for y in range(2008, 2015)],
+    schemes = t.supplier.groupBy((F.col("s_suppkey") % (len(ids) + 3)).alias("k")).agg(
+        F.min("s_name").alias("name"), F.count(F.lit(1)).alias("n")
+    )
+    k = F.col("k")
+    return schemes.select(
+        F.coalesce(F.get(F.array(*map(F.lit, ids)), k.cast("int")), F.lit("Tax_XX")).alias("Unique ID"),
+        F.col("name").alias("Name of the initiative"),
+        F.when(k % 5 == 4, "ETS").otherwise("Carbon tax").alias("Instrument Type"),
+        *[F.when((k + y) % 3 != 0, ((F.col("n") + k * 7 + y) % 50).cast("string")).alias(str(y)) for y in range(2008, 2015)],
     )
 
 
-_TAX_IDS = "', '".join(fv.TAX_COUNTRY)
 _TAX_CODES = "', '".join(fv.TAX_COUNTRY.values())
 
 
@@ -392,8 +393,9 @@ _TAX_CODES = "', '".join(fv.TAX_COUNTRY.values())
 , daily AS (SELECT CAST(DATE '2008-01-01' + CAST(event_id * 37 % 2500 AS INTEGER) AS DATE) AS date, value AS price FROM events
             WHERE event_type IN ('click', 'view', 'purchase')),
 annual AS (SELECT CAST(year(date) AS INTEGER) AS year, avg(price) AS eua_price FROM daily GROUP BY year(date)),
-tax AS (SELECT (['{_TAX_CODES}'])[s_suppkey + 1] AS country, CAST(y.y AS INTEGER) AS year, CAST((s_suppkey * 7 + y.y) % 50 AS DOUBLE) AS tax
-        FROM supplier, generate_series(2008, 2014) y(y) WHERE s_suppkey < {len(fv.TAX_COUNTRY)} AND s_suppkey % 5 <> 4 AND (s_suppkey + y.y) % 3 <> 0)
+schemes AS (SELECT s_suppkey % {len(fv.TAX_COUNTRY) + 3} AS k, count(*) AS n FROM supplier GROUP BY ALL),
+tax AS (SELECT (['{_TAX_CODES}'])[k + 1] AS country, CAST(y.y AS INTEGER) AS year, CAST((n + k * 7 + y.y) % 50 AS DOUBLE) AS tax
+        FROM schemes, generate_series(2008, 2014) y(y) WHERE k < {len(fv.TAX_COUNTRY)} AND k % 5 <> 4 AND (k + y.y) % 3 <> 0)
 SELECT unit, CAST(yr + 13 AS INTEGER) AS year, {_nation_sql('nation', CODES)} AS country, {r('eua_price')} AS eua_price, coalesce(tax, 0) AS national_tax,
        {r('eua_price + coalesce(tax, 0)')} AS combined_carbon_price
 FROM panel LEFT JOIN annual a ON a.year = yr + 13 LEFT JOIN tax x ON x.year = yr + 13 AND x.country = {_nation_sql('nation', CODES)}"""))
@@ -401,3 +403,23 @@ def pipe_carbon_price(t):
     panel = t.panel.select("unit", (F.col("yr") + 13).alias("year"), iso2("nation").alias("country"))
     out = policy.carbon_price(panel, daily_prices(t), tax_sheet(t))
     return round_all(out.select("unit", "year", "country", "eua_price", "national_tax", "combined_carbon_price"), "eua_price", "combined_carbon_price")
+
+
+def model_panel(t):
+    """Unbalanced panel under the study's column names."""
+    unit, yr = F.col("unit"), F.col("yr")
+    indices = t.nation_years.select("nation", "yr", F.col("idx").alias("eps"))
+    return t.panel.join(indices, ["nation", "yr"], "left").select(
+        unit.alias("installation_id"), F.col("nation").alias("registry_id"), (yr + 13).alias("year"),
+        F.col("firm").alias("bvdId"), (F.col("phase") + 1).alias("phase"), F.col("own").alias("state_ownership_pct_tv"),
+        "eps", ((F.col("nation") * yr) % 29 / 29.0).alias("v2x_polyarchy"), F.col("n_orders").alias("n_employees"),
+        F.col("abroad").alias("foreign_owned"), F.col("ratio").alias("surplus_norm"),
+        F.when(F.col("verified") > 0, F.ln("verified")).alias("log_verified"),
+        F.when(F.col("verified") > 0, F.ln(F.col("verified") / F.col("allocated"))).alias("log_emissions_intensity"),
+    )
+
+
+@query("pipe_model_table")
+def pipe_model_table(t):
+    # No closed form in SQL for an unbalanced panel; tested against explicit dummies.
+    return study_models.published_table(model_panel(t), "log_verified_by_phase")
