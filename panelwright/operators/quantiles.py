@@ -139,7 +139,8 @@ def _by_narrowing(
     def only(rows: DataFrame, slices: DataFrame, path: Sequence[str]) -> DataFrame:
         if few:
             return join_keys_null_safe(rows, F.broadcast(slices), path)
-        salted = slices.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long"))
+        salts = F.array(*[F.lit(salt).cast("long") for salt in range(_SALTS)])
+        salted = slices.withColumn("_salt", F.explode(salts))
         return join_keys_null_safe(rows, salted, [*path, "_salt"])
 
     spread = [F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]

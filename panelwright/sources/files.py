@@ -60,12 +60,16 @@ def read_sheet_export(
 def stage_write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     """Persist a stage to a path that must not exist yet.
 
-    A stage never overwrites a path it may have read from; a rewrite gets a new path.
+    A stage never overwrites a path it may have read from; a rewrite gets a new
+    path.  Before a partitioned write the rows are rebalanced by the partition
+    columns: few files per partition, and a crowded partition is split.
     """
-    writer = df.write.mode("errorifexists")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("errorifexists").partitionBy(
+            *partition_by
+        ).parquet(path)
+    else:
+        df.write.mode("errorifexists").parquet(path)
     return path
 
 
