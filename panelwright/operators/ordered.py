@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import growth
-from ..session import frozen
+from ..session import broadcast_if_small, frozen
 from .quantiles import join_keys_null_safe
 
 #: Rows per block when blocks are cut by row number, and blocks per super block.
@@ -156,7 +156,7 @@ def ffill_by_level(
     them back, so a hot level is never windowed as a whole.
     """
     cells = df.groupBy(level, year).agg(F.max(value).alias(value))
-    filled = ffill_group(cells, [level], [year], [value], bounded=True)
+    filled = broadcast_if_small(ffill_group(cells, [level], [year], [value], bounded=True))
     return join_keys_null_safe(df.drop(value), filled, [level, year], "left").select(*df.columns)
 
 

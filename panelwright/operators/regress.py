@@ -21,16 +21,18 @@ effect with T levels (years):
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.fixed_values import STAR_LEVELS
 from ..functions.numeric import nan_to_null
-from ..session import BROADCAST_ROWS, frozen
+from ..session import BROADCAST_ROWS, broadcast_if_small, frozen
 from .distributions import stars, student_t_two_sided
 from .quantiles import quantile_columns
 
@@ -166,7 +168,7 @@ def drop_singletons(df: DataFrame, effects: Sequence[str]) -> DataFrame:
 def demean_one(df: DataFrame, columns: Sequence[str], effect: str, suffix: str = "_within") -> DataFrame:
     """Subtract group means of one effect: aggregate, then join the means back."""
     means = df.groupBy(effect).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
-    joined = df.join(means, effect)
+    joined = df.join(broadcast_if_small(means), effect)
     return joined.withColumns(
         {f"{c}{suffix}": F.col(c) - F.col(f"_mean_{c}") for c in columns}
     ).drop(*[f"_mean_{c}" for c in columns])
@@ -532,11 +534,20 @@ def model_grid(
     df: DataFrame, spec: ModelSpec, outcomes: Sequence[str], subsets: Mapping[str, Column]
 ) -> list[Fit]:
     """One specification over outcomes x subsets of the same panel."""
-    return [
-        fe_ols(df, replace(spec, outcome=outcome, where=condition, name=f"{outcome}_{label}"))
+    return fit_all(df, [
+        replace(spec, outcome=outcome, where=condition, name=f"{outcome}_{label}")
         for outcome in outcomes
         for label, condition in subsets.items()
-    ]
+    ])
+
+
+def fit_all(df: DataFrame, specs: Sequence[ModelSpec], at_once: int = 4) -> list[Fit]:
+    """Fit several models of one (persisted) panel, a few of them at the same time.
+
+    The fits share nothing but the panel, so their Spark jobs may overlap.
+    """
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(inheritable_thread_target(df.sparkSession)(partial(fe_ols, df)), specs))
 
 
 def tidy(fits: Sequence[Fit]) -> DataFrame:

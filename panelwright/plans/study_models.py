@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.regress import (
-    Fit, ModelSpec, Term, computed, crossed, fe_ols, interaction, main, regression_table,
+    Fit, ModelSpec, Term, computed, crossed, fit_all, interaction, main, regression_table,
 )
 
 INTENSITY, VERIFIED, SURPLUS = "log_emissions_intensity", "log_verified", "surplus_norm"
@@ -171,7 +171,7 @@ def fit_table(panel: DataFrame, table: str) -> list[Fit]:
     columns = [c for c in PANEL_COLUMNS if c in panel.columns]
     narrow = panel.select(*columns).persist()
     try:
-        return [fe_ols(narrow, spec) for spec in TABLES[table]()]
+        return fit_all(narrow, TABLES[table]())
     finally:
         narrow.unpersist()
 

@@ -22,6 +22,7 @@ def local_session(app: str = "panelwright", cores: str = "8", **conf: str) -> Sp
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -66,15 +67,13 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def has_at_most(df: DataFrame, limit: int) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no further than that."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count check; otherwise the plan is left to AQE.
+    """A derived lookup table, broadcast only if its row count allows it.
 
-    Beyond the limit the join runs as a shuffle join, where adaptive execution
-    splits skewed partitions of the larger side.
+    The table is written once, so the check and the join share one computation,
+    and a large fact table on the other side need not be shuffled.  Beyond the
+    limit the join runs as a shuffle join, where adaptive execution splits the
+    skewed partitions of the larger side.
     """
-    return F.broadcast(df) if has_at_most(df, limit) else df
+    table = frozen(df)
+    return F.broadcast(table) if table.count() <= limit else table

@@ -218,7 +218,7 @@ def _table_sql() -> str:
 ))
 def regression_table(t):
     panel = t.balanced.persist()
-    fits = [regress.fe_ols(panel, unit_spec()), regress.fe_ols(panel, nation_spec())]
+    fits = regress.fit_all(panel, [unit_spec(), nation_spec()])
     return regress.regression_table(fits, {"x1": "Verified", "x2": "Index"})
 
 

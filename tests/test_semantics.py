@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import numeric, recode, text
 from panelwright.operators import aggregates, filters, joins, projection, reshape, stats
-from panelwright.session import has_at_most
+from panelwright.session import broadcast_if_small
 
 
 def one(spark, column, **values):
@@ -197,8 +197,10 @@ def test_histogram_maximum_is_in_the_last_bin(spark):
     assert bins == {**{b: 1 for b in range(1, 10)}, 10: 2}
 
 
-def test_has_at_most(spark):
-    assert has_at_most(spark.range(5), 5) and not has_at_most(spark.range(6), 5)
+@pytest.mark.parametrize("rows, hinted", [(5, True), (6, False)])
+def test_broadcast_only_below_the_limit(spark, rows, hinted):
+    plan = broadcast_if_small(spark.range(rows), 5)._jdf.queryExecution().logical().toString()
+    assert ("ResolvedHint" in plan or "UnresolvedHint" in plan) == hinted
 
 
 def test_wholly_owned_option(spark):
