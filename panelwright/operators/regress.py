@@ -210,17 +210,32 @@ class _Levels:
         return self.counts @ (self.variances + self.means**2)
 
 
+def _exprs(*texts: str) -> list[Column]:
+    """Columns from SQL text: one call each, where expression trees would take dozens."""
+    return [F.expr(text) for text in texts]
+
+
+def _dot(columns: Sequence[str], weights: Sequence[float]) -> str:
+    """SQL: sum of columns times constant weights.
+
+    The weights form one array constant, which generated code refers to by
+    position, so that the code is compiled once and not for every fit.
+    """
+    pairs = f"zip_with(array({', '.join(columns)}), array({', '.join(f'{float(w)!r}D' for w in weights)}), (a, b) -> a * b)"
+    return f"aggregate({pairs}, 0D, (total, x) -> total + x)"
+
+
 def _split(cluster: str) -> Column:
     """Aggregate: whether a group spans several clusters."""
-    return (F.min(cluster) != F.max(cluster)).alias("_split")
+    return F.expr(f"min(`{cluster}`) != max(`{cluster}`) AS _split")
 
 
 def _levels(df: DataFrame, effect: str, columns: Sequence[str], cluster: str) -> _Levels | None:
     """Moments per level if the effect has few levels, else None; one aggregate."""
     rows = df.groupBy(effect).agg(
-        F.count(F.lit(1)).alias("_n"), _split(cluster),
-        *[F.avg(c).alias(f"_a_{c}") for c in columns],
-        *[F.var_pop(c).alias(f"_s_{c}") for c in columns],
+        _split(cluster),
+        *_exprs("count(1) AS _n", *[f"avg(`{c}`) AS `_a_{c}`" for c in columns],
+                *[f"var_pop(`{c}`) AS `_s_{c}`" for c in columns]),
     ).limit(SMALL_EFFECT_LEVELS + 1).collect()
     if len(rows) > SMALL_EFFECT_LEVELS:
         return None
@@ -245,15 +260,15 @@ def _subtract_both(
     while True:
         counts = [f"_n{i}" for i in range(len(levels.values))]
         groups = df.groupBy(large).agg(
-            F.count(F.lit(1)).alias("_n"), _split(cluster),
-            *[F.avg(c).alias(f"_m_{c}") for c in columns],
+            _split(cluster),
+            *_exprs("count(1) AS _n", *[f"avg(`{c}`) AS `_m_{c}`" for c in columns]),
             *[F.count_if(F.col(small) == level).alias(n) for n, level in zip(counts, levels.values)],
         ).persist(StorageLevel.MEMORY_AND_DISK)
         kept_in_memory.append(groups)
-        facts = groups.agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col("_n") == 1).alias("lonely"),
-            F.max("_n").alias("largest"), F.coalesce(F.bool_or("_split"), F.lit(False)).alias("split"),
-        ).first()
+        facts = groups.agg(*_exprs(
+            "count(1) AS n", "count_if(_n = 1) AS lonely", "max(_n) AS largest",
+            "coalesce(bool_or(_split), false) AS split",
+        )).first()
         if singletons or (facts["lonely"] == 0 and levels.without_singletons()):
             break
         if facts["lonely"]:
@@ -271,13 +286,13 @@ def _subtract_both(
     # The level effects solve a system with one row per level: level sums over
     # rows minus the same sums over group means.
     cells = groups.select(
-        "_n", *counts, *[f"_m_{c}" for c in columns],
-        F.posexplode(F.array(*counts)).alias("_level", "_in_level"),
-    ).where(F.col("_in_level") > 0)
-    overlap = cells.groupBy("_level").agg(
-        *[F.sum(F.col("_in_level") * F.col(c) / F.col("_n")).alias(c) for c in counts],
-        *[F.sum(F.col("_in_level") * F.col(f"_m_{c}")).alias(f"_m_{c}") for c in columns],
-    ).collect()
+        "_n", *counts, *[f"`_m_{c}`" for c in columns],
+        F.expr(f"posexplode(array({', '.join(counts)})) AS (_level, _in_level)"),
+    ).where("_in_level > 0")
+    overlap = cells.groupBy("_level").agg(*_exprs(
+        *[f"sum(_in_level * {c} / _n) AS {c}" for c in counts],
+        *[f"sum(_in_level * `_m_{c}`) AS `_m_{c}`" for c in columns],
+    )).collect()
     system = np.diag(levels.counts)
     right = levels.counts[:, None] * levels.means
     for row in overlap:
@@ -285,14 +300,9 @@ def _subtract_both(
         right[row["_level"]] -= [row[f"_m_{c}"] for c in columns]
     effects = np.linalg.pinv(system, rcond=1e-10, hermitian=True) @ right
 
-    offsets = groups.select(large, "_n", *[
-        (
-            F.col(f"_m_{c}") - sum(
-                (F.col(n) * F.lit(float(effects[i, k])) for i, n in enumerate(counts)), F.lit(0.0)
-            ) / F.col("_n")
-        ).alias(f"_group_{c}")
-        for k, c in enumerate(columns)
-    ])
+    offsets = groups.select(f"`{large}`", "_n", *_exprs(*[
+        f"`_m_{c}` - {_dot(counts, effects[:, k])} / _n AS `_group_{c}`" for k, c in enumerate(columns)
+    ]))
     # At most SMALL_EFFECT_LEVELS rows.
     level_rows = F.broadcast(df.sparkSession.createDataFrame(
         [(level, *map(float, effects[i])) for i, level in enumerate(levels.values)],
@@ -300,9 +310,9 @@ def _subtract_both(
     ).withColumn(small, F.col(small).cast(df.schema[small].dataType)))
     n_obs = int(levels.counts.sum())
     placed = _join_offsets(df, offsets, large, facts["n"], facts["largest"], n_obs)
-    rows = placed.join(level_rows, small).withColumns({
-        c: F.col(c) - F.col(f"_group_{c}") - F.col(f"_level_{c}") for c in columns
-    }).select(*df.columns)
+    rows = placed.join(level_rows, small).select(*_exprs(*[
+        f"`{c}` - `_group_{c}` - `_level_{c}` AS `{c}`" if c in columns else f"`{c}`" for c in df.columns
+    ]))
     return _Within(
         rows, (facts["n"], len(levels.values)), (not facts["split"], not levels.split),
         n_obs, levels.variation, levels.squares,
@@ -444,14 +454,13 @@ def _fit(design: DataFrame, spec: ModelSpec, kept_in_memory: list[DataFrame]) ->
     rows = design.select(*keys, *[F.col(f"`{old}`").alias(new) for old, new in zip(source, names)])
     within = _within(rows, names, spec.effects, spec.cluster, kept_in_memory, singletons=False)
 
-    clusters = within.rows.groupBy(spec.cluster).agg(*[
-        F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in _pairs(names)
-    ]).persist(StorageLevel.MEMORY_AND_DISK)
+    clusters = within.rows.groupBy(spec.cluster).agg(*_exprs(*[
+        f"sum({names[i]} * {names[j]}) AS p{i}_{j}" for i, j in _pairs(names)
+    ])).persist(StorageLevel.MEMORY_AND_DISK)
     kept_in_memory.append(clusters)
-    total = clusters.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(f"p{i}_{j}").alias(f"p{i}_{j}") for i, j in _pairs(names)],
-    ).first()
+    total = clusters.agg(*_exprs(
+        "count(1) AS n", *[f"sum(p{i}_{j}) AS p{i}_{j}" for i, j in _pairs(names)]
+    )).first()
     n, n_clusters, products = within.n_obs, total["n"], _square(total, names, "p")
     kept = [
         k + 1
@@ -491,17 +500,13 @@ def _fit(design: DataFrame, spec: ModelSpec, kept_in_memory: list[DataFrame]) ->
 
 def _score_products(clusters: DataFrame, kept: Sequence[int], beta: np.ndarray) -> np.ndarray:
     """Sum over clusters of the outer product of each cluster's score."""
-    def product(i: int, j: int) -> Column:
-        return F.col(f"p{min(i, j)}_{max(i, j)}")
+    def product(i: int, j: int) -> str:
+        return f"p{min(i, j)}_{max(i, j)}"
 
-    scores = clusters.select(*[
-        (product(0, i) - sum((product(i, j) * F.lit(float(b)) for j, b in zip(kept, beta)), F.lit(0.0))
-         ).alias(f"g{a}")
-        for a, i in enumerate(kept)
-    ])
-    outer = scores.agg(*[
-        F.sum(F.col(f"g{a}") * F.col(f"g{b}")).alias(f"g{a}_{b}") for a, b in _pairs(kept)
-    ]).first()
+    scores = clusters.select(*_exprs(*[
+        f"{product(0, i)} - {_dot([product(i, j) for j in kept], beta)} AS g{a}" for a, i in enumerate(kept)
+    ]))
+    outer = scores.agg(*_exprs(*[f"sum(g{a} * g{b}) AS g{a}_{b}" for a, b in _pairs(kept)])).first()
     return _square(outer, kept, "g")
 
 
