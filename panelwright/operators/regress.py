@@ -34,7 +34,7 @@ from ..functions.fixed_values import STAR_LEVELS
 from ..functions.numeric import nan_to_null
 from ..session import BROADCAST_ROWS, broadcast_if_small, frozen
 from .distributions import stars, student_t_two_sided
-from .quantiles import quantile_columns
+from .quantiles import join_keys_null_safe, quantile_columns
 
 #: Levels the small fixed effect may have for the exact one-pass plan.
 SMALL_EFFECT_LEVELS = 200
@@ -141,28 +141,28 @@ def design_matrix(df: DataFrame, spec: ModelSpec) -> DataFrame:
     ).dropna()
 
 
-def _singletons(df: DataFrame, effect: str) -> DataFrame:
-    return df.groupBy(effect).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1).select(effect)
-
-
 def drop_singletons(df: DataFrame, effects: Sequence[str]) -> DataFrame:
-    """Remove groups of one row, for every effect, until none is left."""
-    for round_number in range(1, 1_000):
-        lonely = {e: _singletons(df, e) for e in effects}
-        counts = reduce(DataFrame.unionByName, [
-            rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(e).alias("effect"), "n")
-            for e, rows in lonely.items()
-        ])
-        found = {row["effect"]: row["n"] for row in counts.collect()}
-        if not any(found.values()):
-            return df
-        for effect, rows in lonely.items():
-            if found[effect]:
-                side = F.broadcast(rows) if found[effect] <= BROADCAST_ROWS else rows
-                df = df.join(side, effect, "left_anti")
-        if round_number % 3 == 0:
-            df = frozen(df)
-    raise RuntimeError("singleton removal did not settle")
+    """Remove groups of one row, for every effect, until none is left.
+
+    The rounds run on the table of effect combinations and their sizes, not on
+    the rows; rows are touched once, by an anti join with what was removed.
+    """
+    whole = frozen(df.groupBy(*effects).agg(F.count(F.lit(1)).alias("_n")))
+    cells, size = whole, whole.count()
+    while True:
+        smaller = cells
+        for effect in effects:
+            lonely = cells.groupBy(effect).agg(F.sum("_n").alias("_n")).where(F.col("_n") == 1)
+            smaller = join_keys_null_safe(smaller, lonely.select(effect), [effect], "left_anti")
+        smaller = frozen(smaller)
+        left = smaller.count()
+        if left == size:
+            break
+        cells, size = smaller, left
+    if cells is whole:
+        return df
+    removed = join_keys_null_safe(whole, cells.select(*effects), effects, "left_anti")
+    return join_keys_null_safe(df, broadcast_if_small(removed.select(*effects)), effects, "left_anti")
 
 
 def demean_one(df: DataFrame, columns: Sequence[str], effect: str, suffix: str = "_within") -> DataFrame:
@@ -257,7 +257,7 @@ def _subtract_both(
 
     With ``singletons`` false, groups of one row are removed until none is left.
     """
-    while True:
+    for cleaned in (singletons, True):
         counts = [f"_n{i}" for i in range(len(levels.values))]
         groups = df.groupBy(large).agg(
             _split(cluster),
@@ -269,16 +269,9 @@ def _subtract_both(
             "count(1) AS n", "count_if(_n = 1) AS lonely", "max(_n) AS largest",
             "coalesce(bool_or(_split), false) AS split",
         )).first()
-        if singletons or (facts["lonely"] == 0 and levels.without_singletons()):
+        if cleaned or (facts["lonely"] == 0 and levels.without_singletons()):
             break
-        if facts["lonely"]:
-            lonely = groups.where(F.col("_n") == 1).select(large)
-            df = df.join(
-                F.broadcast(lonely) if facts["lonely"] <= BROADCAST_ROWS else lonely, large, "left_anti"
-            )
-        rare = [value for value, n in zip(levels.values, levels.counts) if n == 1]
-        if rare:
-            df = df.where(~F.col(small).isin(*rare))
+        df = drop_singletons(df, [large, small])
         levels = _levels(df, small, columns, cluster)
         if not levels.values:
             raise ValueError("no rows are left once singletons are removed")

@@ -84,21 +84,26 @@ def histogram_bins(
 ) -> DataFrame:
     """Counts in equal-width bins over the common range of all facets.
 
-    The range is a pair of scalar subqueries; the maximum belongs to the last bin.
+    The range is one scalar subquery; the maximum belongs to the last bin.
     """
     rows = df.where(present(F.col(value).cast("double"))).select(
         *by, F.col(value).cast("double").alias("_v")
     )
-    low = rows.agg(F.min("_v")).scalar()
-    high = rows.agg(F.max("_v")).scalar()
+    ends = rows.agg(F.struct(F.min("_v").alias("low"), F.max("_v").alias("high"))).scalar()
+    low, high = F.col("_low"), F.col("_high")
+    rows = rows.withColumn("_ends", ends).withColumns(
+        {"_low": F.col("_ends.low"), "_high": F.col("_ends.high")}
+    )
     number = F.floor(F.try_divide(F.col("_v") - low, high - low) * bins).cast("int") + 1
     numbered = rows.withColumn("bin", F.least(F.coalesce(number, F.lit(1)), F.lit(bins)))
-    counts = numbered.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = numbered.groupBy(*by, "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.first("_low").alias("_low"), F.first("_high").alias("_high")
+    )
     width = (high - low) / bins
-    return counts.withColumns({
-        "bin_low": low + width * (F.col("bin") - 1),
-        "bin_high": low + width * F.col("bin"),
-    })
+    return counts.select(
+        *by, "bin", "n", (low + width * (F.col("bin") - 1)).alias("bin_low"),
+        (low + width * F.col("bin")).alias("bin_high"),
+    )
 
 
 def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], **limits: int) -> DataFrame:
