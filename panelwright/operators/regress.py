@@ -39,6 +39,9 @@ from .quantiles import join_keys_null_safe, quantile_columns
 #: Levels the small fixed effect may have for the exact one-pass plan.
 SMALL_EFFECT_LEVELS = 200
 
+#: Share of all rows above which a group is joined by broadcast in any case.
+CROWDED_SHARE = 1 / 1_000
+
 #: A term is redundant when less than this share of its variation is left.
 REDUNDANT_SHARE = 1e-10
 _ROUNDING_SHARE = 1e-20
@@ -318,12 +321,12 @@ def _join_offsets(
     """Bring group offsets (with group size ``_n``) to the rows.
 
     Few groups are broadcast. Many groups are shuffled, except that groups
-    above a thousandth of all rows - there are at most a thousand of them - are
-    still broadcast, so their rows never have to meet in one task.
+    above ``CROWDED_SHARE`` of all rows - there are at most a thousand of them -
+    are still broadcast, so their rows never have to meet in one task.
     """
     if n_groups <= BROADCAST_ROWS:
         return df.join(F.broadcast(offsets.drop("_n")), key)
-    limit = n_rows / 1_000
+    limit = n_rows * CROWDED_SHARE
     if largest <= limit:
         return df.join(offsets.drop("_n"), key)
     crowded = F.broadcast(offsets.where(F.col("_n") > limit).drop("_n"))

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geo import box_lower_bound_km, haversine_km
+from ..session import BROADCAST_ROWS, broadcast_if_small, frozen
 from .aggregates import keep_first
 
 #: Cell edge in degrees at level 1; each further level is eight times finer.
@@ -95,11 +96,12 @@ def nearest_match(
     """
     lat, lon = left_place
     sites = right.where(F.col(right_place[0]).isNotNull() & F.col(right_place[1]).isNotNull())
-    places = sites.select(
+    # Written once: the depth check and every level read the copy.
+    places = frozen(sites.where(F.col(country).isNotNull()).select(
         F.col(country).alias("_country"),
         F.col(right_place[0]).cast("double").alias("_lat"),
         F.col(right_place[1]).cast("double").alias("_lon"),
-    ).distinct()
+    ).distinct())
     depth = _depth(places, leaf_sites)
 
     # Work on distinct places; rows come back by an equi join at the end.
@@ -111,8 +113,10 @@ def nearest_match(
     ).distinct()
     frontier = origins.withColumn("_cell", _cell("_left.lat", "_left.lon", 0))
     for level in range(1, depth + 1):
-        frontier = _descend(frontier, _cells(places, level), within_km)
+        frontier = _descend(frontier, broadcast_if_small(_cells(places, level)), within_km)
     leaves = places.withColumn("_cell", _cell("_lat", "_lon", depth))
+    if places.count() <= BROADCAST_ROWS:
+        leaves = F.broadcast(leaves)
     candidates = frontier.join(leaves, ["_country", "_cell"]).withColumn(
         distance, haversine_km(F.col("_left.lat"), F.col("_left.lon"), F.col("_lat"), F.col("_lon"))
     )

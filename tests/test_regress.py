@@ -82,9 +82,11 @@ def test_unbalanced_fit(panel, effects):
     check(fit, dense_fit(data, "y", ["a", "b", "ab"], list(effects), "firm"), ["a", "b", "a:b"])
 
 
-def test_many_groups_use_the_split_join(panel, monkeypatch):
+@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
+def test_many_groups_use_the_split_join(panel, monkeypatch, share):
     df, data = panel
     monkeypatch.setattr(regress, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(regress, "CROWDED_SHARE", share)
     fit = regress.fe_ols(df, ModelSpec("y", (main("a"), main("b")), ("unit", "year"), "firm"))
     check(fit, dense_fit(data, "y", ["a", "b"], ["unit", "year"], "firm"), ["a", "b"])
 
