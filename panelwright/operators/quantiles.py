@@ -51,14 +51,21 @@ class GroupSizes:
     total: int
     largest: int
     groups: int
+    crowded: int
 
 
-def group_sizes(df: DataFrame, by: Sequence[str]) -> GroupSizes:
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(
-        F.sum("n").alias("total"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("groups")
+def _sizes(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def group_sizes(
+    df: DataFrame, by: Sequence[str], buffered_group_rows: int = BUFFERED_GROUP_ROWS
+) -> GroupSizes:
+    row = _sizes(df, by).agg(
+        F.sum("_n").alias("total"), F.max("_n").alias("largest"), F.count(F.lit(1)).alias("groups"),
+        F.count_if(F.col("_n") > buffered_group_rows).alias("crowded"),
     ).first()
-    return GroupSizes(row["total"] or 0, row["largest"] or 0, row["groups"])
+    return GroupSizes(row["total"] or 0, row["largest"] or 0, row["groups"], row["crowded"])
 
 
 def quantile_columns(
@@ -77,14 +84,31 @@ def quantile_columns(
     by = list(by)
     number = F.col(value).cast("double")
     values = df.select(*by, F.when(present(number), number).alias("_v"))
-    sizes = sizes or group_sizes(values, by)
+    sizes = sizes or group_sizes(values, by, buffered_group_rows)
     if sizes.total <= buffered_rows or sizes.largest <= buffered_group_rows:
-        wanted = F.expr("percentile(_v, array(%s))" % ", ".join(f"{p!r}D" for p in probs.values()))
-        packed = values.groupBy(*by).agg(wanted.alias("_q"))
-        return packed.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-    found = _by_narrowing(values.where(F.col("_v").isNotNull()), by, probs, sizes)
-    groups = values.select(*by).distinct() if by else None
-    return join_keys_null_safe(groups, found, by, "left") if by else found
+        return _buffered(values, by, probs)
+    if sizes.crowded < sizes.groups and sizes.crowded * 2 * len(probs) <= BROADCAST_ROWS:
+        # A few crowded groups among many ordinary ones: narrow only those.
+        table = frozen(_sizes(values, by).where(F.col("_n") > buffered_group_rows).select(*by))
+        crowded = F.broadcast(table)
+        ordinary = join_keys_null_safe(values, crowded, by, "left_anti")
+        return _buffered(ordinary, by, probs).unionByName(
+            _narrowed(join_keys_null_safe(values, crowded, by, "left_semi"), by, probs, True)
+        )
+    return _narrowed(values, by, probs, sizes.groups * 2 * len(probs) <= BROADCAST_ROWS)
+
+
+def _buffered(values: DataFrame, by: list[str], probs: Mapping[str, float]) -> DataFrame:
+    wanted = F.expr("percentile(_v, array(%s))" % ", ".join(f"{p!r}D" for p in probs.values()))
+    packed = values.groupBy(*by).agg(wanted.alias("_q"))
+    return packed.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+
+
+def _narrowed(
+    values: DataFrame, by: list[str], probs: Mapping[str, float], few_groups: bool
+) -> DataFrame:
+    found = _by_narrowing(values.where(F.col("_v").isNotNull()), by, probs, few_groups)
+    return join_keys_null_safe(values.select(*by).distinct(), found, by, "left") if by else found
 
 
 def _coarse(value: Column) -> Column:
@@ -125,9 +149,8 @@ _TARGET = ["_p", "_position", "_whole", "_rank"]
 
 
 def _by_narrowing(
-    values: DataFrame, by: list[str], probs: Mapping[str, float], sizes: GroupSizes
+    values: DataFrame, by: list[str], probs: Mapping[str, float], few: bool
 ) -> DataFrame:
-    few = sizes.groups * 2 * len(probs) <= BROADCAST_ROWS
     if few:
         rows = values.withColumn("_w", F.lit(1))
     else:
@@ -140,7 +163,8 @@ def _by_narrowing(
         if few:
             return join_keys_null_safe(rows, F.broadcast(slices), path)
         salts = F.array(*[F.lit(salt).cast("long") for salt in range(_SALTS)])
-        salted = slices.withColumn("_salt", F.explode(salts))
+        # The copies hide from size estimates, so the join strategy is fixed here.
+        salted = slices.withColumn("_salt", F.explode(salts)).hint("merge")
         return join_keys_null_safe(rows, salted, [*path, "_salt"])
 
     spread = [F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]

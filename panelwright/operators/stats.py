@@ -14,7 +14,7 @@ from ..functions.numeric import present, safe_corr
 from ..session import BROADCAST_ROWS
 from .distributions import student_t_two_sided
 from .filters import drop_na_listwise
-from .quantiles import group_sizes, join_keys_null_safe, quantile_columns
+from .quantiles import BUFFERED_GROUP_ROWS, group_sizes, join_keys_null_safe, quantile_columns
 
 @F.pandas_udf(DoubleType())
 def t_test_p_value(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -112,7 +112,7 @@ def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], **limits: int) -
     rows = df.where(present(F.col(value).cast("double"))).select(
         *by, F.col(value).cast("double").alias("_v")
     )
-    sizes = group_sizes(rows, by)
+    sizes = group_sizes(rows, by, limits.get("buffered_group_rows", BUFFERED_GROUP_ROWS))
     boxes = quantile_columns(
         rows, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, sizes=sizes, **limits
     )

@@ -77,14 +77,13 @@ def stage_read(t):
 @query("csv_export", "SELECT doc_id, text, lang, n_chars FROM documents")
 def csv_export(t):
     # Whole texts with line breaks and quotes survive the round trip.
-    documents = t.documents.select("doc_id", F.regexp_replace("text", "\r", "\u0001").alias("text"), "lang", "n_chars")
+    documents = t.documents.select("doc_id", "text", "lang", "n_chars")
     path = files.csv_export(documents, scratch_path(t.spark, "documents-csv"))
-    back = files.read_delimited(
+    return files.read_delimited(
         t.spark, path, "doc_id bigint, text string, lang string, n_chars bigint", multiLine="true",
         emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
         maxCharsPerColumn="-1",
     )
-    return back.withColumn("text", F.regexp_replace("text", "\u0001", "\r"))
 
 
 @query("batch_split", """

@@ -179,7 +179,9 @@ def _doubled(t):
 def model_grid(t):
     subsets = {label: F.col("phase") == k for label, k in _PHASES.items()}
     panel = _doubled(t).persist()
-    return rounded_coefficients(regress.tidy(regress.model_grid(panel, nation_spec(), ["y", "y2"], subsets)))
+    fits = regress.model_grid(panel, nation_spec(), ["y", "y2"], subsets)
+    panel.unpersist()
+    return rounded_coefficients(regress.tidy(fits))
 
 
 @query("subsample_fit", with_balanced(
@@ -219,6 +221,7 @@ def _table_sql() -> str:
 def regression_table(t):
     panel = t.balanced.persist()
     fits = regress.fit_all(panel, [unit_spec(), nation_spec()])
+    panel.unpersist()
     return regress.regression_table(fits, {"x1": "Verified", "x2": "Index"})
 
 

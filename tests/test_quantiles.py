@@ -22,10 +22,12 @@ def _frame(spark):
     return spark.createDataFrame(rows, "g string, v double"), pd.DataFrame(rows, columns=["g", "v"])
 
 
-@pytest.mark.parametrize("plan", ["buffered", "narrowing", "narrowing without broadcast"])
+@pytest.mark.parametrize("plan", ["buffered", "mixed", "narrowing", "narrowing without broadcast"])
 def test_quantiles_match_numpy(spark, monkeypatch, plan):
     df, local = _frame(spark)
     limits = {} if plan == "buffered" else {"buffered_rows": 0, "buffered_group_rows": 0}
+    if plan == "mixed":
+        limits["buffered_group_rows"] = 500
     if plan == "narrowing without broadcast":
         monkeypatch.setattr(q, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(q, "_SALTS", 4)
