@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -53,8 +54,6 @@ def split_rows(
     A missing cell stays one row.  Cells of one row must hold equally many
     parts; with ``checked`` a mismatch raises, otherwise short cells are padded.
     """
-    import re
-
     # In one row a missing cell counts as one missing part.
     parts = {
         c: F.coalesce(F.split(quoted(c), re.escape(separator)), F.array(F.lit(None).cast("string")))
@@ -79,8 +78,6 @@ def split_rows(
 
 def uneven_cells(df: DataFrame, columns: Sequence[str], separator: str = "\n") -> DataFrame:
     """Rows whose parallel cells hold different numbers of parts."""
-    import re
-
     sizes = [F.coalesce(F.size(F.split(quoted(c), re.escape(separator))), F.lit(1)) for c in columns]
     return df.where(F.least(*sizes) != F.greatest(*sizes))
 

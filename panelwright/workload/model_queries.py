@@ -8,7 +8,7 @@ from ..operators import regress
 from ..operators.regress import ModelSpec, computed, crossed, interaction, main
 from .registry import query
 from .stats_queries import t_probability_sql
-from .tables import BALANCED_SQL, UNIT_YEARS_SQL, r, round_all, with_balanced, with_panel
+from .tables import r, round_all, with_balanced, with_panel
 
 
 def unit_spec() -> ModelSpec:

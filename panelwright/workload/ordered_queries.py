@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.recode import lookup
 from ..operators import aggregates, ordered, reshape
 from .registry import query
-from .row_queries import EMPLOYEES, REVENUE, wide_revenue, wide_sql
+from .row_queries import wide_revenue
 from .tables import r, round_all, with_nation_years, with_panel
 
 

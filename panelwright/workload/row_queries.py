@@ -8,7 +8,7 @@ from ..functions.numeric import to_number
 from ..operators import filters, projection
 from ..operators.aggregates import n_distinct
 from .registry import query
-from .tables import round_all, r, with_panel
+from .tables import with_panel
 
 
 @query("project_rename", """

@@ -8,7 +8,7 @@ from ..functions import fixed_values as fv
 from ..functions import geo, numeric, recode, text
 from ..operators.projection import across_apply
 from .registry import query
-from .tables import r, round_all, rounded, with_panel
+from .tables import r, rounded, with_panel
 
 
 def period_label() -> Column:
