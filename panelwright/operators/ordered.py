@@ -33,11 +33,11 @@ def nulls_last(*names: str) -> list[Column]:
 def _range_blocks(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows with the number of their range partition, written once.
 
-    The copy in the checkpoint folder fixes the placement, so every later read
-    (also after a lost executor) sees the same blocks.
+    The number of blocks is left to adaptive execution, up to the number of
+    shuffle partitions.  The written copy fixes the placement, so every later
+    read (also after a lost executor) sees the same blocks.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *nulls_last(*names))
+    ranged = df.repartitionByRange(*nulls_last(*names))
     return frozen(ranged.withColumn("_block", F.spark_partition_id()))
 
 
@@ -64,8 +64,8 @@ def _block_ends(blocks: DataFrame, keys: Sequence[str], order: Sequence[str],
 def _handed_over(ends: DataFrame, values: Sequence[str], cumulative: bool) -> DataFrame:
     """Shift block states down by one block.
 
-    The window is over one row per block, whose number is the number of shuffle
-    partitions, not a number of data rows.
+    The window is over one row per block, of which there are at most as many as
+    shuffle partitions, not a number of data rows.
     """
     blocks = W.partitionBy(F.lit(0)).orderBy("_block")
     if cumulative:
@@ -88,7 +88,7 @@ def with_previous(
         window = W.partitionBy(*keys).orderBy(*nulls_last(*order))
         return df.withColumns({new: F.lag(v).over(window) for v, new in names.items()})
     blocks = _range_blocks(df, [*keys, *order])
-    # One row per shuffle partition: bounded by configuration, safe to broadcast.
+    # At most one row per shuffle partition: bounded by configuration, safe to broadcast.
     before = F.broadcast(_handed_over(
         _block_ends(blocks, keys, order, values, skip_missing=False), values, cumulative=False
     ))
@@ -270,9 +270,8 @@ def with_row_position(df: DataFrame, order: Sequence[str], result: str) -> DataF
     each partition; adding the sizes of the earlier partitions (one row each)
     makes the numbers global.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = frozen(
-        df.repartitionByRange(parts, *nulls_last(*order))
+        df.repartitionByRange(*nulls_last(*order))
         .sortWithinPartitions(*nulls_last(*order))
         .withColumn("_id", F.monotonically_increasing_id())
     )
@@ -285,6 +284,6 @@ def with_row_position(df: DataFrame, order: Sequence[str], result: str) -> DataF
     offsets = sizes.select(
         "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
     )
-    # One row per shuffle partition: bounded by configuration, safe to broadcast.
+    # At most one row per shuffle partition: bounded by configuration, safe to broadcast.
     placed = rows.join(F.broadcast(offsets), "_block")
     return placed.withColumn(result, F.col("_offset") + F.col("_inside") + 1).select(*df.columns, result)

@@ -10,6 +10,7 @@ from panelwright.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", cores="8")
+    # Small inputs would be coalesced into one block; keep several.
+    session = local_session("tests", cores="8", **{"spark.sql.adaptive.coalescePartitions.enabled": "false"})
     yield session
     session.stop()
