@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, secret_entropy, url_rules
+from . import decontaminate, packing, repeats, secret_entropy, url_rules
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -68,6 +68,37 @@ def op7_secret_entropy(spark, folder):
     return secret_entropy.span_report(secret_entropy.find_secrets(_table(spark, folder, "documents")))
 
 
+@_query
+def op6_repeated_windows(spark, folder):
+    done = repeats.drop_repeats(_table(spark, folder, "documents"), digest=True)
+    return done.withColumnRenamed("kept", "kept_sha256")
+
+
+_SQL["op6_repeated_windows"] = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words
+  FROM documents),
+sized AS (SELECT doc_id, words, len(words) AS n FROM docs),
+windows AS (
+  SELECT doc_id, start, md5(array_to_string(words[start + 1 : start + 20], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(0, n - 19)) AS start FROM sized WHERE n >= 20)),
+later AS (
+  SELECT doc_id, start FROM windows
+  QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, start) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS i FROM later),
+gathered AS (SELECT doc_id, list(i) AS cut FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, n, CASE WHEN cut IS NULL THEN words
+    ELSE list_transform(list_filter(list_zip(words, range(0, n)), x -> NOT list_contains(cut, x[2])), x -> x[1]) END AS kept
+  FROM sized LEFT JOIN gathered USING (doc_id))
+SELECT doc_id, n AS n_words, n - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept"""
+
+
+@_query
+def op10_edit_decontamination(spark, folder):
+    return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

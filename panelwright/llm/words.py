@@ -17,6 +17,10 @@ import pyarrow.compute as pc
 #: Bytes of text that are hashed at once; a longer single text is a batch of its own.
 CHUNK_BYTES = 1 << 21
 
+#: Bytes that are part of a word: all but white space, or only letters, digits and what is not ASCII.
+SOLID = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+ALPHANUMERIC = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit values."""
@@ -78,11 +82,12 @@ class Words:
     the end; ``start`` and ``end`` are byte places in ``data``.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, letters: np.ndarray | None = None):
+        """``letters`` says for each byte whether it is part of a word; by default all but white space is."""
         self.data, self.offsets = text_bytes(texts)
         data, offsets = self.data, self.offsets
-        space = (data == 32) | ((data >= 9) & (data <= 13))
-        solid = ~space
+        solid = (SOLID if letters is None else letters)[data]
+        space = ~solid
         first, last = solid.copy(), solid.copy()
         if len(data):
             first[1:] &= space[:-1]
