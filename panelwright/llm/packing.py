@@ -11,64 +11,97 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import frozen
 
-#: Distinct words whose ids one worker remembers; others are encoded again when they come.
-CACHE_WORDS = 300_000
+#: Words whose ids a worker remembers before it lets go of those not met since the last time it was full.
+CACHE_WORDS = 200_000
+#: Marks that are units of their own at the end of a word of letters.
+_MARKS = frozenset(",.;:!?|")
 _BREAK = re.compile(r"(?= \S)")
 _IRREGULAR = re.compile(r" \s| $")
+#: How byte-level encoders of this family cut text before they merge bytes (fixed by the vocabulary file).
+_UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
-class _Encoder:
+class Encoder:
     """Ids of whole texts, put together from the ids of words with their leading space.
 
-    A space before a visible character always begins a new unit of the byte
-    pair encoder, so the ids of a text are the ids of its words in a row.
+    A space before a visible character always begins a new unit of a byte-level
+    encoder, so the ids of a text are the ids of its words in a row.  A word
+    not met before is cut into units, whose ids the vocabulary's model gives.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        tokenizer = Tokenizer.from_file(path)
+        if not isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or tokenizer.normalizer is not None:
+            raise ValueError("a byte-level vocabulary without normaliser is needed")
+        self.tokenize = tokenizer.model.tokenize
+        # The printable stand-in of each byte: itself, or the next free code from 256 on.
+        stay = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        free = iter(range(256, 512))
+        self.shown = {b: b if b in stay else next(free) for b in range(256)}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # units that do not begin with a space
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # A word after a space is kept without it; a first word is told apart by a leading NUL and space.
-        split = []
-        for text in texts:
-            if _IRREGULAR.search(text):
-                parts = _BREAK.split(text)
-                parts = ["\0 " + parts[0], *[p[1:] for p in parts[1:]]]
+        return [self._text(text) for text in texts]
+
+    def _text(self, text: str) -> bytes:
+        if _IRREGULAR.search(text):
+            parts = _BREAK.split(text)
+            parts = [parts[0], *[p[1:] for p in parts[1:]]]
+        else:
+            parts = text.split(" ")
+        ids = list(map(self.words.get, parts))
+        ids[0] = self._fresh(parts[0])
+        if None in ids:
+            ids = [self._word(p) if i is None else i for p, i in zip(parts, ids)]
+        return b"".join(ids)
+
+    def _word(self, part: str) -> bytes:
+        """Ids of a word with a space before it."""
+        ids = self.words.get(part) or self.older.get(part)
+        if ids is None:
+            if part.isalpha():
+                ids = self._unit(" " + part)
+            elif part[-1:] in _MARKS and part[:-1].isalpha():
+                ids = self._word(part[:-1]) + self._bare(part[-1])
             else:
-                parts = text.split(" ")
-                parts[0] = "\0 " + parts[0]
-            split.append(parts)
-        get = self.known.get
-        found = [list(map(get, parts)) for parts in split]
-        missing = {p for parts, have in zip(split, found) if None in have for p, h in zip(parts, have) if h is None}
-        if missing:
-            fresh = dict(zip(missing, self._ids([p[2:] if p.startswith("\0 ") else " " + p for p in missing])))
-            found = [
-                [fresh[p] if h is None else h for p, h in zip(parts, have)] if None in have else have
-                for parts, have in zip(split, found)
-            ]
-            if len(self.known) < CACHE_WORDS:
-                self.known.update((p, b) for p, b in fresh.items() if len(p) < 64)
-        return [b"".join(have) for have in found]
-
-    def _ids(self, parts: list[str]) -> Iterator[bytes]:
-        for start in range(0, len(parts), 20_000):
-            for encoding in self.tokenizer.encode_batch_fast(parts[start : start + 20_000], add_special_tokens=False):
-                yield np.asarray(encoding.ids, "<u4").tobytes()
+                ids = self._fresh(" " + part)
+        if len(part) < 64:
+            if len(self.words) >= CACHE_WORDS:
+                self.older, self.words = self.words, {}
+            self.words[part] = ids
+        return ids
+
+    def _fresh(self, word: str) -> bytes:
+        units = _UNIT.findall(word)
+        return b"".join([self._word(u[1:]) if u[0] == " " and u[1:].isalpha() else self._bare(u) for u in units])
+
+    def _bare(self, unit: str) -> bytes:
+        ids = self.bare.get(unit)
+        if ids is None:
+            ids = self._unit(unit)
+            if len(self.bare) < CACHE_WORDS // 4 and len(unit) < 64:
+                self.bare[unit] = ids
+        return ids
+
+    def _unit(self, unit: str) -> bytes:
+        shown = unit.encode().decode("latin-1").translate(self.shown)
+        return array("I", [token.id for token in self.tokenize(shown)]).tobytes()
 
 
 _PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, local bigint"
@@ -78,7 +111,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, end_id
     encoder, part, seen = None, TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
     end = np.asarray([end_id], "<u4").tobytes()
     for batch in batches:
-        encoder = encoder or _Encoder(tokenizer)
+        encoder = encoder or Encoder(tokenizer)
         for first in range(0, batch.num_rows, 256):
             rows = batch.slice(first, 256)
             out = []
