@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, repeats, secret_entropy, url_rules
+from . import decontaminate, packing, repeats, secret_entropy, shingle_join, url_rules
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -75,23 +75,27 @@ def op6_repeated_windows(spark, folder):
 
 
 _SQL["op6_repeated_windows"] = r"""
-WITH docs AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words
-  FROM documents),
-sized AS (SELECT doc_id, words, len(words) AS n FROM docs),
+WITH cut AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') AS parts FROM documents),
+spread AS (SELECT doc_id, unnest(parts) AS word, generate_subscripts(parts, 1) AS place FROM cut),
+words AS (
+  SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i FROM spread WHERE word <> ''),
+texts AS (SELECT doc_id, list(word ORDER BY i) AS words, count(*) AS n FROM words GROUP BY doc_id),
 windows AS (
-  SELECT doc_id, start, md5(array_to_string(words[start + 1 : start + 20], ' ')) AS h
-  FROM (SELECT doc_id, words, unnest(range(0, n - 19)) AS start FROM sized WHERE n >= 20)),
-later AS (
-  SELECT doc_id, start FROM windows
-  QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, start) > 1),
+  SELECT doc_id, start, array_to_string(words[start : start + 19], ' ') AS said
+  FROM (SELECT doc_id, words, unnest(range(1, n - 18)) AS start FROM texts WHERE n >= 20)),
+later AS (SELECT doc_id, start FROM windows QUALIFY row_number() OVER (PARTITION BY said ORDER BY doc_id, start) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS i FROM later),
-gathered AS (SELECT doc_id, list(i) AS cut FROM gone GROUP BY doc_id),
 kept AS (
-  SELECT doc_id, n, CASE WHEN cut IS NULL THEN words
-    ELSE list_transform(list_filter(list_zip(words, range(0, n)), x -> NOT list_contains(cut, x[2])), x -> x[1]) END AS kept
-  FROM sized LEFT JOIN gathered USING (doc_id))
-SELECT doc_id, n AS n_words, n - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept"""
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS said
+  FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n, 0) AS n_words, coalesce(t.n, 0) - coalesce(k.n, 0) AS n_removed,
+       sha256(coalesce(k.said, '')) AS kept_sha256
+FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
+
+@_query
+def op9_shingle_join(spark, folder):
+    return shingle_join.near_duplicates(_table(spark, folder, "documents"))
 
 
 @_query
