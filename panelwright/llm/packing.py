@@ -292,7 +292,8 @@ def pack(
         histogram[length] = n
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = groups.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("local") + F.col("base")).select(
+    # Small in files but not in memory, so it is not to be broadcast.
+    ranked = pieces.join(bases.hint("merge"), ["part", "length"]).withColumn("rank", F.col("local") + F.col("base")).select(
         "id", "piece", "start", "length", "ids_crc32", "rank"
     )
     places = slots(plan(histogram, size))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, repeats, secret_entropy, shingle_join, url_rules
+from . import decontaminate, packing, pu_quality, repeats, secret_entropy, shingle_join, url_rules, vector_links
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -93,6 +93,39 @@ SELECT d.doc_id, coalesce(t.n, 0) AS n_words, coalesce(t.n, 0) - coalesce(k.n, 0
 FROM documents d LEFT JOIN texts t USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
 
 
+#: Score from which a text counts as good.
+QUALITY = 0.3
+
+
+@_query
+def op5_pu_quality(spark, folder):
+    scored = pu_quality.score_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY).cast("int"))
+
+
+@_query
+def op8_int8_links(spark, folder):
+    return vector_links.vector_links(_table(spark, folder, "embeddings"))
+
+
+_SQL["op8_int8_links"] = r"""
+WITH RECURSIVE sized AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+clean AS (
+  SELECT vec_id, label, v FROM sized
+  WHERE label IS NOT NULL AND len(v) > 0 AND list_dot_product(v, v) > 0 AND isfinite(list_sum(v))
+    AND len(v) = list_count(v)),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM clean a JOIN clean b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN roots USING (vec_id) LEFT JOIN counts USING (vec_id)"""
+
+
 @_query
 def op9_shingle_join(spark, folder):
     return shingle_join.near_duplicates(_table(spark, folder, "documents"))
