@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, pu_quality, repeats, secret_entropy, shingle_join, url_rules, vector_links
+from . import decontaminate, kneser_ney, packing, pii, pu_quality, repeats, secret_entropy, shingle_join, url_rules, vector_links
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -27,11 +27,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@_query
+def op3_kneser_ney(spark, folder):
+    docs = _table(spark, folder, "documents")
+    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    scored = kneser_ney.score_texts(docs, kneser_ney.train(docs.where(~out)))
+    return scored.withColumn("held_out", out)
+
+
 @_query
 def op4_pattern_packing(spark, folder):
     return packing.pack(_table(spark, folder, "documents"), tokenizer_path())
 
 
+@_query
+def op1_weak_pii(spark, folder):
+    return pii.find_personal_data(_table(spark, folder, "documents")).drop("found")
+
+
 #: Host, path and verdict of the rules that the query judges by.
 URL_RULES = [
     ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
