@@ -1,23 +1,63 @@
-"""A corpus pipeline over ``documents``: the stages and the query ``pipeline``."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept.  Stages decide where the texts are read, so whole texts are never
+shuffled; only the near-duplicate stage writes a numbered copy.
+"""
 
 from __future__ import annotations
 
-from panelwright.llm import packing
-from panelwright.llm.queries import tokenizer_path
+from pyspark.sql import DataFrame, SparkSession
+
+from panelwright.llm import decontaminate, packing, pu_quality, secret_entropy, shingle_join
+from panelwright.llm.queries import QUALITY, tokenizer_path
+from panelwright.session import frozen
+
+
+def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return pu_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), QUALITY)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return shingle_join.drop_near_duplicates(docs)
 
 
-def packed(spark, docs, sf_dir):
-    """Pack what is left into sequences."""
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return secret_entropy.redact_secrets(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("pack", packed)]
+STAGES = [
+    ("quality", good_texts), ("near_duplicates", one_of_each), ("decontamination", without_benchmark),
+    ("secrets", without_secrets), ("packing", packed),
+]
+#: No stage before the last can be said in SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, from the table of documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = frozen(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
 def queries() -> dict:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

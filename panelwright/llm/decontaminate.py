@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,24 +106,26 @@ def _hits(words: Words, hashes: np.ndarray, index: dict) -> Iterator[tuple[int,
         yield from map(tuple, np.unique(np.vstack(found), axis=0).tolist())
 
 
-def _matches(batches: Iterator[pa.RecordBatch], index: dict) -> Iterator[pa.RecordBatch]:
+def matches(texts: pa.Array, index: dict) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(distance, first word, word after the last) of the best match of each (text, item) that matches."""
+    words, hashes = _words(texts)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for doc, number, first in _hits(words, hashes, index):
+        _, pattern, errors = index["patterns"][number]
+        low, high = int(words.doc_start[doc]), int(words.doc_start[doc + 1])
+        begin, end = max(low, first - errors), min(high, first + len(pattern) + errors)
+        text = hashes[begin:end].tolist()
+        distance, at = myers(pattern.tolist(), text)
+        if distance <= errors:
+            _, back = myers(pattern[::-1].tolist(), text[:at][::-1])
+            found = (distance, begin + at - back - low, begin + at - low)
+            best[doc, number] = min(found, best.get((doc, number), found))
+    return best
+
+
+def _found(batches: Iterator[pa.RecordBatch], index: dict) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
-        words, hashes = _words(batch.column("text"))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        seen: dict[tuple[int, int], int] = {}
-        for doc, number, first in _hits(words, hashes, index):
-            item, pattern, errors = index["patterns"][number]
-            low, high = int(words.doc_start[doc]), int(words.doc_start[doc + 1])
-            if errors == 0 or seen.get((doc, number)) != first:
-                begin, end = max(low, first - errors), min(high, first + len(pattern) + errors)
-                text = hashes[begin:end].tolist()
-                distance, at = myers(pattern.tolist(), text)
-                if distance <= errors:
-                    _, back = myers(pattern[::-1].tolist(), text[:at][::-1])
-                    found = (distance, begin + at - back - low, begin + at - low)
-                    if found < best.get((doc, number), (len(pattern) + 1,)):
-                        best[doc, number] = found
-            seen[doc, number] = first
+        best = matches(batch.column("text"), index)
         if best:
             rows = [(doc, index["patterns"][n][0], *found) for (doc, n), found in sorted(best.items())]
             doc, item, distance, start, end = map(list, zip(*rows))
@@ -134,6 +136,34 @@ def _matches(batches: Iterator[pa.RecordBatch], index: dict) -> Iterator[pa.Reco
             )
 
 
+def _clean(batches: Iterator[pa.RecordBatch], text: str, index: dict) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, text):
+        stay = np.ones(batch.num_rows, bool)
+        stay[[doc for doc, _ in matches(batch.column(text), index)]] = False
+        yield batch.filter(pa.array(stay))
+
+
+def _indexes(items: DataFrame, key: str, text: str, max_error: float) -> Iterator[dict]:
+    """Piece indexes of the items, in blocks of BLOCK_BYTES of text."""
+    asked = items.select(
+        F.col(f"`{key}`").cast("bigint").alias("item"), F.col(f"`{text}`").cast("string").alias("words")
+    ).where(F.col("words").isNotNull())
+    blocks = max(1, math.ceil((asked.agg(F.sum(F.octet_length("words"))).first()[0] or 0) / BLOCK_BYTES))
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).collect()
+        yield piece_index([(r["item"], r["words"]) for r in own], max_error)
+
+
+def drop_leaks(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    max_error: float = 0.2,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item in the sense of ``find_leaks``."""
+    for index in _indexes(items, item_key, item_text, max_error):
+        docs = docs.mapInArrow(partial(_clean, text=text, index=index), docs.schema)
+    return docs
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
     item_text: str = "text", max_error: float = 0.2,
@@ -148,17 +178,10 @@ def find_leaks(
     not looked at.
     """
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    asked = items.select(
-        F.col(f"`{item_key}`").cast("bigint").alias("item"), F.col(f"`{item_text}`").cast("string").alias("words")
-    ).where(F.col("words").isNotNull())
-    blocks = max(1, math.ceil((asked.agg(F.sum(F.octet_length("words"))).first()[0] or 0) / BLOCK_BYTES))
-    found = None
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).collect()
-        index = piece_index([(r["item"], r["words"]) for r in own], max_error)
-        part = rows.mapInArrow(
-            partial(_matches, index=index),
-            "id bigint, item_id bigint, distance int, start_word bigint, end_word bigint",
+    parts = [
+        rows.mapInArrow(
+            partial(_found, index=index), "id bigint, item_id bigint, distance int, start_word bigint, end_word bigint"
         )
-        found = part if found is None else found.unionByName(part)
-    return found.withColumnRenamed("id", key)
+        for index in _indexes(items, item_key, item_text, max_error)
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("id", key)

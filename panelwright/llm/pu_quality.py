@@ -204,14 +204,42 @@ def score_quality(
     other.  Without a positive every score is one half.  Repeated rows stay
     rows of their own; other columns are not looked at.
     """
+    rows = _measure(docs, key, text)
+    edges, weights = _learn(rows, labels, key, label)
+    scored = rows.mapInArrow(partial(_scored, edges=edges, weights=weights), "id bigint, score double")
+    return scored.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score")
+
+
+def _measure(docs: DataFrame, key: str, text: str) -> DataFrame:
     given = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = frozen(given.mapInArrow(_measured, "id bigint, " + ", ".join(f"{f} double" for f in FEATURES)))
+    return frozen(given.mapInArrow(_measured, "id bigint, " + ", ".join(f"{f} double" for f in FEATURES)))
+
+
+def _learn(rows: DataFrame, labels: DataFrame, key: str, label: str) -> tuple[list[np.ndarray], np.ndarray]:
     good = labels.where(F.col(f"`{label}`") == 1).select(F.col(f"`{key}`").cast("bigint").alias("id")).distinct()
     train = rows.where(~held_out(F.col("id"))).join(good.withColumn("_good", F.lit(True)), "id", "left")
     train = frozen(train.withColumn("positive", F.coalesce("_good", F.lit(False))).drop("_good"))
     cuts = [i / BINS for i in range(1, BINS)] + [0.01, 0.05, 0.95, 0.99]
     found = train.agg(*[F.percentile_approx(f, cuts, 1000).alias(f) for f in FEATURES]).first()
     edges = [np.unique(found[f]) if found[f] else np.zeros(0) for f in FEATURES]
-    weights, _ = fit(train, edges)
-    scored = rows.mapInArrow(partial(_scored, edges=edges, weights=weights), "id bigint, score double")
-    return scored.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score")
+    return edges, fit(train, edges)[0]
+
+
+def _good_rows(
+    batches: Iterator[pa.RecordBatch], text: str, edges: list[np.ndarray], weights: np.ndarray, least: float,
+) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, text):
+        score = _sigmoid(design(features(batch.column(text)), edges) @ weights)
+        yield batch.filter(pa.array(score >= least))
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, least: float, key: str = "doc_id", text: str = "text", label: str = "quality",
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is ``least`` or more.
+
+    Learns like ``score_quality``; the texts are scored where they are read, so
+    they are not shuffled.
+    """
+    edges, weights = _learn(_measure(docs, key, text), labels, key, label)
+    return docs.mapInArrow(partial(_good_rows, text=text, edges=edges, weights=weights, least=least), docs.schema)

@@ -128,12 +128,17 @@ def find_secrets(
     rows = docs.select(
         F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text")
     )
-    body = F.col("_text")
+    return _with_spans(rows, "_text", window, allowed).select(
+        F.col("_key").alias(key), F.col("_text").alias(text), F.col("_base").alias("base"), F.col("_spans").alias("spans")
+    )
+
+
+def _with_spans(rows: DataFrame, text: str, window: int, allowed: Sequence[str]) -> DataFrame:
     found = {
-        f"_{kind}": matches(body, pattern if kind != "hex" else r"[0-9a-f]{24,}", kind, group, least)
+        f"_{kind}": matches(F.col(text), pattern if kind != "hex" else r"[0-9a-f]{24,}", kind, group, least)
         for kind, (pattern, group, least) in BASE.items()
     }
-    found["_entropy"] = matches(body, CANDIDATE, "entropy")
+    found["_entropy"] = matches(F.col(text), CANDIDATE, "entropy")
     rows = rows.withColumns(found)
     rows = rows.withColumn("_base", F.array_sort(F.concat(*[F.col(f"_{kind}") for kind in BASE])))
     extra = F.filter(
@@ -142,9 +147,28 @@ def find_secrets(
         & _suspect(c["value"], window, allowed),
     )
     spans = F.when(F.size("_entropy") > 0, F.array_sort(F.concat("_base", extra))).otherwise(F.col("_base"))
-    return rows.select(
-        F.col("_key").alias(key), F.col("_text").alias(text), F.col("_base").alias("base"), spans.alias("spans")
-    )
+    return rows.withColumn("_spans", spans)
+
+
+def redact_secrets(
+    docs: DataFrame, text: str = "text", length: str | None = "n_chars", window: int = 20,
+    allowed: Sequence[str] = ALLOWED,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns; secrets in the text are replaced by a mark.
+
+    ``length`` names a column with the number of characters, brought up to date
+    where the text changes.  A null text stays null.
+    """
+    whole = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)]
+    at = f"_{docs.columns.index(text)}"
+    rows = docs.select(*whole, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_body"))
+    rows = _with_spans(rows, "_body", window, allowed)
+    changed = F.size("_spans") > 0
+    rows = rows.withColumn(at, F.when(changed, redacted("_body", "_spans")).otherwise(F.col(at)))
+    if length in docs.columns:
+        n = f"_{docs.columns.index(length)}"
+        rows = rows.withColumn(n, F.when(changed, F.length(at).cast(docs.schema[length].dataType)).otherwise(F.col(n)))
+    return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def listed(spans: str) -> Column:

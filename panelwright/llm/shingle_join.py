@@ -295,3 +295,44 @@ def near_duplicates(
         "id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept")
     )
     return done.unionByName(alone).withColumnRenamed("id", key)
+
+
+def _shelve_rows(key: tuple, batches: list[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    rows = np.sort(np.concatenate([b.column("row").to_numpy() for b in batches]))
+    save(folder, f"gone-{key[0].as_py()}", rows)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64())], ["shelf"])
+
+
+def _staying(batches: Iterator[pa.RecordBatch], number: str, folder: str, names: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """Rows that are not on the shelf of their part."""
+    gone: dict[int, np.ndarray] = {}
+    for batch in batches:
+        rows = batch.column(number).to_numpy()
+        stay = np.ones(len(rows), bool)
+        for part in np.unique(rows >> _PART).tolist():
+            if part in names:
+                if part not in gone:
+                    gone[part] = load(folder, f"gone-{part}")
+                stay &= ~np.isin(rows, gone[part])
+        yield batch.filter(pa.array(stay)).drop_columns([number])
+
+
+#: Bits below the number of the task in a row number that Spark gives.
+_PART = 33
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without all but one row of each class of ``near_duplicates``.
+
+    Rows are numbered in a written copy, so repeated rows and null keys are told
+    apart.  The numbers of the rows to drop are mapped into memory where the
+    texts are read, so texts are not shuffled.
+    """
+    number = "_row" + "_" * max(map(len, docs.columns))  # longer than any given name
+    rows = frozen(docs.withColumn(number, F.monotonically_increasing_id()))
+    found = near_duplicates(rows, number, text, size, threshold)
+    gone = found.where("NOT kept").select(F.col(number).alias("row")).withColumn("shelf", F.shiftright("row", _PART))
+    folder = scratch_path(docs.sparkSession, "gone")
+    shelved = per_group(gone, ["shelf"], partial(_shelve_rows, folder=folder), "shelf bigint").collect()
+    names = frozenset(r["shelf"] for r in shelved)  # one row per task of the copy
+    return rows.mapInArrow(partial(_staying, number=number, folder=folder, names=names), docs.schema)
