@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -27,6 +28,8 @@ from .words import Words, chunks, ids
 
 #: Windows that a task gathers before it sends them on.
 FLUSH = 1 << 22
+#: Cells of each row for a window, at the average.
+CELLS = 5
 #: Cells of one merged part of the sketch, and windows of one exact group at the average.
 PART_CELLS = 1 << 25
 GROUP_WINDOWS = 1 << 20
@@ -34,21 +37,41 @@ ROWS = 2
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (hashes * _MIX[row]) >> np.uint64(64 - bits)
+@dataclass(frozen=True)
+class Shape:
+    """A sketch row of ``parts`` parts of ``2**bits`` cells."""
 
+    parts: int
+    bits: int
 
-def _sketch(batches: Iterator[pa.RecordBatch], window: int, bits: int) -> Iterator[pa.RecordBatch]:
+    @classmethod
+    def of(cls, windows: int) -> Shape:
+        """At least CELLS cells for each window."""
+        parts = windows * CELLS // PART_CELLS + 1
+        bits = PART_CELLS.bit_length() - 1
+        return cls(parts, bits if parts > 1 else max(10, min(bits, (windows * CELLS).bit_length())))
+
+    @property
+    def edges(self) -> np.ndarray:
+        return np.arange(self.parts + 1, dtype=np.uint64) << np.uint64(self.bits)
+
+    def cells(self, hashes: np.ndarray, row: int) -> np.ndarray:
+        mixed = hashes * _MIX[row]
+        part = ((mixed >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)
+        return (part << np.uint64(self.bits)) | ((mixed >> np.uint64(6)) & np.uint64((1 << self.bits) - 1))
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], window: int, shape: Shape) -> Iterator[pa.RecordBatch]:
     """Sorted cells of each row that the windows of a task hit, a cell at most twice, cut by part."""
     gathered: list[np.ndarray] = []
-    edges = np.arange(0, (1 << bits) + 1, min(PART_CELLS, 1 << bits), dtype=np.uint64)
+    edges = shape.edges
 
     def flush() -> pa.RecordBatch:
         hashes = np.concatenate(gathered)
         gathered.clear()
         rows = []
         for row in range(ROWS):
-            cells = np.sort(_cells(hashes, row, bits))
+            cells = np.sort(shape.cells(hashes, row))
             keep = np.ones(len(cells), bool)
             keep[2:] = cells[2:] != cells[:-2]
             cells = cells[keep]
@@ -71,9 +94,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], window: int, bits: int) -> Iterat
         yield flush()
 
 
-def _merge(key: tuple, groups: Iterator[pa.RecordBatch], folder: str, bits: int) -> Iterator[pa.RecordBatch]:
+def _merge(key: tuple, groups: Iterator[pa.RecordBatch], folder: str, shape: Shape) -> Iterator[pa.RecordBatch]:
     row, part = (k.as_py() for k in key)
-    counts = np.zeros(min(PART_CELLS, 1 << bits), np.uint8)
+    counts = np.zeros(1 << shape.bits, np.uint8)
     for batch in groups:
         for blob in batch.column("cells"):
             cells = expand_sorted(blob.as_py())
@@ -90,24 +113,23 @@ def _merge(key: tuple, groups: Iterator[pa.RecordBatch], folder: str, bits: int)
 class _Sketch:
     """The merged sketch, mapped into memory part by part."""
 
-    def __init__(self, folder: str, bits: int, names: list[tuple[int, int]]):
-        self.bits = bits
-        self.size = min(PART_CELLS, 1 << bits)
-        none = np.zeros(self.size // 8, np.uint8)  # of a part that no window hit
+    def __init__(self, folder: str, shape: Shape, names: list[tuple[int, int]]):
+        self.shape = shape
+        none = np.zeros((1 << shape.bits) // 8, np.uint8)  # of a part that no window hit
         there = {(row, part): load(folder, f"bits-{row}-{part}") for row, part in names}
-        self.parts = [[there.get((row, p), none) for p in range((1 << bits) // self.size)] for row in range(ROWS)]
+        self.parts = [[there.get((row, p), none) for p in range(shape.parts)] for row in range(ROWS)]
 
     def repeated(self, hashes: np.ndarray) -> np.ndarray:
         """Which hashes hit cells that are hit twice in every row."""
         left = np.arange(len(hashes))
         for row in range(ROWS):
-            cells = _cells(hashes[left], row, self.bits)
+            cells = self.shape.cells(hashes[left], row)
             order = np.argsort(cells)
             cells = cells[order]
-            cut = np.searchsorted(cells, np.arange(len(self.parts[row]) + 1, dtype=np.uint64) * np.uint64(self.size))
+            cut = np.searchsorted(cells, self.shape.edges)
             hit = np.zeros(len(cells), bool)
             for part, table in enumerate(self.parts[row]):
-                own = cells[cut[part] : cut[part + 1]] - np.uint64(part * self.size)
+                own = cells[cut[part] : cut[part + 1]] - self.shape.edges[part]
                 hit[cut[part] : cut[part + 1]] = (table[own >> np.uint64(3)] >> (own & np.uint64(7)).astype(np.uint8)) & 1
             left = np.sort(left[order[hit]])
         mask = np.zeros(len(hashes), bool)
@@ -124,7 +146,7 @@ def _firsts_of(*columns: np.ndarray) -> np.ndarray:
     return order[first]
 
 
-def _suspects(batches: Iterator[pa.RecordBatch], window: int, folder: str, bits: int, names: list, groups: int) -> Iterator[pa.RecordBatch]:
+def _suspects(batches: Iterator[pa.RecordBatch], window: int, folder: str, shape: Shape, names: list, groups: int) -> Iterator[pa.RecordBatch]:
     """Windows estimated repeated, each once per flush with its first place, cut by range of the hash."""
     sketch, gathered, seen = None, [], 0
 
@@ -145,7 +167,7 @@ def _suspects(batches: Iterator[pa.RecordBatch], window: int, folder: str, bits:
         )
 
     for batch in chunks(batches, "text"):
-        sketch = sketch or _Sketch(folder, bits, names)
+        sketch = sketch or _Sketch(folder, shape, names)
         words = Words(batch.column("text"))
         starts = words.windows(window)
         if not len(starts):
@@ -213,12 +235,12 @@ class _Firsts:
 
 
 def _keep(
-    batches: Iterator[pa.RecordBatch], window: int, folder: str, bits: int, names: list, shelves: int, shelf_names: list[int],
+    batches: Iterator[pa.RecordBatch], window: int, folder: str, shape: Shape, names: list, shelves: int, shelf_names: list[int],
     texts: bool,
 ) -> Iterator[pa.RecordBatch]:
     sketch = firsts = None
     for batch in chunks(batches, "text"):
-        sketch = sketch or _Sketch(folder, bits, names)
+        sketch = sketch or _Sketch(folder, shape, names)
         firsts = firsts or _Firsts(folder, shelves, shelf_names)
         words = Words(batch.column("text"))
         starts = words.windows(window)
@@ -276,18 +298,18 @@ def drop_repeats(
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(16, int(size * 4 // 6).bit_length())  # at least four cells for each window at six bytes a word
+    shape = Shape.of(int(size // 6))  # about as many windows as words of six bytes
     folder = scratch_path(spark, "repeats")
-    sketch = rows.mapInArrow(partial(_sketch, window=window, bits=bits), "row int, part int, cells binary")
+    sketch = rows.mapInArrow(partial(_sketch, window=window, shape=shape), "row int, part int, cells binary")
     merged = per_group(
-        sketch, ["row", "part"], partial(_merge, folder=folder, bits=bits), "row int, part int, cells bigint"
+        sketch, ["row", "part"], partial(_merge, folder=folder, shape=shape), "row int, part int, cells bigint"
     )
     tables = [(r["row"], r["part"], r["cells"]) for r in merged.collect()]  # one row per PART_CELLS cells
     names = [(row, part) for row, part, _ in tables]
     groups = max(1, sum(cells for row, _, cells in tables if row == 0) // GROUP_WINDOWS * 4)
     shelves = groups
     suspects = rows.mapInArrow(
-        partial(_suspects, window=window, folder=folder, bits=bits, names=names, groups=groups),
+        partial(_suspects, window=window, folder=folder, shape=shape, names=names, groups=groups),
         "group int, h1 binary, h2 binary, doc binary, start binary",
     )
     firsts = per_group(suspects, ["group"], partial(_group, shelves=shelves), "shelf int, doc binary, start binary")
@@ -295,7 +317,7 @@ def drop_repeats(
     shelf_names = [r["shelf"] for r in shelved.collect()]  # one row per group of windows
     return rows.mapInArrow(
         partial(
-            _keep, window=window, folder=folder, bits=bits, names=names, shelves=shelves, shelf_names=shelf_names,
+            _keep, window=window, folder=folder, shape=shape, names=names, shelves=shelves, shelf_names=shelf_names,
             texts=not digest,
         ),
         "id bigint, n_words bigint, n_removed bigint, kept string",
