@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import percent_true, present
+from ..session import frozen
 from .quantiles import join_keys_null_safe, quantile_columns
 
 
@@ -179,20 +180,25 @@ def coef_of_variation(df: DataFrame, unit: str, value: str) -> DataFrame:
 
 
 def nested_freq(
-    df: DataFrame, value: str, name: str, by: Sequence[str] = (), max_levels: int = 10_000
+    df: DataFrame, value: str, name: str, by: Sequence[str] = (), part_size: int | None = None
 ) -> DataFrame:
-    """A whole frequency table as one map cell per group.
+    """A whole frequency table as map cells, one per group.
 
-    A cell can only hold so many entries; more levels than ``max_levels`` raise
-    an error before anything is gathered, nothing is cut off silently.
+    A cell holds all levels of its group.  With ``part_size`` the levels of a
+    group are spread by hash over several rows, numbered by ``part``, of about
+    that many levels each, so that no cell grows with the data.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    levels = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_levels"))
-    widest = levels.agg(F.max("_levels").alias("m")).first()["m"] or 0
-    if widest > max_levels:
-        raise ValueError(f"{value} has {widest} levels in one group; use freq_table instead")
+    keys = list(by)
+    if part_size is not None:
+        counts = frozen(counts)
+        levels = counts.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / part_size).alias("_parts"))
+        counts = join_keys_null_safe(counts, levels, keys).withColumn(
+            "part", (F.pmod(F.xxhash64(value), F.col("_parts")) + 1).cast("int")
+        )
+        keys.append("part")
     pairs = F.collect_list(F.struct(F.col(value).cast("string"), F.col("n")))
-    return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(pairs)).alias(name))
+    return counts.groupBy(*keys).agg(F.map_from_entries(F.array_sort(pairs)).alias(name))
 
 
 def matched_vs_unmatched(

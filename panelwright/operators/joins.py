@@ -9,10 +9,13 @@ behind :func:`panelwright.session.broadcast_if_small`.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.recode import is_blank, lookup
+from ..session import broadcast_if_small
 
 
 def join_on(
@@ -26,7 +29,7 @@ def join_on(
     """Join on one or several keys, possibly named differently.
 
     ``columns`` prunes the right side. With ``null_safe`` a missing key matches
-    a missing key, as data-frame joins do.
+    a missing key, as data-frame joins do (left and inner joins).
     """
     pairs = dict(keys) if isinstance(keys, Mapping) else {key: key for key in keys}
     wanted = columns if columns is not None else [
@@ -35,11 +38,23 @@ def join_on(
     side = right.select(
         *[F.col(theirs).alias(f"_key_{ours}") for ours, theirs in pairs.items()], *wanted
     )
-    condition = F.lit(True)
-    for ours in pairs:
-        mine, theirs = F.col(ours), F.col(f"_key_{ours}")
-        condition = condition & (mine.eqNullSafe(theirs) if null_safe else mine == theirs)
-    return left.join(side, condition, how).drop(*[f"_key_{ours}" for ours in pairs])
+    their_keys = [f"_key_{ours}" for ours in pairs]
+
+    def joined(mine: DataFrame, theirs: DataFrame, equal) -> DataFrame:
+        condition = reduce(and_, [equal(F.col(ours), F.col(key)) for ours, key in zip(pairs, their_keys)])
+        return mine.join(theirs, condition, how).drop(*their_keys)
+
+    if not null_safe:
+        return joined(left, side, Column.__eq__)
+    if how not in ("left", "inner"):
+        raise ValueError("missing keys are matched in left and inner joins only")
+    # Rows without a key may be a large part of the left side.  They meet the few
+    # right rows without a key on their own, so they are not one hot key.
+    missing = reduce(or_, [F.col(ours).isNull() for ours in pairs])
+    their_missing = reduce(or_, [F.col(key).isNull() for key in their_keys])
+    keyed = joined(left.where(~missing), side.where(~their_missing), Column.__eq__)
+    blank = joined(left.where(missing), broadcast_if_small(side.where(their_missing)), Column.eqNullSafe)
+    return keyed.unionByName(blank)
 
 
 def literal_table(spark: SparkSession, rows: Mapping[str, str], key: str, value: str) -> DataFrame:

@@ -13,12 +13,13 @@ Two plans exist for lag and fill.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import growth
-from ..session import broadcast_if_small, frozen
+from ..session import broadcast_if_small, discard, frozen
 from .quantiles import join_keys_null_safe
 
 #: Rows per block when blocks are cut by row number, and blocks per super block.
@@ -33,12 +34,21 @@ def nulls_last(*names: str) -> list[Column]:
 def _range_blocks(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows with the number of their range partition, written once.
 
-    The number of blocks is left to adaptive execution, up to the number of
-    shuffle partitions.  The written copy fixes the placement, so every later
-    read (also after a lost executor) sees the same blocks.
+    The number of blocks follows the number of rows, and is at least that of the
+    shuffle partitions, of which adaptive execution may join small ones.  The
+    written copy fixes the placement, so every later read (also after a lost
+    executor) sees the same blocks.
     """
-    ranged = df.repartitionByRange(*nulls_last(*names))
-    return frozen(ranged.withColumn("_block", F.spark_partition_id()))
+    source = frozen(df)
+    blocks = math.ceil(source.count() / BLOCK_ROWS)
+    order = nulls_last(*names)
+    if blocks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        ranged = source.repartitionByRange(blocks, *order)
+    else:
+        ranged = source.repartitionByRange(*order)
+    placed = frozen(ranged.withColumn("_block", F.spark_partition_id()))
+    discard(source)
+    return placed
 
 
 def _block_ends(blocks: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -51,7 +61,8 @@ def _block_ends(blocks: DataFrame, keys: Sequence[str], order: Sequence[str],
     sort_key = F.struct(*[part for n in [*keys, *order] for part in (F.col(n).isNull(), F.col(n))])
     unit = F.struct(F.lit(1).alias("_one"), *keys)
     last_unit = blocks.groupBy("_block").agg(F.max_by(unit, sort_key).alias("_unit"))
-    of_last_unit = blocks.join(last_unit, "_block").where(
+    # One row per block.
+    of_last_unit = blocks.join(F.broadcast(last_unit), "_block").where(
         F.struct(F.lit(1).alias("_one"), *keys).eqNullSafe(F.col("_unit"))
     )
     measures = [
@@ -258,9 +269,7 @@ def reorder_levels(
 ) -> DataFrame:
     """Category labels with their rank by a statistic: one row per level."""
     per_level = df.groupBy(level).agg(statistic.alias("statistic"))
-    # One row per category label.
-    ranked = W.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("statistic"), F.asc_nulls_last(level))
-    return per_level.withColumn(result, F.row_number().over(ranked))
+    return with_row_position(per_level, ["statistic", level], result)
 
 
 def with_row_position(df: DataFrame, order: Sequence[str], result: str) -> DataFrame:

@@ -83,7 +83,8 @@ def quantile_columns(
     """
     by = list(by)
     number = F.col(value).cast("double")
-    values = df.select(*by, F.when(present(number), number).alias("_v"))
+    # The narrow table is written once; the size check and every pass read the copy.
+    values = frozen(df.select(*by, F.when(present(number), number).alias("_v")))
     sizes = sizes or group_sizes(values, by, buffered_group_rows)
     if sizes.total <= buffered_rows or sizes.largest <= buffered_group_rows:
         return _buffered(values, by, probs)
@@ -112,14 +113,19 @@ def _narrowed(
 
 
 def _coarse(value: Column) -> Column:
-    """Order-preserving bucket: sign, then logarithm of the magnitude."""
-    step = F.floor(F.ln(F.abs(value)) * 64) + 100_000
+    """Order-preserving bucket: sign, then logarithm of the magnitude; infinities are outermost."""
+    size = F.abs(value)
+    step = F.when(size == float("inf"), F.lit(1_000_000)).otherwise(F.floor(F.ln(size) * 64) + 100_000)
     return F.when(value > 0, step).when(value < 0, -step).otherwise(F.lit(0)).cast("long")
 
 
 def _slice(value: Column, low: Column, high: Column) -> Column:
-    inside = F.floor(F.try_divide(value - low, high - low) * _SLICES)
-    return F.coalesce(F.least(inside, F.lit(_SLICES - 1)), F.lit(0)).cast("long")
+    # Halves, so that the width of a bucket of huge numbers stays finite.
+    inside = F.floor(F.try_divide(value / 2 - low / 2, high / 2 - low / 2) * _SLICES)
+    # A bucket of one value, as those of the infinities, is one slice.
+    return F.when(low == high, F.lit(0)).otherwise(
+        F.coalesce(F.least(inside, F.lit(_SLICES - 1)), F.lit(0))
+    ).cast("long")
 
 
 def _ranks(probs: Sequence[float]) -> Column:
@@ -188,7 +194,8 @@ def _by_narrowing(
     below = F.max(F.when(F.col("_whole") == F.floor("_position"), F.col("_v")))
     above = F.max(F.when(F.col("_whole") == F.ceil("_position"), F.col("_v")))
     weight = F.first(F.col("_position") - F.floor("_position"))
-    pairs = exact.groupBy(*by, "_p").agg(((1 - weight) * below + weight * above).alias("_q"))
+    between = F.when(below == above, below).otherwise((1 - weight) * below + weight * above)
+    pairs = exact.groupBy(*by, "_p").agg(between.alias("_q"))
     return pairs.groupBy(*by).agg(*[
         F.max(F.when(F.col("_p") == p, F.col("_q"))).alias(name) for name, p in probs.items()
     ])

@@ -32,12 +32,14 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.fixed_values import STAR_LEVELS
 from ..functions.numeric import nan_to_null
-from ..session import BROADCAST_ROWS, broadcast_if_small, frozen
+from ..session import BROADCAST_ROWS, broadcast_if_small, discard, frozen
 from .distributions import stars, student_t_two_sided
 from .quantiles import join_keys_null_safe, quantile_columns
 
-#: Levels the small fixed effect may have for the exact one-pass plan.
+#: Levels the small fixed effect may have for the plan without rounds.  Both plans solve the same equations; the
+#: other one stops when no level effect moves by ALTERNATING_TOLERANCE standard deviations of its column.
 SMALL_EFFECT_LEVELS = 200
+ALTERNATING_TOLERANCE = 1e-11
 
 #: Share of all rows above which a group is joined by broadcast in any case.
 CROWDED_SHARE = 1 / 1_000
@@ -148,24 +150,35 @@ def drop_singletons(df: DataFrame, effects: Sequence[str]) -> DataFrame:
     """Remove groups of one row, for every effect, until none is left.
 
     The rounds run on the table of effect combinations and their sizes, not on
-    the rows; rows are touched once, by an anti join with what was removed.
+    the rows.  A round writes only the combinations that it removes, and levels
+    are counted anew from what all rounds have removed; rows are touched once.
     """
-    whole = frozen(df.groupBy(*effects).agg(F.count(F.lit(1)).alias("_n")))
-    cells, size = whole, whole.count()
+    cells = frozen(df.groupBy(*effects).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = {effect: frozen(cells.groupBy(effect).agg(F.sum("_n").alias("_n"))) for effect in effects}
+    rounds: list[DataFrame] = []
     while True:
-        smaller = cells
+        gone = reduce(DataFrame.unionByName, rounds) if rounds else None
+        lonely = None
         for effect in effects:
-            lonely = cells.groupBy(effect).agg(F.sum("_n").alias("_n")).where(F.col("_n") == 1)
-            smaller = join_keys_null_safe(smaller, lonely.select(effect), [effect], "left_anti")
-        smaller = frozen(smaller)
-        left = smaller.count()
-        if left == size:
+            left = sizes[effect]
+            if gone is not None:
+                lost = gone.groupBy(effect).agg(F.sum("_n").alias("_lost"))
+                left = join_keys_null_safe(left, lost, [effect], "left").withColumn(
+                    "_n", F.col("_n") - F.coalesce("_lost", F.lit(0))
+                )
+            alone = join_keys_null_safe(cells, left.where("_n = 1").select(effect), [effect], "left_semi")
+            lonely = alone if lonely is None else lonely.unionByName(alone)
+        if gone is not None:
+            lonely = join_keys_null_safe(lonely, gone.select(*effects), effects, "left_anti")
+        removed = frozen(lonely.distinct())
+        if removed.isEmpty():
+            discard(removed, *sizes.values())
             break
-        cells, size = smaller, left
-    if cells is whole:
+        rounds.append(removed)
+    if not rounds:
         return df
-    removed = join_keys_null_safe(whole, cells.select(*effects), effects, "left_anti")
-    return join_keys_null_safe(df, broadcast_if_small(removed.select(*effects)), effects, "left_anti")
+    removed = reduce(DataFrame.unionByName, rounds).select(*effects)
+    return join_keys_null_safe(df, broadcast_if_small(removed), effects, "left_anti")
 
 
 def demean_one(df: DataFrame, columns: Sequence[str], effect: str, suffix: str = "_within") -> DataFrame:
@@ -338,41 +351,73 @@ def _join_offsets(
 
 def _subtract_alternating(
     df: DataFrame, columns: Sequence[str], effects: Sequence[str], cluster: str,
-    tolerance: float = 1e-8, rounds: int = 1_000,
+    tolerance: float = ALTERNATING_TOLERANCE,
 ) -> _Within:
-    """Two large effects: subtract means in turn until nothing changes any more."""
+    """Two large effects: the level effects of each in turn, until they do not change any more.
+
+    The rounds run on the table of effect combinations and their sizes.  Sums of
+    the columns per level are taken once; a round needs, per level, the sum of
+    the other effect over its combinations.  Rows are touched once, at the end.
+    """
+    first, second = effects
+    rows = frozen(df)
     facts = [
-        df.groupBy(effect).agg(_split(cluster)).agg(
+        rows.groupBy(effect).agg(_split(cluster)).agg(
             F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("_split"), F.lit(False)).alias("split")
         ).first()
         for effect in effects
     ]
-    rows = frozen(df)
     before = rows.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.var_pop(c).alias(f"v_{c}") for c in columns],
         *[F.sum(F.col(c) * F.col(c)).alias(f"s_{c}") for c in columns],
     ).first()
     spread = {c: before[f"v_{c}"] ** 0.5 or 1.0 for c in columns}
-    for _ in range(rounds):
-        for effect in effects:
-            means = rows.groupBy(effect).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-            # What the second effect still removes is the change of this round.
-            rows = rows.join(means, effect).select(
-                *[c for c in df.columns if c not in columns],
-                *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns],
-                F.greatest(F.lit(0.0), *[F.abs(F.col(f"_m_{c}")) / spread[c] for c in columns]).alias("_change"),
-            )
-        rows = frozen(rows)
-        change = rows.agg(F.max("_change")).first()[0] or 0.0
-        rows = rows.drop("_change")
-        if change < tolerance:
-            return _Within(
-                rows, tuple(f["n"] for f in facts), tuple(not f["split"] for f in facts), before["n"],
-                np.array([before[f"v_{c}"] * before["n"] for c in columns]),
-                np.array([before[f"s_{c}"] for c in columns]),
-            )
-    raise RuntimeError("alternating demeaning did not converge")
+    cells = frozen(rows.groupBy(*effects).agg(F.count(F.lit(1)).alias("_n")))
+    sums = {
+        effect: frozen(rows.groupBy(effect).agg(
+            F.count(F.lit(1)).alias("_size"), *[F.sum(c).alias(f"_sum_{c}") for c in columns]
+        ))
+        for effect in effects
+    }
+
+    def solved(effect: str, other: str, known: DataFrame) -> DataFrame:
+        taken = cells.join(known, other).groupBy(effect).agg(
+            *[F.sum(F.col("_n") * F.col(f"_e_{c}")).alias(f"_taken_{c}") for c in columns]
+        )
+        return frozen(sums[effect].join(taken, effect).select(
+            effect, *[((F.col(f"_sum_{c}") - F.col(f"_taken_{c}")) / F.col("_size")).alias(f"_e_{c}") for c in columns]
+        ))
+
+    ours = frozen(sums[first].select(first, *[F.lit(0.0).alias(f"_e_{c}") for c in columns]))
+    least, idle = float("inf"), 0
+    while True:
+        theirs = solved(second, first, ours)
+        renewed = solved(first, second, theirs)
+        change = renewed.join(
+            ours.withColumnsRenamed({f"_e_{c}": f"_o_{c}" for c in columns}), first
+        ).agg(F.max(F.greatest(F.lit(0.0), *[
+            F.abs(F.col(f"_e_{c}") - F.col(f"_o_{c}")) / spread[c] for c in columns
+        ]))).first()[0] or 0.0
+        discard(ours)
+        ours = renewed
+        least, idle = (change, 0) if change < least else (least, idle + 1)
+        # Rounding may keep the last digits moving; then the changes no longer shrink.
+        if change < tolerance or idle >= 5:
+            break
+        discard(theirs)
+    theirs = solved(second, first, ours)
+    within = rows.join(ours, first).join(
+        theirs.withColumnsRenamed({f"_e_{c}": f"_f_{c}" for c in columns}), second
+    ).select(
+        *[c for c in df.columns if c not in columns],
+        *[(F.col(c) - F.col(f"_e_{c}") - F.col(f"_f_{c}")).alias(c) for c in columns],
+    ).select(*df.columns)
+    return _Within(
+        within, tuple(f["n"] for f in facts), tuple(not f["split"] for f in facts), before["n"],
+        np.array([before[f"v_{c}"] * before["n"] for c in columns]),
+        np.array([before[f"s_{c}"] for c in columns]),
+    )
 
 
 def _within(

@@ -86,21 +86,29 @@ def build_financials(
     df: DataFrame, key: str, families: Mapping[str, str], first: int, last: int,
     missing: Sequence[str] = ("n.a.",),
 ) -> DataFrame:
-    """Several wide families (``{result: column prefix}``) to one row per (key, year).
+    """Several wide families (``{result: column prefix}``) to one row per input row and year.
 
-    One unpivot over all families and one conditional aggregate, instead of an
-    unpivot per family and joins between them.
+    The years come from the column names, so every row makes its own years: no
+    shuffle, and a key that is listed twice keeps both its rows.
     """
-    columns = {n: result for result, prefix in families.items() for n in names_with_prefix(df, prefix)}
-    rows = df.select(quoted(key), *[quoted(n).cast("string").alias(n) for n in columns])
-    long = rows.unpivot([quoted(key)], [quoted(n) for n in columns], "_name", "_text")
-    family = F.lit(None).cast("string")
+    cells: dict[int, dict[str, list[str]]] = {}
     for result, prefix in families.items():
-        family = F.when(F.startswith("_name", F.lit(prefix)), F.lit(result)).otherwise(family)
-    parsed = long.select(
-        quoted(key), year_in_text(F.col("_name")).alias("year"), family.alias("_family"),
-        to_number(F.col("_text"), *missing).alias("_value"),
-    ).where(F.col("year").between(first, last))
-    return parsed.groupBy(key, "year").agg(*[
-        F.max(F.when(F.col("_family") == result, F.col("_value"))).alias(result) for result in families
-    ])
+        for name in names_with_prefix(df, prefix):
+            year = re.search(r"\d{4}", name)
+            if year and first <= int(year[0]) <= last:
+                cells.setdefault(int(year[0]), {}).setdefault(result, []).append(name)
+
+    def number(names: Sequence[str]) -> Column:
+        values = [to_number(quoted(n).cast("string"), *missing) for n in names]
+        return F.coalesce(*values, F.lit(None).cast("double"))
+
+    years = [
+        F.struct(
+            F.lit(year).cast("int").alias("year"),
+            *[number(found.get(result, [])).alias(result) for result in families],
+        )
+        for year, found in sorted(cells.items())
+    ]
+    if not years:
+        raise ValueError("no column of these families names a year of the range")
+    return df.select(quoted(key), F.inline(F.array(*years)))

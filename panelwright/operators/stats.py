@@ -132,7 +132,11 @@ def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], **limits: int) -
 
 
 def linear_trend(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Least-squares line of y on x with standard errors, one aggregate."""
+    """Least-squares line of y on x with standard errors, one aggregate.
+
+    ``residual_variance``, ``mean_x`` and ``sxx`` give the band around the line:
+    the variance at x is ``residual_variance * (1 / n + (x - mean_x)**2 / sxx)``.
+    """
     # Spark's regr_* take (y, x) and skip incomplete pairs.
     pair = (F.col(y), F.col(x))
     moments = df.groupBy(*by).agg(
@@ -154,7 +158,11 @@ def linear_trend(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataF
         .withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx"))
         .withColumn("slope_se", F.sqrt(F.try_divide(variance, F.col("_sxx"))))
         .withColumn("intercept_se", F.sqrt(variance * about_mean))
-        .select(*by, "n", "slope", "intercept", "slope_se", "intercept_se")
+        .withColumn("residual_variance", variance)
+        .select(
+            *by, "n", "slope", "intercept", "slope_se", "intercept_se", "residual_variance",
+            F.col("_mx").alias("mean_x"), F.col("_sxx").alias("sxx"),
+        )
     )
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Largest number of rows the library will ever hint as a broadcast side.
 BROADCAST_ROWS = 200_000
+#: Largest size on disk of such a side; in memory it is a few times as much.
+BROADCAST_BYTES = 16 << 20
 
 
 def local_session(app: str = "panelwright", cores: str = "8", **conf: str) -> SparkSession:
@@ -64,11 +66,39 @@ def frozen(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "frozen")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    copy = df.sparkSession.read.schema(df.schema).parquet(path)
+    copy._scratch_path = path
+    return copy
+
+
+def _place(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark's own readers see them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def discard(*copies: DataFrame) -> None:
+    """Delete frozen tables that nothing reads any more, such as those of earlier rounds of a loop."""
+    for copy in copies:
+        if path := getattr(copy, "_scratch_path", None):
+            system, place = _place(copy.sparkSession, path)
+            system.delete(place, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of the shared folder, once the results built on them are written."""
+    system, place = _place(spark, f"{shared_dir(spark).rstrip('/')}/panelwright")
+    system.delete(place, True)
+
+
+def stored_bytes(copy: DataFrame) -> int:
+    """Size on disk of a frozen table."""
+    system, place = _place(copy.sparkSession, copy._scratch_path)
+    return system.getContentSummary(place).getLength()
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A derived lookup table, broadcast only if its row count allows it.
+    """A derived lookup table, broadcast only if its rows and bytes allow it.
 
     The table is written once, so the check and the join share one computation,
     and a large fact table on the other side need not be shuffled.  Beyond the
@@ -76,4 +106,5 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     skewed partitions of the larger side.
     """
     table = frozen(df)
-    return F.broadcast(table) if table.count() <= limit else table
+    small = stored_bytes(table) <= BROADCAST_BYTES and table.count() <= limit
+    return F.broadcast(table) if small else table

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..functions.text import year_month_day
 from ..operators.ordered import with_row_position
-from ..session import scratch_path
+from ..session import frozen
 
 
 def read_delimited(
@@ -21,40 +22,80 @@ def read_delimited(
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """A written copy of records as they are read, with their file and their number in it from 1.
+
+    ``_id`` ascends in the order of the files' records; the copy fixes it.
+    """
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    rows = frozen(rows.withColumn("_id", F.monotonically_increasing_id()))
+    # Splits of a file are read by tasks of any number; places count from the start of each split.
+    splits = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    # One row per split, as many as tasks.
+    placed = rows.join(F.broadcast(splits), ["_file", "_block"])
+    return placed.withColumn("_place", F.col("_before") + F.col("_id") - F.col("_first") + 1)
+
+
 def read_headerless_skip(
     spark: SparkSession, path: str, positions: Mapping[str, int], date_position: int,
-    width: int, date_name: str = "date",
+    width: int, date_name: str = "date", skip: int = 2,
 ) -> DataFrame:
-    """File without a header and with leading note lines, addressed by position (from 1).
+    """Files without a header, whose first ``skip`` lines are notes, addressed by position (from 1).
 
-    Files are split over tasks, so lines cannot be counted off at the start;
-    note lines are recognised by having no date where data lines have one.
+    The notes are counted off at the start of every file, also when it is split
+    over tasks.  A line whose date cannot be read stays, with a null date;
+    ``undated`` counts such lines.
     """
     schema = ", ".join(f"_c{i} string" for i in range(1, width + 1))
-    raw = spark.read.schema(schema).csv(path, header=False, mode="PERMISSIVE")
-    date = F.try_to_date(F.col(f"_c{date_position}"), "yyyy-MM-dd")
+    lines = _numbered(spark.read.text(path)).where(F.col("_place") > skip)
+    cells = F.from_csv("value", schema, {"mode": "PERMISSIVE"})
+    raw = lines.where(F.trim("value") != "").select(cells.alias("_cells"))
     return raw.select(
-        date.alias(date_name),
-        *[F.col(f"_c{position}").alias(name) for name, position in positions.items()],
-    ).where(F.col(date_name).isNotNull())
+        year_month_day(F.col(f"_cells._c{date_position}")).alias(date_name),
+        *[F.col(f"_cells._c{position}").alias(name) for name, position in positions.items()],
+    )
+
+
+def undated(rows: DataFrame, date_name: str = "date") -> DataFrame:
+    """Number of rows and of those without a readable date."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(date_name).isNull()).alias("n_undated"))
 
 
 def read_sheet_export(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, kind: str = "csv"
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, kind: str = "csv",
+    skip: int = 0, position: str | None = None,
 ) -> DataFrame:
     """An exported sheet; every cell is text, conversion comes later.
 
     CSV exports need their column names declared, Parquet exports carry them.
+    ``skip`` data rows at the start of each file are left out; ``position``
+    names a column with the row's number over all files, in order of their
+    names.  Cells with line breaks keep a CSV file in one task; large sheets
+    should be exported to Parquet.
     """
     if kind == "parquet":
         sheet = spark.read.parquet(path)
-        return sheet.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in sheet.columns])
-    if columns is None:
-        raise ValueError("declare the columns of a CSV export")
-    schema = ", ".join(f"`{name}` string" for name in columns)
-    return spark.read.schema(schema).options(
-        header=True, multiLine=True, escape='"', enforceSchema=True
-    ).csv(path)
+        names = sheet.columns
+        rows = sheet.select(
+            *[F.col(f"`{c}`").cast("string").alias(c) for c in names],
+            F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.row_index") + 1).alias("_place"),
+        )
+    else:
+        if columns is None:
+            raise ValueError("declare the columns of a CSV export")
+        names = list(columns)
+        schema = ", ".join(f"`{name}` string" for name in names)
+        rows = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', enforceSchema=True).csv(path)
+        if not skip and position is None:
+            return rows
+        rows = _numbered(rows)
+    if skip:
+        rows = rows.where(F.col("_place") > skip)
+    if position is not None:
+        rows = with_row_position(rows, ["_file", "_place"], position)
+    return rows.select(*[F.col(f"`{c}`") for c in names], *([position] if position is not None else []))
 
 
 def stage_write(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
@@ -78,12 +119,6 @@ def stage_read(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(path)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to a new stage in the shared folder and read it back."""
-    spark = df.sparkSession
-    return stage_read(spark, stage_write(df, scratch_path(spark, label)))
-
-
 def csv_export(df: DataFrame, path: str) -> str:
     """Write as CSV with a header, one file per task, quotes doubled."""
     df.write.mode("errorifexists").options(header=True, escape='"').csv(path)

@@ -23,7 +23,6 @@ PLANT_UNITS = (
     "eic_p string, eic_g string, name_p string, country string, lat double, lon double, "
     "type_g string, capacity_p double"
 )
-PLANT_LINKS = "source string"
 
 #: Names of the firm export columns behind the library's short names.
 FIRM_COLUMNS = {

@@ -25,7 +25,7 @@ def read_delimited(t):
 
 
 @query("read_headerless_skip", """
-SELECT event_id, CAST(ts AS DATE) AS date,
+SELECT event_id, CASE WHEN event_id % 50 <> 7 THEN CAST(ts AS DATE) END AS date,
        CASE WHEN event_type = 'click' THEN value END AS primary_old,
        CASE WHEN event_type = 'view' THEN value END AS primary_new,
        CASE WHEN event_type = 'purchase' THEN value END AS secondary_new
@@ -35,13 +35,21 @@ def read_headerless_skip(t):
         return F.when(F.col("event_type") == kind, F.col("value").cast("string")).otherwise("")
 
     cells = [
-        F.date_format("ts", "yyyy-MM-dd"), F.col("event_id").cast("string"), F.lit(""), F.lit(""),
+        # The forms of dates that occur in such files, and a cell that is no date.
+        F.when(F.col("event_id") % 50 == 7, "n.a.").when(F.col("event_id") % 5 == 1, F.date_format("ts", "yyyy/MM/dd"))
+        .when(F.col("event_id") % 5 == 2, F.date_format("ts", "yyyyMMdd"))
+        .when(F.col("event_id") % 5 == 3, F.date_format("ts", "yyyy.M.d"))
+        .when(F.col("event_id") % 5 == 4, F.date_format("ts", "yyyy MMM d")).otherwise(F.date_format("ts", "yyyy-MM-dd")),
+        F.col("event_id").cast("string"), F.lit(""), F.lit(""),
         quote("click"), F.lit(""), F.lit(""), F.lit(""), F.lit(""), quote("view"), quote("purchase"),
     ]
-    lines = t.events.select(F.concat_ws(",", *cells).alias("value"))
-    notes = t.spark.range(2).select(F.concat(F.lit("note "), F.col("id").cast("string")).alias("value"))
+    # Every file begins with two lines of notes.
+    first = F.monotonically_increasing_id().bitwiseAND(2**33 - 1) == 0
+    line = F.concat_ws(",", *cells)
     path = scratch_path(t.spark, "daily-csv")
-    notes.unionByName(lines).write.text(path)
+    t.events.select(
+        F.when(first, F.concat(F.lit("Source, daily prices\n2008-01-01,in force\n"), line)).otherwise(line).alias("value")
+    ).write.text(path)
     raw = files.read_headerless_skip(
         t.spark, path, {"event_id": 2, "primary_old": 5, "primary_new": 10, "secondary_new": 11}, 1, 11
     )
@@ -67,11 +75,11 @@ def stage_write(t):
     return files.stage_read(t.spark, path)
 
 
-@query("stage_read", with_panel("SELECT unit, yr, allocated, verified FROM panel WHERE yr BETWEEN 1997 AND 1999"))
+@query("stage_read", with_panel("SELECT unit, yr, allocated, verified FROM panel"))
 def stage_read(t):
     path = files.stage_write(t.panel, scratch_path(t.spark, "panel-stage"), partition_by=["yr"])
     stage = files.stage_read(t.spark, path)
-    return stage.where(F.col("yr").between(1997, 1999)).select("unit", "yr", "allocated", "verified")
+    return stage.select("unit", "yr", "allocated", "verified")
 
 
 @query("csv_export", "SELECT doc_id, text, lang, n_chars FROM documents")
@@ -96,11 +104,12 @@ def batch_split(t):
 
 @query("inline_table", """
 SELECT n_nationkey, n_name, area, weight
-FROM nation JOIN (VALUES (0, 'south', 0.5), (1, 'west', 1.5), (2, 'east', 2.5)) v(k, area, weight)
-  ON n_regionkey = k""".replace("0.5", "0.5e0").replace("1.5", "1.5e0").replace("2.5", "2.5e0"))
+FROM nation JOIN (VALUES (0, 'south', 0.5e0), (1, 'west', 1.5e0), (2, 'east', 2.5e0), (3, 'north', 3.5e0), (4, 'centre', 4.5e0))
+  v(k, area, weight) ON n_regionkey = k""")
 def inline_table(t):
     areas = files.inline_table(
-        t.spark, "k int, area string, weight double", (0, "south", 0.5), (1, "west", 1.5), (2, "east", 2.5)
+        t.spark, "k int, area string, weight double",
+        (0, "south", 0.5), (1, "west", 1.5), (2, "east", 2.5), (3, "north", 3.5), (4, "centre", 4.5),
     )
     return join_on(t.nation, areas, {"n_regionkey": "k"}, how="inner").select(
         "n_nationkey", "n_name", "area", "weight"

@@ -93,11 +93,12 @@ def design_matrix(t):
 
 
 @query("demean_fixed_effects", with_balanced(f"""
-SELECT unit, yr, {r('y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY yr) + avg(y) OVER ()')} AS y,
-       {r('x1 - avg(x1) OVER (PARTITION BY unit) - avg(x1) OVER (PARTITION BY yr) + avg(x1) OVER ()')} AS x1 FROM balanced"""))
+SELECT unit, yr, {r('y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY yr) + avg(y) OVER ()', 4)} AS y,
+       {r('x1 - avg(x1) OVER (PARTITION BY unit) - avg(x1) OVER (PARTITION BY yr) + avg(x1) OVER ()', 4)} AS x1 FROM balanced"""))
 def demean_fixed_effects(t):
     out = regress.demean_fixed_effects(t.balanced.select("unit", "yr", "y", "x1"), ["y", "x1"], ["unit", "yr"])
-    return round_all(out, "y", "x1").withColumns({c: F.col(c) + 0.0 for c in ("y", "x1")})
+    # Whole cents over 7 and the number of units: at 6 digits some values lie on a rounding tie.
+    return round_all(out, "y", "x1", digits=4).withColumns({c: F.col(c) + 0.0 for c in ("y", "x1")})
 
 
 @query("demean_one_effect", with_panel(f"""
@@ -162,16 +163,17 @@ def fit_statistics(t):
     return round_all(regress.fit_statistics(t.balanced, unit_spec()), "r2", "adj_r2", "within_r2")
 
 
-_PHASES = {"p1": 1, "p2": 2, "p3": 3}
-_GRID = [(f"{y}_{label}", y, k) for y in ("y", "y2") for label, k in _PHASES.items()]
+_PHASES = {"p1": 1, "p2": 2, "p3": 3, "p4": 4}
+_GRID = [(f"{y}_{label}", y, k) for y in ("y", "y2", "y3") for label, k in _PHASES.items()]
 
 
 def _doubled(t):
-    return t.balanced.withColumn("y2", F.col("y") * F.col("y") / 10 + F.col("x1"))
+    y, x1, x2 = F.col("y"), F.col("x1"), F.col("x2")
+    return t.balanced.withColumns({"y2": y * y / 10 + x1, "y3": y - x1 * x2 / 10})
 
 
 @query("model_grid", with_balanced(
-    ", doubled AS (SELECT *, y * y / 10 + x1 AS y2 FROM balanced)," + ",".join(
+    ", doubled AS (SELECT *, y * y / 10 + x1 AS y2, y - x1 * x2 / 10 AS y3 FROM balanced)," + ",".join(
         f" part{k} AS (SELECT * FROM doubled WHERE phase = {k})" for k in _PHASES.values()
     ) + "," + ",".join(fit_ctes(f"m_{name}", f"part{k}", "nation", y=y) for name, y, k in _GRID)
     + "\n" + "\nUNION ALL ".join(coefficient_rows(f"m_{name}", name) for name, _, _ in _GRID)
@@ -179,7 +181,7 @@ def _doubled(t):
 def model_grid(t):
     subsets = {label: F.col("phase") == k for label, k in _PHASES.items()}
     panel = _doubled(t).persist()
-    fits = regress.model_grid(panel, nation_spec(), ["y", "y2"], subsets)
+    fits = regress.model_grid(panel, nation_spec(), ["y", "y2", "y3"], subsets)
     panel.unpersist()
     return rounded_coefficients(regress.tidy(fits))
 

@@ -108,7 +108,8 @@ SELECT nation, round(statistic, 6) AS statistic, CAST(row_number() OVER (ORDER B
 def reorder_levels(t):
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).withColumnRenamed("c_nationkey", "nation")
     rate = F.count_if(F.col("o_orderstatus") == "P").cast("double") / F.count(F.lit(1))
-    return round_all(ordered.reorder_levels(rows, "nation", rate), "statistic")
+    ranked = ordered.reorder_levels(rows, "nation", rate)
+    return round_all(ranked, "statistic").withColumn("level_rank", F.col("level_rank").cast("int"))
 
 
 @query("reorder_levels_fixed", """

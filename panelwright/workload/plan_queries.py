@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.recode import first_match
 from ..plans import firms, fuel, policy, register, study_models
+from ..session import scratch_path
+from ..sources import files
 from .ordered_queries import SHAREHOLDERS_SQL, shareholder_cells
 from .registry import query
 from .scalar_queries import FUEL_TEXTS_SQL, fuel_text
@@ -168,8 +170,13 @@ SELECT bvd AS "bvdId", 'Company ' || conv_id AS company, CAST(year AS INTEGER) A
        n_gov AS n_gov_shareholders
 FROM whole WINDOW w AS (PARTITION BY bvd ORDER BY year, 'Company ' || conv_id NULLS LAST)""")
 def pipe_ownership_panel(t):
+    # Two exported sheets; their row numbers are those of the files, which start with a row of units.
     sheet = shareholder_sheet(t)
-    halves = [sheet.where(F.col("row_no") < 50_000), sheet.where(F.col("row_no") >= 50_000)]
+    halves = []
+    for name, rows in (("a", F.col("row_no") < 50_000), ("b", F.col("row_no") >= 50_000)):
+        path = scratch_path(t.spark, f"holders-{name}")
+        sheet.where(rows).orderBy("row_no").drop("row_no").write.parquet(path)
+        halves.append(files.read_sheet_export(t.spark, path, kind="parquet", position="row_no"))
     out = firms.ownership_panel(halves, firm_names(t), first=2008, last=2015)
     return out.withColumnRenamed("Company name Latin alphabet", "company")
 

@@ -137,14 +137,12 @@ def filter_range(t):
 
 
 @query("filter_nonblank", """
-SELECT page_id, url, x AS tail FROM (
-  SELECT page_id, url, CASE WHEN page_id % 9 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '' ELSE right(url, 8) END AS x
-  FROM pages) WHERE x IS NOT NULL AND x <> ''""")
+SELECT page_id, shown FROM (
+  SELECT page_id, CASE WHEN page_id % 9 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '' ELSE url END AS shown
+  FROM pages) WHERE shown IS NOT NULL AND shown <> ''""")
 def filter_nonblank(t):
-    tail = F.when(F.col("page_id") % 9 == 0, None).when(F.col("page_id") % 5 == 0, "").otherwise(
-        F.right("url", F.lit(8))
-    )
-    return filters.filter_nonblank(t.pages.select("page_id", "url", tail.alias("tail")), "tail")
+    shown = F.when(F.col("page_id") % 9 == 0, None).when(F.col("page_id") % 5 == 0, "").otherwise(F.col("url"))
+    return filters.filter_nonblank(t.pages.select("page_id", shown.alias("shown")), "shown")
 
 
 @query("filter_equals", """

@@ -116,10 +116,12 @@ def boxplot_stats(t):
         FROM panel WHERE ratio BETWEEN -1 AND 10 GROUP BY phase),
 s AS (SELECT *, (syy - b * sxy) / (n - 2) AS v FROM m)
 SELECT phase, CAST(n AS BIGINT) AS n, {r('b')} AS slope, {r('a')} AS intercept, {r('sqrt(v / sxx)')} AS slope_se,
-       {r('sqrt(v * (1.0 / n + mx * mx / sxx))')} AS intercept_se FROM s"""))
+       {r('sqrt(v * (1.0 / n + mx * mx / sxx))')} AS intercept_se, {r('v')} AS residual_variance, {r('mx')} AS mean_x,
+       {r('sxx', 3)} AS sxx FROM s"""))
 def linear_trend(t):
     out = stats.linear_trend(t.panel.where(F.col("ratio").between(-1, 10)), "own", "ratio", ["phase"])
-    return round_all(out, "slope", "intercept", "slope_se", "intercept_se")
+    out = round_all(out, "slope", "intercept", "slope_se", "intercept_se", "residual_variance", "mean_x")
+    return round_all(out, "sxx", digits=3)
 
 
 @query("time_trend_series", with_panel(f"""

@@ -164,10 +164,11 @@ def test_fanout_is_visible(spark):
     assert [tuple(r) for r in joins.fanout_keys(df, "name", "id").collect()] == [("n", 2)]
 
 
-def test_nested_freq_refuses_unbounded_cells(spark):
+def test_nested_freq_spreads_wide_cells(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("v"))
-    with pytest.raises(ValueError, match="levels"):
-        aggregates.nested_freq(df, "v", "cell", max_levels=10)
+    assert len(aggregates.nested_freq(df, "v", "cell").first()["cell"]) == 50
+    parts = aggregates.nested_freq(df, "v", "cell", part_size=10).collect()
+    assert len(parts) > 1 and sorted(k for p in parts for k in p["cell"]) == sorted(str(i) for i in range(50))
 
 
 def test_columns_with_awkward_names(spark):

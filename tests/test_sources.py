@@ -9,7 +9,7 @@ from panelwright.sources import files, schemas
 
 def test_declared_schemas_parse(spark):
     for schema in (schemas.INSTALLATION, schemas.COMPLIANCE, schemas.ACCOUNT, schemas.POLICY_INDEX,
-                   schemas.DEMOCRACY_INDEX, schemas.PLANT_UNITS, schemas.PLANT_LINKS):
+                   schemas.DEMOCRACY_INDEX, schemas.PLANT_UNITS):
         assert spark.createDataFrame([], schema).columns
 
 
@@ -36,6 +36,37 @@ def test_headerless_file_with_notes(spark, tmp_path):
     assert [(str(r["date"]), r["price"]) for r in rows] == [("2021-01-04", "1.5"), ("2021-01-05", None)]
 
 
+def test_no_data_line_is_lost(spark, tmp_path):
+    dates = ["2008-01-31", "2008/01/31", "20080131", "2008.1.31", "2008 Jan 31", "08-01-31", "soon", ""]
+    lines = "2008-01-01,a note that looks like data\nDate,price\n" + "".join(f"{d},{i}\n" for i, d in enumerate(dates))
+    file = tmp_path / "prices.csv"
+    file.write_text(lines)
+    rows = files.read_headerless_skip(spark, str(file), {"price": 2}, 1, 2)
+    got = {r["price"]: str(r["date"]) for r in rows.collect()}
+    assert got == {str(i): "2008-01-31" if i < 6 else "None" for i in range(8)}
+    assert tuple(files.undated(rows).first()) == (8, 2)
+
+
+def test_notes_are_counted_off_in_split_files(spark, tmp_path):
+    file = tmp_path / "long.csv"
+    file.write_text("note\nnote\n" + "".join(f"2021-01-04,{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = files.read_headerless_skip(spark, str(file), {"n": 2}, 1, 2)
+        assert sorted(int(r["n"]) for r in rows.collect()) == list(range(5000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_sheet_rows_are_skipped_and_numbered(spark, tmp_path, kind):
+    path = str(tmp_path / kind)
+    sheet = spark.range(20).select(F.col("id").cast("string").alias("a"), F.lit("x\ny").alias("b")).coalesce(1)
+    sheet.write.parquet(path) if kind == "parquet" else files.csv_export(sheet, path)
+    rows = files.read_sheet_export(spark, path, ["a", "b"], kind, skip=2, position="row_no").orderBy("row_no").collect()
+    assert [(r["a"], r["row_no"]) for r in rows] == [(str(i), i - 1) for i in range(2, 20)]
+
+
 def test_sheet_export_reads_multi_line_cells_as_text(spark, tmp_path):
     file = tmp_path / "sheet.csv"
     file.write_text('id,Holder list\n007,"first\nsecond"\n')
