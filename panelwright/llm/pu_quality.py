@@ -32,7 +32,7 @@ FEATURES = (
 )
 BINS = 8
 STEPS = 8
-RIDGE = 1e-4
+RIDGE, RIDGE_ROWS = 1e-4, 5
 #: Buckets in which partial sums meet before they reach the driver.
 BUCKETS = 16
 _ENDS = np.array([b < 128 and not chr(b).isalnum() and chr(b) not in ",.;:?'\"-)" for b in range(256)])
@@ -172,8 +172,10 @@ def fit(rows: DataFrame, edges: list[np.ndarray]) -> tuple[np.ndarray, float]:
         else:  # the estimated risk of the negatives may not fall below zero: only positives count
             slope = -prior * (sums.x[1] - sums.px[1])
             curve = prior * sums.curve[1]
-        ridge = RIDGE * np.eye(len(weights))
-        move = np.linalg.solve(curve + ridge, slope + RIDGE * weights)
+        # As strong as a few observations, so that few positives fit few bins.
+        ridge = np.full(len(weights), RIDGE + RIDGE_ROWS / sums.count[1])
+        ridge[0] = RIDGE
+        move = np.linalg.solve(curve + np.diag(ridge), slope + ridge * weights)
         move *= min(1.0, 5 / max(np.abs(move).max(), 1e-12))
         weights = weights - move
         if step > STEPS and np.abs(move).max() < 1e-4:
