@@ -366,6 +366,35 @@ def pipe_fuel_coverage(t):
     return fuel.country_coverage(fuel.with_fuel(panel, matches))
 
 
+@query("pipe_fuel_representativeness", with_panel(f""", {_FUEL_SQL.strip()},
+one AS (SELECT DISTINCT installation_id FROM best),
+p AS (SELECT unit, verified, own, o.installation_id IS NOT NULL AS matched
+      FROM panel LEFT JOIN one o ON o.installation_id = CAST(unit AS VARCHAR))
+SELECT matched, count(*) AS n_obs, count(DISTINCT unit) AS n_units, {r('avg(verified)', 3)} AS mean_value,
+       {r('median(verified)', 3)} AS median_value, {r('avg(CAST(own > 0 AS INTEGER))')} AS share_positive FROM p GROUP BY matched"""))
+def pipe_fuel_representativeness(t):
+    panel = t.panel.select(
+        F.col("unit").cast("string").alias("installation_id"), "verified", F.col("own").alias("state_ownership_pct_tv")
+    )
+    matches = fuel.fuel_match(installations(t), plant_units(t), radius_km=400)
+    out = fuel.representativeness(fuel.with_fuel(panel, matches))
+    return round_all(round_all(out, "mean_value", "median_value", digits=3), "share_positive")
+
+
+@query("pipe_intensity", with_panel(f"""
+, revenue AS (SELECT unit, yr, verified, CASE WHEN unit % 9 <> 0 THEN allocated END AS operating_revenue FROM panel),
+i AS (SELECT *, CASE WHEN operating_revenue > 0 THEN verified / operating_revenue END AS x FROM revenue),
+trimmed AS (SELECT *, CASE WHEN x <= (SELECT quantile_cont(x, 0.99) FROM i) THEN x END AS y FROM i)
+SELECT unit, yr, {r('x')} AS emissions_intensity, {r('y')} AS emissions_intensity_trim,
+       {r('CASE WHEN verified > 0 THEN ln(verified) END')} AS log_verified,
+       {r('CASE WHEN y > 0 THEN ln(y) END')} AS log_emissions_intensity FROM trimmed"""))
+def pipe_intensity(t):
+    revenue = F.when(F.col("unit") % 9 != 0, F.col("allocated"))
+    out = firms.with_intensity(t.panel.select("unit", "yr", "verified", revenue.alias("operating_revenue")))
+    names = ("emissions_intensity", "emissions_intensity_trim", "log_verified", "log_emissions_intensity")
+    return round_all(out, *names).select("unit", "yr", *names)
+
+
 def daily_prices(t):
     def text_of(kind):
         return F.when(F.col("event_type") == kind, F.col("value").cast("string")).otherwise("")
@@ -430,3 +459,15 @@ def model_panel(t):
 def pipe_model_table(t):
     # No closed form in SQL for an unbalanced panel; tested against explicit dummies.
     return study_models.published_table(model_panel(t), "log_verified_by_phase")
+
+
+@query("pipe_model_table_country")
+def pipe_model_table_country(t):
+    # Country effects with the number of employees as a control; tested like the other tables.
+    return study_models.published_table(model_panel(t), "lv_country_fe_employees")
+
+
+@query("pipe_model_table_shifts")
+def pipe_model_table_shifts(t):
+    # Shifts of the ownership slope by phase, installation effects.
+    return study_models.published_table(model_panel(t), "surplus_phase_interactions")
