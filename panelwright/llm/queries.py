@@ -144,6 +144,27 @@ def op9_shingle_join(spark, folder):
     return shingle_join.near_duplicates(_table(spark, folder, "documents"))
 
 
+_SQL["op9_shingle_join"] = r"""
+WITH RECURSIVE cut AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') AS parts FROM documents),
+spread AS (SELECT doc_id, unnest(parts) AS word, generate_subscripts(parts, 1) AS place FROM cut),
+texts AS (SELECT doc_id, list(word ORDER BY place) AS words, count(*) AS n FROM spread WHERE word <> '' GROUP BY doc_id),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[s : s + 4], ' ') AS said
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(n - 4, 1) + 1)) AS s FROM texts)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b USING (said)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+roots AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a),
+counts AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, coalesce(n, 0) AS n_links,
+       doc_id <= coalesce(low, doc_id) AS kept
+FROM documents LEFT JOIN roots USING (doc_id) LEFT JOIN counts USING (doc_id)"""
+
+
 @_query
 def op10_edit_decontamination(spark, folder):
     return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
