@@ -26,8 +26,8 @@ from ..session import scratch_path
 from .shared_arrays import expand, expand_sorted, load, per_group, save, squeeze, squeeze_sorted
 from .words import Words, chunks, ids
 
-#: Windows that a task gathers before it sends them on.
-FLUSH = 1 << 22
+#: Windows that a task gathers before it sends them on: of all, and of those estimated repeated.
+FLUSH, FLUSH_REPEATED = 1 << 22, 1 << 20
 #: Cells of each row for a window, at the average.
 CELLS = 5
 #: Cells of one merged part of the sketch, and windows of one exact group at the average.
@@ -180,8 +180,8 @@ def _suspects(batches: Iterator[pa.RecordBatch], window: int, folder: str, shape
             doc = np.searchsorted(words.doc_start, starts, side="right") - 1
             place = (starts - words.doc_start[doc]).astype(np.uint32)
             gathered.append((hashes[mask], (second >> np.uint64(32)).astype(np.uint32), ids(batch, "id")[doc], place))
-        seen += len(mask)
-        if seen >= FLUSH and gathered:
+        seen += len(starts)
+        if seen >= FLUSH_REPEATED:
             yield flush()
             seen = 0
     if gathered:

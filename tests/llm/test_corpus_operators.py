@@ -200,6 +200,7 @@ def plain_repeats(rows, window):
 
 def test_repeated_windows(docs_of, odd, monkeypatch):
     monkeypatch.setattr(repeats, "FLUSH", 500)
+    monkeypatch.setattr(repeats, "FLUSH_REPEATED", 100)
     monkeypatch.setattr(repeats, "PART_CELLS", 1 << 12)
     monkeypatch.setattr(repeats, "GROUP_WINDOWS", 200)
     rng = random.Random(9)
