@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import frozen
+from ..session import discard, frozen
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        before = now
+        before, old = now, links
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = frozen(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        nearest = frozen(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = frozen(
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         least = frozen(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = frozen(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(old, nearest, large, least)

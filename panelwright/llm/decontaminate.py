@@ -111,6 +111,8 @@ def matches(texts: pa.Array, index: dict) -> dict[tuple[int, int], tuple[int, in
     words, hashes = _words(texts)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for doc, number, first in _hits(words, hashes, index):
+        if best.get((doc, number), (1,))[0] == 0:
+            continue  # nothing can be nearer
         _, pattern, errors = index["patterns"][number]
         low, high = int(words.doc_start[doc]), int(words.doc_start[doc + 1])
         begin, end = max(low, first - errors), min(high, first + len(pattern) + errors)
