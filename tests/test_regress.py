@@ -182,6 +182,19 @@ def test_model_table_on_the_test_panel_matches_dense_fits(spark):
         check(fit, dense_fit(rows.dropna(subset=list(fit.terms)), "log_verified", kept, list(spec.effects), "bvdId"), kept)
 
 
+@pytest.mark.parametrize("table", ["lv_country_fe_employees", "surplus_phase_interactions"])
+def test_further_model_tables_match_dense_fits(spark, table):
+    from panelwright.plans import study_models
+    from panelwright.workload.plan_queries import model_panel
+    from panelwright.workload.tables import Tables
+
+    panel = model_panel(Tables(spark, "/root/testdata/sf0.001")).persist()
+    for fit, spec in zip(study_models.fit_table(panel, table), study_models.TABLES[table]()):
+        data = regress.design_matrix(panel, spec).toPandas()
+        kept = [t for t in fit.terms if t in fit.estimates]
+        check(fit, dense_fit(data, spec.outcome, kept, list(spec.effects), spec.cluster), kept)
+
+
 def test_every_published_table_is_specified():
     from panelwright.plans import study_models
 
