@@ -33,8 +33,10 @@ _HIDDEN = re.compile(
     r"(?:(?: ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]{1,63}){1,8}", re.I | re.A,
 )
 _LOCAL_PHONE = re.compile(
-    r"(?<![0-9A-Za-z+.-])(?:00[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])", re.A
+    r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-]?|00[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+    r"(?![0-9A-Za-z-])", re.A
 )
+_RUN = re.compile(r"(?<![0-9])[0-9]{14,19}(?![0-9])")
 #: Fixed values of the gazetteers: top-level domains, first digits of card issuers, calling codes.
 DOMAINS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl pl eu ch at be se no dk fi us ca au".split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "6011", "65", "35", "30", "36", "38")
@@ -89,9 +91,13 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
             digits = _digits(m[0])
             if 13 <= len(digits) <= 19:
                 found.append((m.start(), 2, m.end(), len(digits) >= 14 and luhn(digits)))
+            elif len(digits) > 19:  # numbers side by side, which the pattern takes as one
+                found += [(r.start(), 2, r.end(), False) for r in _RUN.finditer(text, m.start(), m.end())]
     if "+" in text:
         for m in _PHONE.finditer(text):
-            found.append((m.start(), 3, m.end(), 10 <= len(_digits(m[0])) <= 15))
+            count = len(_digits(m[0]))
+            if count <= 15:
+                found.append((m.start(), 3, m.end(), count >= 10))
     low = text.lower() if "at)" in text or "at]" in text or "AT" in text else ""
     if "(at)" in low or "[at]" in low:
         found += [(m.start(), 0, m.end(), False) for m in _HIDDEN.finditer(text)]
@@ -124,7 +130,7 @@ def votes(text: str, start: int, rank: int, end: int, base: bool) -> tuple[str,
         check, known = "+" if luhn(digits) else "-", "+" if digits.startswith(ISSUERS) else "-"
     else:
         check = "+" if 10 <= len(digits) <= 15 else "-"
-        known = "+" if said[0] == "+" and digits.startswith(CALLING) or said[:2] == "00" else "0"
+        known = "+" if said[0] in "+(" and digits.startswith(CALLING) or said[:2] == "00" else "0"
     around = "-" if AWAY.search(before[-16:]) else "+" if NEAR[kind].search(before) else "0"
     touches = (before[-1:].isalnum() or after[:1].isalnum()) and "-" or "+"
     marks = "".join(sorted(set(c for c in said if not c.isalnum()) & set(" -.()@[]")))

@@ -75,6 +75,15 @@ def test_reliable_labelers_accept_a_hidden_address(docs_of):
     assert all(not rows[i] for i in range(80, 120))
 
 
+def test_numbers_side_by_side_are_found(docs_of):
+    texts = [f"call +1 (212) 555-01{i:02d} now" for i in range(60)] + ["visa card 4111111111111111 ok"] * 60
+    texts += ["visa card 4111111111111111 4012888888881881 ok", "call +1 (826) 555-4081 4111111111111111", "items 123 456 of 789"]
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(docs_of(texts)).collect()}
+    said = {i: [texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in rows[i]["spans"].split(",") if s] for i in (120, 121, 122)}
+    assert said == {120: ["4111111111111111", "4012888888881881"], 121: ["+1 (826) 555-4081", "4111111111111111"], 122: []}
+    assert rows[120]["n_card"] == rows[121]["n_card"] == rows[121]["n_phone"] == 0
+
+
 def test_estimation_finds_the_reliable_labeler():
     import numpy as np
 
