@@ -136,18 +136,19 @@ def five_number_summary(
     df: DataFrame, columns: Sequence[str], **limits: int
 ) -> DataFrame:
     """Min, quartiles, mean, max and missing count of several columns, tidy."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "variable", "value"
-    )
-    known = F.when(present(F.col("value")), F.col("value"))
-    ends = long.groupBy("variable").agg(
-        F.min(known).alias("min"),
-        F.avg(known).alias("mean"),
-        F.max(known).alias("max"),
-        F.count_if(known.isNull()).alias("n_missing"),
-    )
+    wide = frozen(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+
+    def ends_of(c: str) -> Column:
+        known = F.when(present(F.col(c)), F.col(c))
+        return F.struct(
+            F.lit(c).alias("variable"), F.min(known).alias("min"), F.avg(known).alias("mean"), F.max(known).alias("max"),
+            F.count_if(known.isNull()).alias("n_missing"),
+        )
+
+    ends = wide.agg(F.array(*map(ends_of, columns)).alias("_ends")).select(F.inline("_ends"))
+    long = wide.unpivot([], list(columns), "variable", "value")
     middle = quantile_columns(
-        long, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["variable"], **limits
+        long, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["variable"], written=True, **limits
     )
     return ends.join(middle, "variable").select(
         "variable", "min", "q1", "median", "mean", "q3", "max", "n_missing"

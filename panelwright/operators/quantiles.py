@@ -76,15 +76,18 @@ def quantile_columns(
     buffered_rows: int = BUFFERED_ROWS,
     buffered_group_rows: int = BUFFERED_GROUP_ROWS,
     sizes: GroupSizes | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """One row per group: the group columns, then one column per named quantile.
 
     Missing values are ignored; a group without any value gives nulls.
+    ``written`` says that ``df`` is a plain scan of a written table.
     """
     by = list(by)
     number = F.col(value).cast("double")
-    # The narrow table is written once; the size check and every pass read the copy.
-    values = frozen(df.select(*by, F.when(present(number), number).alias("_v")))
+    values = df.select(*by, F.when(present(number), number).alias("_v"))
+    if not written:
+        values = frozen(values)  # once; the size check and every pass read the copy
     sizes = sizes or group_sizes(values, by, buffered_group_rows)
     if sizes.total <= buffered_rows or sizes.largest <= buffered_group_rows:
         return _buffered(values, by, probs)

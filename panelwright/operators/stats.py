@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.numeric import present, safe_corr
-from ..session import BROADCAST_ROWS
+from ..session import BROADCAST_ROWS, frozen
 from .distributions import student_t_two_sided
 from .filters import drop_na_listwise
 from .quantiles import BUFFERED_GROUP_ROWS, group_sizes, join_keys_null_safe, quantile_columns
@@ -109,12 +109,12 @@ def histogram_bins(
 def boxplot_stats(df: DataFrame, value: str, by: Sequence[str], **limits: int) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges, and outliers per group."""
     by = list(by)
-    rows = df.where(present(F.col(value).cast("double"))).select(
+    rows = frozen(df.where(present(F.col(value).cast("double"))).select(
         *by, F.col(value).cast("double").alias("_v")
-    )
+    ))
     sizes = group_sizes(rows, by, limits.get("buffered_group_rows", BUFFERED_GROUP_ROWS))
     boxes = quantile_columns(
-        rows, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, sizes=sizes, **limits
+        rows, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, sizes=sizes, written=True, **limits
     )
     if sizes.groups <= BROADCAST_ROWS:
         boxes = F.broadcast(boxes)
