@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path
 from .shared_arrays import expand, expand_sorted, load, per_group, save, squeeze, squeeze_sorted
-from .words import Words, chunks, ids
+from .words import Words, chunks, ids, mix
 
 #: Windows that a task gathers before it sends them on: of all, and of those estimated repeated.
 FLUSH, FLUSH_REPEATED = 1 << 22, 1 << 20
@@ -188,6 +188,11 @@ def _suspects(batches: Iterator[pa.RecordBatch], window: int, folder: str, shape
         yield flush()
 
 
+def _shelf(doc: np.ndarray, shelves: int) -> np.ndarray:
+    """Shelf of documents, whatever pattern their keys have."""
+    return (mix(doc.astype(np.uint64)) % np.uint64(shelves)).astype(np.int64)
+
+
 def _group(key: tuple, groups: Iterator[pa.RecordBatch], shelves: int) -> Iterator[pa.RecordBatch]:
     """First place of every window of a hash range, cut by document."""
     parts = [
@@ -197,9 +202,10 @@ def _group(key: tuple, groups: Iterator[pa.RecordBatch], shelves: int) -> Iterat
     columns = [np.concatenate(c) for c in zip(*parts)]
     first = _firsts_of(*columns)
     doc, start = columns[2][first], columns[3][first]
-    order = np.lexsort((start, doc, doc % shelves))
+    shelf = _shelf(doc, shelves)
+    order = np.lexsort((start, doc, shelf))
     doc, start = doc[order], start[order]
-    cut = np.searchsorted(doc % shelves, np.arange(shelves + 1))
+    cut = np.searchsorted(shelf[order], np.arange(shelves + 1))
     rows = [(s, squeeze(doc[a:b]), squeeze(start[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
     yield pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["shelf", "doc", "start"]
@@ -229,7 +235,7 @@ class _Firsts:
         self.arrays = {n: tuple(load(folder, f"{c}-{n}") for c in ("doc", "begin", "start")) for n in names}
 
     def of(self, key: int) -> np.ndarray:
-        doc, begin, start = self.arrays.get(key % self.shelves, (np.zeros(0, np.int64),) * 3)
+        doc, begin, start = self.arrays.get(int(_shelf(np.array([key]), self.shelves)[0]), (np.zeros(0, np.int64),) * 3)
         at = int(np.searchsorted(doc, key))
         return start[begin[at] : begin[at + 1]] if at < len(doc) and doc[at] == key else start[:0]
 

@@ -14,13 +14,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
+def _open(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder as Spark writes it, and the folder's path in it."""
+    if folder.startswith("file:") or "://" not in folder:
+        folder = "file://" + os.path.abspath("/" + folder.removeprefix("file:").lstrip("/") if folder.startswith("file:") else folder)
+    return pafs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
 
 
 def save(folder: str, name: str, array: np.ndarray) -> None:
     """Write one array; a repeated attempt replaces it by the same contents."""
-    fs, base = _open(folder.replace("file:///", "/") if folder.startswith("file:/") else folder)
+    fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
     head = io.BytesIO()
     np.lib.format.write_array_header_1_0(head, np.lib.format.header_data_from_array_1_0(array))
@@ -33,7 +36,7 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
 
 def load(folder: str, name: str) -> np.ndarray:
     """Map an array into memory; from a remote store by a copy that is unlinked at once."""
-    fs, base = _open(folder.replace("file:///", "/") if folder.startswith("file:/") else folder)
+    fs, base = _open(folder)
     path = f"{base}/{name}.npy"
     if isinstance(fs, pafs.LocalFileSystem):
         return _mapped(path)
