@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once; a longer single text is a batch of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 #: Bytes that are part of a word: all but white space, or only letters, digits and what is not ASCII.
 SOLID = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
@@ -36,6 +36,10 @@ def _random_words(seed: int, count: int) -> np.ndarray:
     return mix(steps * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Powers are kept for the longest chunk so far, in steps of this many.
+_GRAIN = 1 << 16
+
+
 class _Powers:
     """Powers of an odd base and of its inverse, grown on demand."""
 
@@ -46,7 +50,7 @@ class _Powers:
 
     def need(self, size: int) -> None:
         if len(self.up) < size:
-            size = max(size, 2 * len(self.up))
+            size = (size // _GRAIN + 1) * _GRAIN
             for name, factor in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, factor, np.uint64)
                 steps[0] = 1
