@@ -8,7 +8,7 @@ and the sum of ``count * log2(count)`` changes by two terms.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,6 +37,11 @@ ALLOWED = (
 _STEP = 256
 
 
+def _let(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function(value)`` with the value computed once, however often the function's lambdas use it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def _running(values: Column) -> Column:
     """Sums of all values before each, and of all; linear in chunks of _STEP values."""
     def grow(start: Column, items: Column) -> Column:
@@ -46,29 +51,39 @@ def _running(values: Column) -> Column:
 
     count = F.ceil(F.size(values) / F.lit(_STEP)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), count), lambda i: F.slice(values, i * _STEP + 1, _STEP))
-    sums = F.transform(parts, lambda part: F.aggregate(part, F.lit(0).cast("int"), lambda a, x: a + x))
-    bases = grow(F.lit(0).cast("int"), sums)
-    return F.flatten(F.transform(parts, lambda part, i: F.slice(grow(F.get(bases, i), part), 1, F.size(part))))
+
+    def joined(parts: Column) -> Column:
+        sums = F.transform(parts, lambda part: F.aggregate(part, F.lit(0).cast("int"), lambda a, x: a + x))
+        return _let(grow(F.lit(0).cast("int"), sums), lambda bases: F.flatten(
+            F.transform(parts, lambda part, i: F.slice(grow(F.get(bases, i), part), 1, F.size(part)))
+        ))
+
+    return _let(parts, joined)
 
 
 def matches(text: Column, pattern: str, kind: str, group: int = 0, shortest: int = 0) -> Column:
     """Leftmost, non-overlapping matches whose group has ``shortest`` characters: (start, rank, end, kind, value)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    widths = F.transform(found, F.length)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    starts = _running(F.zip_with(F.slice(gaps, 1, F.size(found)), widths, lambda a, b: a + b))
-    rows = F.transform(
-        found,
-        lambda value, i: F.struct(
-            (F.get(starts, i) + F.get(gaps, i)).alias("start"),
-            F.lit(KINDS.index(kind)).alias("rank"),
-            (F.get(starts, i) + F.get(gaps, i) + F.length(value)).alias("end"),
-            F.lit(kind).alias("kind"), value.alias("value"),
-            (F.length(F.get(kept, i)) >= shortest).alias("keep"),
-        ),
+
+    def placed(all_: Column) -> Column:
+        steps = F.zip_with(F.slice(all_["gaps"], 1, F.size(all_["found"])), F.transform(all_["found"], F.length), lambda a, b: a + b)
+        # Where a match begins: after all earlier gaps and matches, and its own gap.
+        begins = F.zip_with(_let(steps, _running), F.slice(all_["gaps"], 1, F.size(all_["found"])), lambda a, b: a + b)
+        return F.zip_with(
+            F.zip_with(begins, all_["found"], lambda start, value: F.struct(start.alias("start"), value.alias("value"))),
+            all_["kept"],
+            lambda m, part: F.struct(
+                m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"),
+                (m["start"] + F.length(m["value"])).alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value"),
+                (F.length(part) >= shortest).alias("keep"),
+            ),
+        )
+
+    rows = F.filter(
+        _let(F.struct(found.alias("found"), kept.alias("kept"), gaps.alias("gaps")), placed), lambda r: r["keep"]
     )
-    rows = F.filter(rows, lambda r: r["keep"])
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string,keep:boolean>>")
     return F.when(text.rlike(pattern), rows).otherwise(none)
 
@@ -78,16 +93,12 @@ def window_entropy(value: Column, window: int) -> Column:
 
     A string shorter than the window has no window and gives 0.
     """
-    letters = F.array_distinct(F.split(value, ""))
-
     def weight(count: Column) -> Column:
         return F.when(count > 1, count * F.log2(count)).otherwise(F.lit(0.0))
 
-    def at(i: Column) -> Column:
-        return F.array_position(letters, F.substring(value, i, F.lit(1))).cast("int") - 1
-
-    def step(state: Column, i: Column) -> Column:
-        new, old = at(i), F.when(i > window, at(i - window)).otherwise(F.lit(-1))
+    def step(state: Column, i: Column, places: Column) -> Column:
+        new = F.get(places, i - 1)
+        old = F.when(i > window, F.get(places, i - 1 - window)).otherwise(F.lit(-1))
         up = F.get(state["counts"], new)
         added = state["total"] + weight(up + 1) - weight(up)
         counts = F.transform(state["counts"], lambda c, j: c + F.when(j == new, 1).otherwise(0))
@@ -99,10 +110,18 @@ def window_entropy(value: Column, window: int) -> Column:
             counts.alias("counts"), total.alias("total"), F.greatest(state["best"], entropy).alias("best")
         )
 
-    start = F.struct(
-        F.transform(letters, lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best")
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: s["best"])
+    def best(places: Column) -> Column:
+        """From the number of each character among the different ones."""
+        none = F.transform(F.sequence(F.lit(0), F.array_max(places)), lambda _: F.lit(0))
+        start = F.struct(none.alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(places)), start, lambda s, i: step(s, i, places), lambda s: s["best"]
+        )
+
+    def numbered(letters: Column) -> Column:
+        return F.transform(F.split(value, ""), lambda c: F.array_position(letters, c).cast("int") - 1)
+
+    return _let(F.array_distinct(F.split(value, "")), lambda letters: _let(numbered(letters), best))
 
 
 def _suspect(value: Column, window: int, allowed: Sequence[str]) -> Column:
