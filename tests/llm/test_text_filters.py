@@ -141,6 +141,33 @@ def test_window_entropy_is_that_of_the_best_window(spark):
         assert got[v] == pytest.approx(best, abs=1e-9)
 
 
+def test_random_tokens_are_found_and_words_are_not(docs_of):
+    import random
+    import string
+
+    rng = random.Random(17)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    #: Tokens missed in a thousand, of 20, 24 and 32 characters; base32 and [a-z0-9] without a digit stay unseen.
+    alphabets = {
+        "0123456789ABCDEF": (20, 10, 5), lower + digits: (25, 15, 10), upper + "234567": (40, 20, 10),
+        lower + upper: (25, 15, 10), lower + upper + digits: (15, 10, 5), lower + upper + digits + "+/": (25, 25, 25),
+        lower + upper + digits + "-_": (15, 10, 5),
+    }
+    for alphabet, most in alphabets.items():
+        texts = ["x " + " ; ".join("".join(rng.choice(alphabet) for _ in range(n)) for _ in range(1000)) for n in (20, 24, 32)]
+        for r in secret_entropy.find_secrets(docs_of(texts)).collect():
+            assert 1000 - len(r["spans"]) <= most[r["doc_id"]], (alphabet, r["doc_id"], 1000 - len(r["spans"]))
+    hidden = "SessionIdentifier=" + "QwzRtYpLkJhGfDsXcVbN"
+    words = [
+        "internationalization2024", "antidisestablishmentarianism", "electroencephalographically", "getUserAccountInformation",
+        "parseHttpResponseHeaderFields", "AbstractSingletonProxyFactoryBean", "user_account_table_backup", "MAXIMUM_CONNECTION_COUNT",
+        "INTERNATIONALIZATION", "src/main/java/org/example", "a-quite-long-page-title", "convertXMLDocumentToHTMLString",
+        "12345678901234567890", "----------------------------", "donaudampfschifffahrtsgesellschaft", "0000000000000000000000a",
+    ]
+    spans = {r["doc_id"]: r["spans"] for r in secret_entropy.find_secrets(docs_of([hidden, *words])).collect()}
+    assert len(spans[0]) == 1 and [w for i, w in enumerate(words, 1) if spans[i]] == []
+
+
 def test_redaction_replaces_spans_and_keeps_columns(docs_of):
     docs = docs_of([*SECRETS, None, "clean text"])
     rows = {r["doc_id"]: r for r in secret_entropy.redact_secrets(docs).collect()}
