@@ -2,8 +2,9 @@
 
 Every text gets a MinHash signature; exact copies (same words) are one text
 from then on.  Each tree of the forest sorts the texts by its part of the
-signature; texts that share a prefix of it are candidates.  The prefixes are
-shortened step by step until the estimated recall reaches its target.  The
+signature; texts that share a prefix of it are candidates.  The prefixes begin
+at a length at which a pair at the threshold itself is found with the target's
+chance, and are shortened until the estimated recall reaches it too.  The
 estimate weighs every similar pair seen by how often such a pair shows up.
 Candidates that their signatures put near the threshold are linked to clusters,
 and inside clusters every pair is compared exactly, in tiles.
@@ -247,7 +248,7 @@ def near_duplicates(
     )
     marks = frozen(every.select("row", "signature").join(texts.select("row"), "row"))
     links = None
-    depth = next((d for d in range(DEPTH, 1, -1) if _found(np.float64(threshold), d) >= 0.99), 1)
+    depth = next((d for d in range(DEPTH, 1, -1) if _found(np.float64(threshold), d) >= target), 1)
     while True:
         prefixes = marks.mapInArrow(partial(_prefixes, depth=depth), "row bigint, prefix bigint")
         tiles = tiled(prefixes, ["prefix"], "row", SIGNATURE_BLOCK).join(marks, "row")
