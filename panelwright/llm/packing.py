@@ -39,15 +39,30 @@ class Encoder:
     A space before a visible character always begins a new unit of a byte-level
     encoder, so the ids of a text are the ids of its words in a row.  A word
     not met before is cut into units, whose ids the vocabulary's model gives.
+    Added tokens of the vocabulary, such as an end mark written out in a text,
+    are cut out first; what lies between them is a text of its own.
+    ``encode_special_tokens`` is the tokenizer's flag of that name: special
+    ones among them are then text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
         if not isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or tokenizer.normalizer is not None:
             raise ValueError("a byte-level vocabulary without normaliser is needed")
         self.tokenize = tokenizer.model.tokenize
+        added = {
+            n: t for n, t in tokenizer.get_added_tokens_decoder().items() if not (t.special and encode_special_tokens)
+        }
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take in or ask for what is beside them are not known")
+        self.added = {t.content: array("I", [n]).tobytes() for n, t in added.items() if t.content}
+        # As the tokenizer does: those outside normalisation first, and the longest where several begin.
+        self.cuts = [
+            re.compile("(" + "|".join(map(re.escape, sorted(some, key=len, reverse=True))) + ")")
+            for late in (False, True) if (some := [t.content for t in added.values() if t.content and t.normalized == late])
+        ]
         # The printable stand-in of each byte: itself, or the next free code from 256 on.
         stay = {*range(33, 127), *range(161, 173), *range(174, 256)}
         free = iter(range(256, 512))
@@ -57,7 +72,18 @@ class Encoder:
         self.bare: dict[str, bytes] = {}  # units that do not begin with a space
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self._text(text) for text in texts]
+        marks = list(self.added)
+        return [self._cut(text) if any(m in text for m in marks) else self._text(text) for text in texts]
+
+    def _cut(self, text: str) -> bytes:
+        """Ids of a text with added tokens in it."""
+        parts = [(text, False)]
+        for cut in self.cuts:
+            parts = [
+                piece for part, done in parts
+                for piece in ([(part, True)] if done else [(p, i % 2 == 1) for i, p in enumerate(cut.split(part)) if p])
+            ]
+        return b"".join(self.added[p] if done else self._text(p) for p, done in parts)
 
     def _text(self, text: str) -> bytes:
         if _IRREGULAR.search(text):
@@ -111,7 +137,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, end_id
     encoder, part, seen = None, TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
     end = np.asarray([end_id], "<u4").tobytes()
     for batch in batches:
-        encoder = encoder or Encoder(tokenizer)
+        encoder = encoder or Encoder(tokenizer, encode_special_tokens=False)
         for first in range(0, batch.num_rows, 256):
             rows = batch.slice(first, 256)
             out = []
@@ -281,6 +307,7 @@ def pack(
 
     A document is its ids and ``end_id``; only longer ones are cut, the first
     piece taking what is over.  A null or empty text is one piece of length 1.
+    An added token of the vocabulary that a text spells out has its own id.
     Repeated rows and null keys are documents of their own.  An empty table
     gives no rows.  Other columns, whatever their names, are not looked at.
     """

@@ -110,6 +110,30 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == full.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_knows_added_tokens(docs_of, tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    def same(path, texts):
+        own, full = packing.Encoder(path, encode_special_tokens=False), Tokenizer.from_file(path)
+        for text, ids in zip(texts, own.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == full.encode(text, add_special_tokens=False).ids, repr(text)
+
+    rng = random.Random(19)
+    bits = ["<|endoftext|>", "<|end", "of", "text|>", " ", "  ", "a", "é", "\n", "<", "|>", " the", "<|x|>", "<|x|>y", "z<|x"]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "a <|endoftext|> b  <|endoftext|>", "<|endoftext|><|endoftext|>"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(800)]
+    same(tokenizer_path(), texts)
+    more = Tokenizer.from_file(tokenizer_path())
+    more.add_special_tokens([AddedToken("<|x|>", normalized=False), AddedToken("<|x|>y", normalized=False)])
+    more.add_tokens([AddedToken("z<|x", normalized=True), AddedToken("of", normalized=True)])
+    more.save(str(tmp_path / "more.json"))
+    same(str(tmp_path / "more.json"), texts)
+    full = Tokenizer.from_file(tokenizer_path())
+    for r in packing.pack(docs_of(texts[:4]), tokenizer_path()).collect():
+        ids = [*full.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0]
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 @pytest.mark.parametrize("size", [16, 2048])
 def test_packing(docs_of, odd, size):
     from tokenizers import Tokenizer
