@@ -7,6 +7,9 @@ The sketches are merged by range of cells; what remains is one bit per cell,
 so no repeat is lost.  Only windows estimated repeated are then grouped
 exactly, by 96-bit hash, for the place where each begins first.
 
+A place is key, row number and start.  Where all keys differ the row number is
+0; otherwise rows are numbered in a written copy, so a place belongs to one text.
+
 Bit tables and first places are arrays in the shared folder, which tasks map
 into memory.  Shuffles carry compressed arrays, not a row per window.
 """
@@ -22,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import scratch_path
+from ..session import frozen, scratch_path
 from .shared_arrays import expand, expand_sorted, load, per_group, save, squeeze, squeeze_sorted
 from .words import Words, chunks, ids, mix
 
@@ -34,6 +37,8 @@ CELLS = 5
 PART_CELLS = 1 << 25
 GROUP_WINDOWS = 1 << 20
 ROWS = 2
+#: Added to the row numbers of null keys, which come after the largest key.
+_NULL = 1 << 62
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -138,7 +143,7 @@ class _Sketch:
 
 
 def _firsts_of(*columns: np.ndarray) -> np.ndarray:
-    """Rows (h1, h2, doc, start) that come first, by document and start, among those of their hash."""
+    """Rows (h1, h2, doc, row, start) that come first, by place, among those of their hash."""
     order = np.lexsort(columns[::-1])
     h1, h2 = columns[0][order], columns[1][order]
     first = np.ones(len(order), bool)
@@ -146,6 +151,11 @@ def _firsts_of(*columns: np.ndarray) -> np.ndarray:
     return order[first]
 
 
+def _numbers(batch: pa.RecordBatch) -> np.ndarray:
+    """Row numbers, those of null keys after all others."""
+    return batch.column("row").to_numpy() + np.where(batch.column("id").is_null().to_numpy(zero_copy_only=False), _NULL, 0)
+
+
 def _suspects(batches: Iterator[pa.RecordBatch], window: int, folder: str, shape: Shape, names: list, groups: int) -> Iterator[pa.RecordBatch]:
     """Windows estimated repeated, each once per flush with its first place, cut by range of the hash."""
     sketch, gathered, seen = None, [], 0
@@ -154,16 +164,16 @@ def _suspects(batches: Iterator[pa.RecordBatch], window: int, folder: str, shape
         columns = [np.concatenate(c) for c in zip(*gathered)]
         gathered.clear()
         first = _firsts_of(*columns)
-        h1, h2, doc, start = (c[first] for c in columns)
+        h1, h2, doc, row, start = (c[first] for c in columns)
         group = ((h1 >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
         cut = np.searchsorted(group, np.arange(groups + 1, dtype=np.uint64))
         rows = [
-            (g, squeeze_sorted(h1[a:b]), squeeze(h2[a:b]), squeeze(doc[a:b]), squeeze(start[a:b]))
+            (g, squeeze_sorted(h1[a:b]), *(squeeze(c[a:b]) for c in (h2, doc, row, start)))
             for g, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a
         ]
-        kinds = (pa.int32(), *[pa.binary()] * 4)
+        kinds = (pa.int32(), *[pa.binary()] * 5)
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["group", "h1", "h2", "doc", "start"]
+            [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["group", "h1", "h2", "doc", "row", "start"]
         )
 
     for batch in chunks(batches, "text"):
@@ -179,7 +189,8 @@ def _suspects(batches: Iterator[pa.RecordBatch], window: int, folder: str, shape
             second = Words.window_hashes(words.hashes(seed=1), starts, window, 1)
             doc = np.searchsorted(words.doc_start, starts, side="right") - 1
             place = (starts - words.doc_start[doc]).astype(np.uint32)
-            gathered.append((hashes[mask], (second >> np.uint64(32)).astype(np.uint32), ids(batch, "id")[doc], place))
+            own = (ids(batch, "id")[doc], _numbers(batch)[doc])
+            gathered.append((hashes[mask], (second >> np.uint64(32)).astype(np.uint32), *own, place))
         seen += len(starts)
         if seen >= FLUSH_REPEATED:
             yield flush()
@@ -188,56 +199,64 @@ def _suspects(batches: Iterator[pa.RecordBatch], window: int, folder: str, shape
         yield flush()
 
 
-def _shelf(doc: np.ndarray, shelves: int) -> np.ndarray:
-    """Shelf of documents, whatever pattern their keys have."""
-    return (mix(doc.astype(np.uint64)) % np.uint64(shelves)).astype(np.int64)
+def _shelf(doc: np.ndarray, row: np.ndarray, shelves: int) -> np.ndarray:
+    """Shelf of texts, whatever pattern their keys and row numbers have."""
+    return (mix(mix(doc.astype(np.uint64)) ^ row.astype(np.uint64)) % np.uint64(shelves)).astype(np.int64)
 
 
 def _group(key: tuple, groups: Iterator[pa.RecordBatch], shelves: int) -> Iterator[pa.RecordBatch]:
     """First place of every window of a hash range, cut by document."""
     parts = [
         (expand_sorted(h1.as_py()), *(expand(x.as_py()) for x in rest))
-        for batch in groups for h1, *rest in zip(*[batch.column(c) for c in ("h1", "h2", "doc", "start")])
+        for batch in groups for h1, *rest in zip(*[batch.column(c) for c in ("h1", "h2", "doc", "row", "start")])
     ]
     columns = [np.concatenate(c) for c in zip(*parts)]
     first = _firsts_of(*columns)
-    doc, start = columns[2][first], columns[3][first]
-    shelf = _shelf(doc, shelves)
-    order = np.lexsort((start, doc, shelf))
-    doc, start = doc[order], start[order]
+    doc, row, start = (c[first] for c in columns[2:])
+    shelf = _shelf(doc, row, shelves)
+    order = np.lexsort((start, row, doc, shelf))
+    doc, row, start = doc[order], row[order], start[order]
     cut = np.searchsorted(shelf[order], np.arange(shelves + 1))
-    rows = [(s, squeeze(doc[a:b]), squeeze(start[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    rows = [
+        (s, *(squeeze(c[a:b]) for c in (doc, row, start))) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a
+    ]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["shelf", "doc", "start"]
+        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], ["shelf", "doc", "row", "start"]
     )
 
 
 def _shelve(key: tuple, groups: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     parts = [
-        (expand(d.as_py()), expand(s.as_py()))
-        for batch in groups for d, s in zip(batch.column("doc"), batch.column("start"))
+        tuple(expand(x.as_py()) for x in place)
+        for batch in groups for place in zip(*[batch.column(c) for c in ("doc", "row", "start")])
     ]
-    doc, start = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((start, doc))
-    keys, begin = np.unique(doc[order], return_index=True)
+    doc, row, start = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((start, row, doc))
+    doc, row = doc[order], row[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
+    begin = np.flatnonzero(new)
     name = key[0].as_py()
-    save(folder, f"doc-{name}", keys)
+    save(folder, f"doc-{name}", doc[begin])
+    save(folder, f"row-{name}", row[begin])
     save(folder, f"begin-{name}", np.append(begin, len(doc)))
     save(folder, f"start-{name}", start[order])
     yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([len(doc)], pa.int64())], ["shelf", "n"])
 
 
 class _Firsts:
-    """First places by document, mapped into memory."""
+    """First places by text, mapped into memory."""
 
     def __init__(self, folder: str, shelves: int, names: list[int]):
         self.shelves = shelves
-        self.arrays = {n: tuple(load(folder, f"{c}-{n}") for c in ("doc", "begin", "start")) for n in names}
+        self.arrays = {n: tuple(load(folder, f"{c}-{n}") for c in ("doc", "row", "begin", "start")) for n in names}
 
-    def of(self, key: int) -> np.ndarray:
-        doc, begin, start = self.arrays.get(int(_shelf(np.array([key]), self.shelves)[0]), (np.zeros(0, np.int64),) * 3)
-        at = int(np.searchsorted(doc, key))
-        return start[begin[at] : begin[at + 1]] if at < len(doc) and doc[at] == key else start[:0]
+    def of(self, key: int, number: int) -> np.ndarray:
+        shelf = int(_shelf(np.array([key]), np.array([number]), self.shelves)[0])
+        doc, row, begin, start = self.arrays.get(shelf, (np.zeros(0, np.int64),) * 4)
+        low, high = (int(np.searchsorted(doc, key, side)) for side in ("left", "right"))
+        at = low + int(np.searchsorted(row[low:high], number))
+        return start[begin[at] : begin[at + 1]] if at < high and row[at] == number else start[:0]
 
 
 def _keep(
@@ -256,9 +275,9 @@ def _keep(
             again = np.zeros(len(words.start), bool)
             again[starts[sketch.repeated(hashes)]] = True
             doc = np.searchsorted(words.doc_start, np.flatnonzero(again), side="right") - 1
-            keys = ids(batch, "id")
+            keys, numbers = ids(batch, "id"), _numbers(batch)
             for d in np.unique(doc):
-                again[words.doc_start[d] + firsts.of(int(keys[d]))] = False
+                again[words.doc_start[d] + firsts.of(int(keys[d]), int(numbers[d]))] = False
             again = np.flatnonzero(again)
             np.add.at(drop, again, 1)
             np.add.at(drop, again + window, -1)
@@ -297,12 +316,17 @@ def drop_repeats(
     A word goes if a window of ``window`` words over it has the same words as
     one that begins earlier: in a smaller key, or earlier in the same text.
     ``digest`` gives ``kept`` as SHA-256 in hex.  Null and empty texts have no
-    words.  A null key comes after all others; rows that share a key count as
-    one document, so repeated rows get the same result.  Other columns are not
+    words.  Null keys come after all others; rows that share a key, or have
+    none, are texts of their own, one after the other in the order of a written
+    copy, so of equal rows the first keeps its words.  Other columns are not
     looked at.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("row", F.lit(0).cast("bigint"))
+    else:
+        rows = frozen(rows.withColumn("row", F.monotonically_increasing_id()))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shape = Shape.of(int(size // 6))  # about as many windows as words of six bytes
     folder = scratch_path(spark, "repeats")
@@ -316,9 +340,9 @@ def drop_repeats(
     shelves = groups
     suspects = rows.mapInArrow(
         partial(_suspects, window=window, folder=folder, shape=shape, names=names, groups=groups),
-        "group int, h1 binary, h2 binary, doc binary, start binary",
+        "group int, h1 binary, h2 binary, doc binary, row binary, start binary",
     )
-    firsts = per_group(suspects, ["group"], partial(_group, shelves=shelves), "shelf int, doc binary, start binary")
+    firsts = per_group(suspects, ["group"], partial(_group, shelves=shelves), "shelf int, doc binary, row binary, start binary")
     shelved = per_group(firsts, ["shelf"], partial(_shelve, folder=folder), "shelf int, n bigint")
     shelf_names = [r["shelf"] for r in shelved.collect()]  # one row per group of windows
     return rows.mapInArrow(

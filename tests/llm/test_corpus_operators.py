@@ -243,6 +243,29 @@ def test_repeated_windows(docs_of, odd, monkeypatch):
     assert len(rows) == odd.count() and repeats.drop_repeats(odd.limit(0)).count() == 0
 
 
+def test_repeated_windows_of_rows_that_share_a_key(docs_of):
+    rng = random.Random(20)
+
+    def fresh(n):
+        return " ".join(f"u{rng.getrandbits(60)}" for _ in range(n))
+
+    a, b, c, d = fresh(30), fresh(30), fresh(25), fresh(40)
+    long, short, equal = f"{fresh(900)} {a} {fresh(10)} {a}", f"{b} {fresh(5)} {b}", fresh(50)
+    texts = [long, short, f"{fresh(10)} {c} {fresh(10)}", f"{fresh(400)} {d} {d}", f"{c} {c}", equal, equal, fresh(30), f"{a} end"]
+    keys = [None, None, 5, 5, 7, 9, 9, 2**63 - 1, None]
+    frame = docs_of(texts, keys).coalesce(1)
+    got = collections.defaultdict(list)
+    for r in repeats.drop_repeats(frame).collect():
+        got[r["doc_id"]].append((r["n_words"], r["n_removed"], r["kept"]))
+    order = [(r["doc_id"], r["text"]) for r in frame.collect()]
+    order.sort(key=lambda r: (r[0] is None, r[0] or 0))  # rows of one key keep their order
+    wanted, plain = collections.defaultdict(list), plain_repeats([(i, t) for i, (_, t) in enumerate(order)], 20)
+    for i, (key, _) in enumerate(order):
+        wanted[key].append(plain[i])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in wanted.items()}
+    assert sorted(n for _, n, _ in got[9]) == [0, 50]
+
+
 def edit_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
