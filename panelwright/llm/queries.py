@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from . import decontaminate, kneser_ney, packing, pii, pu_quality, repeats, secret_entropy, shingle_join, url_rules, vector_links
+from . import (
+    decontaminate, hard_negatives, kneser_ney, packing, pii, prefix_trie, pu_quality, repeats, secret_entropy, shingle_join,
+    url_rules, vector_links,
+)
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -170,6 +173,94 @@ def op10_edit_decontamination(spark, folder):
     return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def rebuilt_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of the rebuilt conversations, numbered by ``place``, and all their ids.
+
+    Conversation c begins with the first h turns of conversation c - c % 100
+    and goes on with its own after its first h; h is crc32 of c in decimals, modulo 6.
+    """
+    turns = turns.where("conv_id IS NOT NULL")
+    order = W.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    numbered = turns.withColumn("place", F.row_number().over(order)).select("conv_id", "place", "role", "text")
+    h = F.crc32(F.col("conv_id").cast("string")) % 6
+    ids = turns.select("conv_id").distinct()
+    own = numbered.where(F.col("place") > h)
+    first = numbered.where("conv_id % 100 = 0 AND place <= 5").withColumnRenamed("conv_id", "base")
+    lent = ids.withColumn("base", F.expr("conv_id - conv_id % 100")).join(first, "base").where(F.col("place") <= h)
+    return own.unionByName(lent.drop("base")), ids
+
+
+@_query
+def op11_prefix_trie(spark, folder):
+    turns, ids = rebuilt_conversations(_table(spark, folder, "conversations"))
+    return prefix_trie.prefix_trie(turns, order="place", everyone=ids)
+
+
+_SQL["op11_prefix_trie"] = r"""
+WITH ids AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+numbered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+rebuilt AS (
+  SELECT conv_id, place, role, text FROM numbered JOIN ids USING (conv_id) WHERE place > h
+  UNION ALL
+  SELECT ids.conv_id, place, role, text FROM ids JOIN numbered f ON f.conv_id = ids.conv_id - ids.conv_id % 100 WHERE place <= h),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth, length(text) AS last,
+         string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY place) AS name
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+paths AS MATERIALIZED (
+  SELECT conv_id, depth, last, min(conv_id) OVER (PARTITION BY name) AS owner, max(depth) OVER (PARTITION BY conv_id) AS n FROM turns),
+nodes AS (
+  SELECT owner, depth, any_value(last) AS last, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = n), '')) AS ends_sha256
+  FROM paths GROUP BY owner, depth),
+linked AS (
+  SELECT node.*, CASE WHEN node.depth > 0 THEN above.owner END AS parent
+  FROM nodes node LEFT JOIN paths above ON above.conv_id = node.owner AND above.depth = node.depth - 1),
+kids AS (SELECT parent AS owner, depth - 1 AS depth, count(*) AS n FROM linked WHERE depth > 0 GROUP BY ALL),
+sums AS (
+  SELECT above.owner, above.depth, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((below.n_convs - 1) * below.last)::BIGINT AS saved
+  FROM nodes below JOIN paths above ON above.conv_id = below.owner AND above.depth <= below.depth
+  LEFT JOIN kids ON kids.owner = below.owner AND kids.depth = below.depth GROUP BY above.owner, above.depth)
+SELECT owner AS conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children, n_leaves,
+       saved AS saved_tokens, ends_sha256
+FROM linked LEFT JOIN kids USING (owner, depth) JOIN sums USING (owner, depth)"""
+
+
+@_query
+def op13_hard_negatives(spark, folder):
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+_SQL["op13_hard_negatives"] = r"""
+WITH clean AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = list_count(embedding)
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM clean a JOIN clean b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+firsts AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM firsts JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
