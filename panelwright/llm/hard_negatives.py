@@ -222,11 +222,10 @@ def mine_hard_negatives(
     Rows with a null label, a null vector, or a component that is null or not
     finite take no part.  Rows with an anchor's own key are never its
     positives; other repeated rows are rows of their own, and a repeated anchor
-    is mined once for each of its rows.  Null keys come last among ties, show
-    as the largest 64-bit number and are never anchors.  Components that a
-    shorter vector lacks are zero; an empty vector scores 0.  Inner products of 2**53 or
-    more are refused.  An empty table gives no rows; other columns are not
-    looked at.  Keys must be integers.
+    is mined once for each of its rows.  Null keys come last among ties and are
+    never anchors.  Components that a shorter vector lacks are zero; an empty
+    vector scores 0.  Inner products of 2**53 or more are refused.  An empty
+    table gives no rows; other columns are not looked at.  Keys must be integers.
     """
     number = F.col(f"`{vector}`").cast("array<double>")
     broken = F.exists(number, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -255,7 +254,8 @@ def mine_hard_negatives(
         "anchor bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
     )
     names = asked.select("anchor", F.col("id").alias("anchor_id"))
-    return names.join(mined, "anchor").drop("anchor")
+    ids = {c: F.nullif(F.col(c), F.lit(_NONE)) for c in ("positive_id", "negative_id")}
+    return names.join(mined.withColumns(ids), "anchor").drop("anchor")
 
 
 def _as_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from . import (
     decontaminate, hard_negatives, kneser_ney, packing, pii, prefix_trie, pu_quality, repeats, secret_entropy, shingle_join,
-    url_rules, vector_links,
+    suffix_repeats, url_rules, vector_links,
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -233,6 +233,32 @@ SELECT owner AS conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(kids
 FROM linked LEFT JOIN kids USING (owner, depth) JOIN sums USING (owner, depth)"""
 
 
+@_query
+def op12_suffix_repeats(spark, folder):
+    done = suffix_repeats.drop_repeated_strings(_table(spark, folder, "documents"), keep="none", digest=True)
+    return done.withColumnRenamed("kept", "kept_sha256")
+
+
+_SQL["op12_suffix_repeats"] = r"""
+WITH texts AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS body FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(substr(body, 2 * s + 1, 400)) AS said
+  FROM (SELECT doc_id, body, unnest(range(0, length(body) // 2 - 199)) AS s FROM texts)),
+again AS (SELECT doc_id, s FROM windows QUALIFY count(*) OVER (PARTITION BY said) > 1),
+beside AS (
+  SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS after
+  FROM again),
+gaps AS (
+  SELECT doc_id, count(*) FILTER (WHERE before IS NULL OR s - before > 200) AS n_spans,
+         sum(least(200, coalesce(after - s, 200)))::BIGINT AS n_removed, min(s) AS head,
+         string_agg(CASE WHEN after > s + 200 THEN substr(body, 2 * (s + 200) + 1, 2 * (after - s - 200))
+                         WHEN after IS NULL THEN substr(body, 2 * (s + 200) + 1) ELSE '' END, '' ORDER BY s) AS rest
+  FROM beside JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(body) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN head IS NULL THEN body ELSE substr(body, 1, 2 * head) || rest END)) AS kept_sha256
+FROM texts LEFT JOIN gaps USING (doc_id)"""
+
+
 @_query
 def op13_hard_negatives(spark, folder):
     vectors = _table(spark, folder, "embeddings")
