@@ -2,8 +2,7 @@
 
 Right sides that are small are broadcast by Spark itself from their measured
 size; everything else stays a shuffle join, in which adaptive execution splits
-the partitions of a hot key.  Explicit hints appear only for literal tables and
-behind :func:`panelwright.session.broadcast_if_small`.
+the partitions of a hot key.  Explicit hints appear only for literal tables.
 """
 
 from __future__ import annotations
@@ -12,10 +11,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import AtomicType
 
 from ..functions.recode import is_blank, lookup
-from ..session import broadcast_if_small
+
+#: Parts that rows without a key are dealt to in a null-safe join.
+NULL_SALTS = 32
 
 
 def join_on(
@@ -29,7 +31,8 @@ def join_on(
     """Join on one or several keys, possibly named differently.
 
     ``columns`` prunes the right side. With ``null_safe`` a missing key matches
-    a missing key, as data-frame joins do (left and inner joins).
+    a missing key, as data-frame joins do (left and inner joins); both sides
+    are read once, and no task gets all rows without a key.
     """
     pairs = dict(keys) if isinstance(keys, Mapping) else {key: key for key in keys}
     wanted = columns if columns is not None else [
@@ -40,21 +43,23 @@ def join_on(
     )
     their_keys = [f"_key_{ours}" for ours in pairs]
 
-    def joined(mine: DataFrame, theirs: DataFrame, equal) -> DataFrame:
-        condition = reduce(and_, [equal(F.col(ours), F.col(key)) for ours, key in zip(pairs, their_keys)])
-        return mine.join(theirs, condition, how).drop(*their_keys)
-
     if not null_safe:
-        return joined(left, side, Column.__eq__)
+        condition = reduce(and_, [F.col(ours) == F.col(key) for ours, key in zip(pairs, their_keys)])
+        return left.join(side, condition, how).drop(*their_keys)
     if how not in ("left", "inner"):
         raise ValueError("missing keys are matched in left and inner joins only")
-    # Rows without a key may be a large part of the left side.  They meet the few
-    # right rows without a key on their own, so they are not one hot key.
+    # Rows without a key may be a large part of the left side.  They are dealt over
+    # salts by their contents, and a right row without a key is there for each salt.
     missing = reduce(or_, [F.col(ours).isNull() for ours in pairs])
     their_missing = reduce(or_, [F.col(key).isNull() for key in their_keys])
-    keyed = joined(left.where(~missing), side.where(~their_missing), Column.__eq__)
-    blank = joined(left.where(missing), broadcast_if_small(side.where(their_missing)), Column.eqNullSafe)
-    return keyed.unionByName(blank)
+    own = [F.col(f"`{f.name}`") for f in left.schema if isinstance(f.dataType, AtomicType)]
+    mine = left.withColumn("_salt", F.when(missing, F.pmod(F.xxhash64(*own), F.lit(NULL_SALTS)).cast("int")).otherwise(0))
+    every = F.when(their_missing, F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    theirs = side.withColumn("_their_salt", F.explode(every))
+    condition = reduce(and_, [
+        F.col(ours).eqNullSafe(F.col(key)) for ours, key in zip(pairs, their_keys)
+    ], F.col("_salt") == F.col("_their_salt"))
+    return mine.join(theirs, condition, how).drop(*their_keys, "_salt", "_their_salt")
 
 
 def literal_table(spark: SparkSession, rows: Mapping[str, str], key: str, value: str) -> DataFrame:

@@ -20,26 +20,28 @@ effect with T levels (years):
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
-from functools import partial, reduce
+from functools import reduce
+from itertools import count
 
 import numpy as np
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.fixed_values import STAR_LEVELS
 from ..functions.numeric import nan_to_null
-from ..session import BROADCAST_ROWS, broadcast_if_small, discard, frozen
+from ..session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, discard, frozen
 from .distributions import stars, student_t_two_sided
 from .quantiles import join_keys_null_safe, quantile_columns
 
+logger = logging.getLogger(__name__)
+
 #: Levels the small fixed effect may have for the plan without rounds.  Both plans solve the same equations; the
-#: other one stops when no level effect moves by ALTERNATING_TOLERANCE standard deviations of its column.
+#: other one stops when the residual is ITERATION_TOLERANCE of the first one.
 SMALL_EFFECT_LEVELS = 200
-ALTERNATING_TOLERANCE = 1e-11
+ITERATION_TOLERANCE = 1e-11
 
 #: Share of all rows above which a group is joined by broadcast in any case.
 CROWDED_SHARE = 1 / 1_000
@@ -111,6 +113,9 @@ class Fit:
 
     def coefficients(self) -> DataFrame:
         """One row per term; a dropped term has null numbers."""
+        return tidy([self])
+
+    def _coefficient_rows(self) -> list[tuple]:
         rows = []
         for position, term in enumerate(self.terms, 1):
             estimate, error = self.estimates.get(term), self.std_errors.get(term)
@@ -119,11 +124,7 @@ class Fit:
                 self.name, position, term, estimate, error, t, self.p_values.get(term),
                 stars(self.p_values.get(term), STAR_LEVELS), estimate is None,
             ))
-        return self.spark.createDataFrame(
-            rows,
-            "model string, position int, term string, estimate double, std_error double, "
-            "t_value double, p_value double, stars string, dropped boolean",
-        )
+        return rows
 
     def statistics(self) -> DataFrame:
         row = (self.name, self.n_obs, self.n_clusters, self.r2, self.adj_r2, self.within_r2)
@@ -329,7 +330,7 @@ def _subtract_both(
 
 
 def _join_offsets(
-    df: DataFrame, offsets: DataFrame, key: str, n_groups: int, largest: int, n_rows: int
+    df: DataFrame, offsets: DataFrame, key: str | list[str], n_groups: int, largest: int, n_rows: int
 ) -> DataFrame:
     """Bring group offsets (with group size ``_n``) to the rows.
 
@@ -337,7 +338,8 @@ def _join_offsets(
     above ``CROWDED_SHARE`` of all rows - there are at most a thousand of them -
     are still broadcast, so their rows never have to meet in one task.
     """
-    if n_groups <= BROADCAST_ROWS:
+    # A row has the keys and a number per column; its size in memory follows.
+    if n_groups <= BROADCAST_ROWS and n_groups * 16 * (len(offsets.columns) + 2) <= 4 * BROADCAST_BYTES:
         return df.join(F.broadcast(offsets.drop("_n")), key)
     limit = n_rows * CROWDED_SHARE
     if largest <= limit:
@@ -345,19 +347,20 @@ def _join_offsets(
     crowded = F.broadcast(offsets.where(F.col("_n") > limit).drop("_n"))
     ordinary = offsets.where(F.col("_n") <= limit).drop("_n")
     return df.join(crowded, key).unionByName(
-        df.join(crowded.select(key), key, "left_anti").join(ordinary, key)
+        df.join(crowded.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(ordinary, key)
     )
 
 
-def _subtract_alternating(
-    df: DataFrame, columns: Sequence[str], effects: Sequence[str], cluster: str,
-    tolerance: float = ALTERNATING_TOLERANCE,
-) -> _Within:
-    """Two large effects: the level effects of each in turn, until they do not change any more.
+def _subtract_iterating(df: DataFrame, columns: Sequence[str], effects: Sequence[str], cluster: str) -> _Within:
+    """Two large effects: conjugate gradients on the table of effect combinations.
 
-    The rounds run on the table of effect combinations and their sizes.  Sums of
-    the columns per level are taken once; a round needs, per level, the sum of
-    the other effect over its combinations.  Rows are touched once, at the end.
+    With the first effect eliminated, the levels v of the second solve
+    (D - C' N C) v = r: D holds their sizes, C the rows per combination, N the
+    inverse sizes of the first effect's levels.  A round multiplies by that
+    matrix in two aggregates over the combinations and takes one reduction for
+    all columns; D preconditions.  The rounds end when the residual of every
+    column has shrunk by ITERATION_TOLERANCE, or does not shrink any more, as
+    rounding may keep it from.  Rows are touched once, at the end.
     """
     first, second = effects
     rows = frozen(df)
@@ -367,52 +370,84 @@ def _subtract_alternating(
         ).first()
         for effect in effects
     ]
+    if facts[0]["n"] < facts[1]["n"]:  # the smaller one is solved for
+        first, second = second, first
     before = rows.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.var_pop(c).alias(f"v_{c}") for c in columns],
+        *[F.var_pop(c).alias(f"v_{c}") for c in columns], *[F.avg(c).alias(f"m_{c}") for c in columns],
         *[F.sum(F.col(c) * F.col(c)).alias(f"s_{c}") for c in columns],
     ).first()
+    # Centred columns of unit variance keep rounding small; constants go with the effects anyway.
     spread = {c: before[f"v_{c}"] ** 0.5 or 1.0 for c in columns}
-    cells = frozen(rows.groupBy(*effects).agg(F.count(F.lit(1)).alias("_n")))
+    scaled = rows.select(first, second, *[((F.col(c) - before[f"m_{c}"]) / spread[c]).alias(f"_s{i}") for i, c in enumerate(columns)])
+    ks = range(len(columns))
+    cells = frozen(scaled.groupBy(first, second).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(f"_s{k}").alias(f"_s{k}") for k in ks]
+    ))
+    links = cells.select(first, second, "_n")
     sums = {
-        effect: frozen(rows.groupBy(effect).agg(
-            F.count(F.lit(1)).alias("_size"), *[F.sum(c).alias(f"_sum_{c}") for c in columns]
-        ))
-        for effect in effects
+        effect: frozen(cells.groupBy(effect).agg(F.sum("_n").alias("_size"), *[F.sum(f"_s{k}").alias(f"_s{k}") for k in ks]))
+        for effect in (first, second)
     }
 
-    def solved(effect: str, other: str, known: DataFrame) -> DataFrame:
-        taken = cells.join(known, other).groupBy(effect).agg(
-            *[F.sum(F.col("_n") * F.col(f"_e_{c}")).alias(f"_taken_{c}") for c in columns]
-        )
-        return frozen(sums[effect].join(taken, effect).select(
-            effect, *[((F.col(f"_sum_{c}") - F.col(f"_taken_{c}")) / F.col("_size")).alias(f"_e_{c}") for c in columns]
-        ))
-
-    ours = frozen(sums[first].select(first, *[F.lit(0.0).alias(f"_e_{c}") for c in columns]))
-    least, idle = float("inf"), 0
-    while True:
-        theirs = solved(second, first, ours)
-        renewed = solved(first, second, theirs)
-        change = renewed.join(
-            ours.withColumnsRenamed({f"_e_{c}": f"_o_{c}" for c in columns}), first
-        ).agg(F.max(F.greatest(F.lit(0.0), *[
-            F.abs(F.col(f"_e_{c}") - F.col(f"_o_{c}")) / spread[c] for c in columns
-        ]))).first()[0] or 0.0
-        discard(ours)
-        ours = renewed
-        least, idle = (change, 0) if change < least else (least, idle + 1)
-        # Rounding may keep the last digits moving; then the changes no longer shrink.
-        if change < tolerance or idle >= 5:
+    def spread_out(known: DataFrame, by: str, to: str, value: str, out: str) -> DataFrame:
+        """Sum of ``value`` of the levels of ``by`` over the rows of each level of ``to``."""
+        return links.join(known, by).groupBy(to).agg(*[F.sum(F.col("_n") * F.col(f"{value}{k}")).alias(f"{out}{k}") for k in ks])
+
+    def multiplied(state: DataFrame, value: str, out: str) -> DataFrame:
+        """``state`` with the matrix times its column ``value``."""
+        met = spread_out(state.select(second, *[f"{value}{k}" for k in ks]), second, first, value, "_met")
+        mean = met.join(sums[first].select(first, "_size"), first).select(first, *[(F.col(f"_met{k}") / F.col("_size")).alias(f"_met{k}") for k in ks])
+        back = spread_out(mean, first, second, "_met", "_back")
+        return state.join(back, second).withColumns(
+            {f"{out}{k}": F.col("_size") * F.col(f"{value}{k}") - F.col(f"_back{k}") for k in ks}
+        ).drop(*[f"_back{k}" for k in ks])
+
+    means = sums[first].select(first, *[(F.col(f"_s{k}") / F.col("_size")).alias(f"_m{k}") for k in ks])
+    state = sums[second].join(spread_out(means, first, second, "_m", "_t"), second).select(
+        second, "_size", *[(F.col(f"_s{k}") - F.col(f"_t{k}")).alias(f"_r{k}") for k in ks],
+        *[F.lit(0.0).alias(f"{name}{k}") for k in ks for name in ("_v", "_p", "_q")],
+    )
+    start, least, idle, old = None, float("inf"), 0, None
+    best = state
+    for rounds in count():
+        # z: preconditioned residual, w: the matrix times z; p and q: direction and the matrix times it.
+        state = frozen(multiplied(state.withColumns({f"_z{k}": F.col(f"_r{k}") / F.col("_size") for k in ks}), "_z", "_w"))
+        row = state.agg(
+            *[F.sum(F.col(f"_r{k}") * F.col(f"_z{k}")).alias(f"rz{k}") for k in ks],
+            *[F.sum(F.col(f"_w{k}") * F.col(f"_z{k}")).alias(f"wz{k}") for k in ks],
+        ).first()
+        rz = np.array([row[f"rz{k}"] or 0.0 for k in ks])
+        wz = np.array([row[f"wz{k}"] or 0.0 for k in ks])
+        start = np.maximum(rz, 0) if start is None else start
+        left = float(np.sqrt(np.max(np.where(start > 0, rz / np.where(start > 0, start, 1), 0))))
+        discard(best)
+        best, least, idle = (state, left, 0) if left < least else (state, least, idle + 1)
+        if left <= ITERATION_TOLERANCE or idle >= 5:
             break
-        discard(theirs)
-    theirs = solved(second, first, ours)
-    within = rows.join(ours, first).join(
-        theirs.withColumnsRenamed({f"_e_{c}": f"_f_{c}" for c in columns}), second
-    ).select(
-        *[c for c in df.columns if c not in columns],
-        *[(F.col(c) - F.col(f"_e_{c}") - F.col(f"_f_{c}")).alias(c) for c in columns],
-    ).select(*df.columns)
+        live = (rz > ITERATION_TOLERANCE**2 * 1e-2 * start) & (wz > 0)
+        beta = np.zeros(len(ks)) if old is None else np.where(live & (old[0] > 0), rz / np.where(old[0] > 0, old[0], 1), 0.0)
+        bent = wz if old is None else wz - beta * rz / np.where(old[1] != 0, old[1], 1)
+        alpha = np.where(live & (bent > 0), rz / np.where(bent > 0, bent, 1), 0.0)
+        old = rz, alpha
+        step = state.withColumns({
+            name: F.col(f"{from_}{k}") + float(beta[k]) * F.col(name)
+            for k in ks for name, from_ in ((f"_p{k}", "_z"), (f"_q{k}", "_w"))
+        })
+        state = step.withColumns({
+            f"{name}{k}": F.col(f"{name}{k}") + float(sign * alpha[k]) * F.col(f"{by}{k}")
+            for k in ks for name, by, sign in (("_v", "_p", 1), ("_r", "_q", -1))
+        }).select(second, "_size", *[f"{name}{k}" for k in ks for name in ("_r", "_v", "_p", "_q")])
+    logger.debug("%s: %d rounds, residual %.1e of the first", df.columns, rounds, left)
+    theirs = best.select(second, *[F.col(f"_v{k}") for k in ks])
+    ours = spread_out(theirs, second, first, "_v", "_t").join(sums[first], first).select(
+        first, *[((F.col(f"_s{k}") - F.col(f"_t{k}")) / F.col("_size")).alias(f"_u{k}") for k in ks]
+    )
+    within = rows.join(ours, first).join(theirs, second).select(*[
+        (F.col(c) - before[f"m_{c}"] - spread[c] * (F.col(f"_u{columns.index(c)}") + F.col(f"_v{columns.index(c)}"))).alias(c)
+        if c in columns else F.col(c)
+        for c in df.columns
+    ])
     return _Within(
         within, tuple(f["n"] for f in facts), tuple(not f["split"] for f in facts), before["n"],
         np.array([before[f"v_{c}"] * before["n"] for c in columns]),
@@ -433,7 +468,7 @@ def _within(
                 raise ValueError("no complete rows")
             return _subtract_both(df, columns, large, small, cluster, levels, kept_in_memory, singletons)
     rows = df if singletons else drop_singletons(df, effects)
-    return _subtract_alternating(rows, columns, effects, cluster)
+    return _subtract_iterating(rows, list(columns), effects, cluster)
 
 
 def demean_fixed_effects(df: DataFrame, columns: Sequence[str], effects: Sequence[str]) -> DataFrame:
@@ -503,40 +538,67 @@ def _fit(design: DataFrame, spec: ModelSpec, kept_in_memory: list[DataFrame]) ->
         "count(1) AS n", *[f"sum(p{i}_{j}) AS p{i}_{j}" for i, j in _pairs(names)]
     )).first()
     n, n_clusters, products = within.n_obs, total["n"], _square(total, names, "p")
-    kept = [
-        k + 1
-        for k in independent_terms(products[1:, 1:], within.variation[1:], within.squares[1:])
-    ]
+    solved = estimates(
+        spec, products, within.variation, within.squares, n, int(n_clusters), within.sizes, within.nested
+    )
+    return solved.fit(design.sparkSession, _score_products(clusters, solved.kept, solved.beta) if solved.kept else solved.bread)
+
+
+@dataclass(frozen=True)
+class Solved:
+    """Coefficients of one model, before its standard errors are known."""
+
+    spec: ModelSpec
+    kept: list[int]
+    beta: np.ndarray
+    bread: np.ndarray
+    factor: float
+    n_obs: int
+    n_clusters: int
+    fits: tuple[float, float, float]
+
+    def fit(self, spark: SparkSession, meat: np.ndarray) -> Fit:
+        """The results, with ``meat``, the sum over clusters of the outer products of their scores."""
+        errors = np.sqrt(np.maximum(np.diag(self.bread @ meat @ self.bread) * self.factor, 0.0))
+        terms = tuple(t.name for t in self.spec.terms)
+        labels = [terms[k - 1] for k in self.kept]
+        found = {label: float(b) for label, b in zip(labels, self.beta)}
+        std_errors = {label: float(e) for label, e in zip(labels, errors)}
+        p_values = {
+            label: student_t_two_sided(found[label] / std_errors[label], self.n_clusters - 1)
+            for label in labels if std_errors[label] > 0
+        }
+        return Fit(
+            self.spec.name, spark, terms, found, std_errors, p_values, self.n_obs, self.n_clusters, *self.fits
+        )
+
+
+def estimates(
+    spec: ModelSpec, products: np.ndarray, variation: np.ndarray, squares: np.ndarray, n: int, n_clusters: int,
+    sizes: tuple[int, int], nested: tuple[bool, bool],
+) -> Solved:
+    """Coefficients from the cross products of the demeaned outcome (first) and terms.
+
+    ``variation`` and ``squares`` are sums of squares before demeaning, centred
+    and plain; ``sizes`` are levels of the effects, ``nested`` whether they lie
+    inside clusters.
+    """
+    kept = [k + 1 for k in independent_terms(products[1:, 1:], variation[1:], squares[1:])]
     inner = products[np.ix_(kept, kept)]
     bread = np.linalg.inv(inner) if kept else inner
     beta = bread @ products[kept, 0]
-    meat = _score_products(clusters, kept, beta) if kept else inner
-
     # Parameters: slopes and all effect levels; for the small-sample factor the
     # levels of an effect nested in the clusters are left out.
-    parameters = len(kept) + sum(within.sizes) - 1
-    counted = parameters - sum(size - 1 for size, inside in zip(within.sizes, within.nested) if inside)
+    parameters = len(kept) + sum(sizes) - 1
+    counted = parameters - sum(size - 1 for size, inside in zip(sizes, nested) if inside)
     factor = 1.0
     if n_clusters > 1 and n > counted:
         factor = n_clusters / (n_clusters - 1) * (n - 1) / (n - counted)
-    errors = np.sqrt(np.maximum(np.diag(bread @ meat @ bread) * factor, 0.0))
-
     residual = products[0, 0] - beta @ products[kept, 0]
-    variation = within.variation[0]
-    r2 = 1 - residual / variation if variation > 0 else float("nan")
+    r2 = 1 - residual / variation[0] if variation[0] > 0 else float("nan")
     within_r2 = 1 - residual / products[0, 0] if products[0, 0] > 0 else float("nan")
     adj_r2 = 1 - (1 - r2) * (n - 1) / (n - parameters) if n > parameters else float("nan")
-    labels = [source[k] for k in kept]
-    estimates = {label: float(b) for label, b in zip(labels, beta)}
-    std_errors = {label: float(e) for label, e in zip(labels, errors)}
-    p_values = {
-        label: student_t_two_sided(estimates[label] / std_errors[label], n_clusters - 1)
-        for label in labels if std_errors[label] > 0
-    }
-    return Fit(
-        spec.name, design.sparkSession, tuple(source[1:]), estimates, std_errors, p_values,
-        n, int(n_clusters), float(r2), float(adj_r2), float(within_r2),
-    )
+    return Solved(spec, kept, beta, bread, factor, n, n_clusters, (float(r2), float(adj_r2), float(within_r2)))
 
 
 def _score_products(clusters: DataFrame, kept: Sequence[int], beta: np.ndarray) -> np.ndarray:
@@ -579,7 +641,7 @@ def subsample_fit(
 def model_grid(
     df: DataFrame, spec: ModelSpec, outcomes: Sequence[str], subsets: Mapping[str, Column]
 ) -> list[Fit]:
-    """One specification over outcomes x subsets of the same panel."""
+    """One specification over outcomes x subsets of the same panel; the number of jobs does not grow with them."""
     return fit_all(df, [
         replace(spec, outcome=outcome, where=condition, name=f"{outcome}_{label}")
         for outcome in outcomes
@@ -587,18 +649,20 @@ def model_grid(
     ])
 
 
-def fit_all(df: DataFrame, specs: Sequence[ModelSpec], at_once: int = 4) -> list[Fit]:
-    """Fit several models of one (persisted) panel, a few of them at the same time.
+def fit_all(df: DataFrame, specs: Sequence[ModelSpec]) -> list[Fit]:
+    """Fit several models of one panel from shared aggregates; see :mod:`.regress_together`."""
+    from .regress_together import fit_together
 
-    The fits share nothing but the panel, so their Spark jobs may overlap.
-    """
-    with ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(inheritable_thread_target(df.sparkSession)(partial(fe_ols, df)), specs))
+    return fit_together(df, specs)
 
 
 def tidy(fits: Sequence[Fit]) -> DataFrame:
     """Coefficients of several models, stacked."""
-    return reduce(DataFrame.unionByName, [fit.coefficients() for fit in fits])
+    return fits[0].spark.createDataFrame(
+        [row for fit in fits for row in fit._coefficient_rows()],
+        "model string, position int, term string, estimate double, std_error double, "
+        "t_value double, p_value double, stars string, dropped boolean",
+    )
 
 
 def regression_table(fits: Sequence[Fit], labels: Mapping[str, str]) -> DataFrame:

@@ -101,6 +101,76 @@ def test_two_large_effects_converge_to_the_same_fit(panel, monkeypatch):
     assert fit.std_errors["a"] == pytest.approx(want["se"][0], rel=1e-6)
 
 
+def test_badly_connected_panel_of_two_large_effects(spark, monkeypatch, caplog):
+    # Three blocks of units and codes, each joined to the next by a single row: plain alternation takes thousands of rounds.
+    rng = np.random.default_rng(2)
+    rows = []
+    for block in range(3):
+        unit, code = rng.integers(0, 40, 500) + 40 * block, rng.integers(0, 15, 500) + 15 * block
+        rows += list(zip(unit.tolist(), code.tolist()))
+        rows.append((40 * block, (15 * block + 15) % 45))
+    data = pd.DataFrame(rows, columns=["unit", "code"])
+    data["firm"] = data["unit"] % 17
+    data["a"] = rng.normal(size=len(data)) + data["unit"] // 40 + 1e4
+    data["y"] = 3 * data["a"] + data["unit"] % 9 + data["code"] // 15 * 50 + rng.normal(size=len(data))
+    monkeypatch.setattr(regress, "SMALL_EFFECT_LEVELS", 3)
+    caplog.set_level("DEBUG", logger=regress.__name__)
+    df = spark.createDataFrame(data)
+    fit = regress.fe_ols(df, ModelSpec("y", (main("a"),), ("unit", "code"), "firm"))
+    check(fit, dense_fit(data, "y", ["a"], ["unit", "code"], "firm"), ["a"])
+    assert max(r.args[1] for r in caplog.records) <= 50
+
+
+def test_columns_that_the_effects_explain(spark, monkeypatch):
+    monkeypatch.setattr(regress, "SMALL_EFFECT_LEVELS", 1)
+    rows = [(u, t, float(u + t), 7.0, float((u * t) % 5)) for u in range(9) for t in range(6)]
+    df = spark.createDataFrame(rows, "u int, t int, explained double, fixed double, x double")
+    out = regress.demean_fixed_effects(df, ["explained", "fixed", "x"], ["u", "t"]).toPandas()
+    assert out["explained"].abs().max() < 1e-9 and out["fixed"].abs().max() < 1e-9
+    x = np.array([[(u * t) % 5 for t in range(6)] for u in range(9)], float)
+    want = x - x.mean(1, keepdims=True) - x.mean(0) + x.mean()
+    got = out.sort_values(["u", "t"])["x"].to_numpy().reshape(9, 6)
+    assert np.allclose(got, want, atol=1e-9)
+
+
+@pytest.mark.parametrize("effects", [("unit", "year"), ("country", "year")])
+def test_models_fitted_together_equal_models_fitted_alone(panel, effects):
+    df, data = panel
+    more = df.withColumns({"y2": F.when(F.col("unit") % 4 != 1, F.col("y") * F.col("y")), "z": F.col("unit").cast("double")})
+    early = F.col("year") < 2011
+    def model(outcome, terms, where=None):
+        return ModelSpec(outcome, tuple(terms), effects, "firm", where=where)
+
+    specs = [
+        model("y", [main("a")]), model("y", crossed(main("a"), main("b"))), model("y2", [main("a")]),
+        model("y", [main("a")], early), model("y2", [main("b"), main("z")], early), model("y", [main("b")], F.col("unit") > 5),
+        ModelSpec("y", (main("a"),), ("unit", "country"), "firm"),
+    ]
+    for fit, spec in zip(regress.fit_all(more, specs), specs):
+        alone = regress.fe_ols(more, spec)
+        assert (fit.n_obs, fit.n_clusters, set(fit.estimates)) == (alone.n_obs, alone.n_clusters, set(alone.estimates))
+        for term in alone.estimates:
+            assert fit.estimates[term] == pytest.approx(alone.estimates[term], rel=1e-8)
+            assert fit.std_errors[term] == pytest.approx(alone.std_errors[term], rel=1e-8)
+        for name in ("r2", "adj_r2", "within_r2"):
+            assert getattr(fit, name) == pytest.approx(getattr(alone, name), rel=1e-8)
+
+
+def test_the_number_of_jobs_does_not_grow_with_models(panel):
+    df, _ = panel
+    kept = df.dropna().where("unit < 900").persist()
+    spec = ModelSpec("y", (main("a"), main("b")), ("unit", "year"), "firm")
+    def jobs(outcomes, subsets):
+        tracker, group = kept.sparkSession.sparkContext, f"grid-{len(outcomes)}-{len(subsets)}"
+        tracker.setJobGroup(group, group)
+        fits = regress.model_grid(kept, spec, outcomes, subsets)
+        assert len(fits) == len(outcomes) * len(subsets)
+        return len(tracker.statusTracker().getJobIdsForGroup(group))
+
+    halves = {"all": F.lit(True), "odd": F.col("unit") % 2 == 1, "even": F.col("unit") % 2 == 0, "late": F.col("year") > 2007}
+    assert jobs(["y"], {"all": F.lit(True)}) + 4 >= jobs(["y", "ab"], halves)
+
+
 def test_redundant_terms_are_dropped_and_the_rest_is_unchanged(panel):
     df, _ = panel
     spec = ModelSpec(

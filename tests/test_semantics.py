@@ -16,6 +16,31 @@ def one(spark, column, **values):
     return df.select(column.alias("x")).first()["x"]
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_null_safe_join_spreads_rows_without_a_key(spark, how):
+    def key(i, n):
+        return None if i % 3 else i % n
+
+    left = [(i, key(i, 7), key(i + 1, 5)) for i in range(600)] + [(0, None, None)] * 5
+    right = [(key(i, 7), key(i, 5), 1000 + i) for i in range(40)]
+    ldf = spark.createDataFrame(left, "i int, a int, b int")
+    rdf = spark.createDataFrame(right, "a int, b int, v int")
+    want = []
+    for i, a, b in left:
+        met = [v for ra, rb, v in right if (ra, rb) == (a, b)]
+        want += [(i, a, b, v) for v in met or ([None] if how == "left" else [])]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.join_on(ldf, rdf, ["a", "b"], ["v"], how=how, null_safe=True)
+        assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+        # The left side is read once, and its rows without a key do not meet in one task.
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
+        blank = out.where("a IS NULL AND b IS NULL").groupBy(F.spark_partition_id()).count()
+        assert blank.count() > 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_null_safe_join_and_plain_join(spark):
     left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, l int")
     right = spark.createDataFrame([(None, 10), ("b", 20)], "k string, r int")
