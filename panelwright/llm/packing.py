@@ -11,36 +11,43 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import frozen
-
-#: Words whose ids a worker remembers before it lets go of those not met since the last time it was full.
-CACHE_WORDS = 200_000
-#: Marks that are units of their own at the end of a word of letters.
-_MARKS = frozenset(",.;:!?|")
-_BREAK = re.compile(r"(?= \S)")
-_IRREGULAR = re.compile(r" \s| $")
+from .words import chunks, hash_spans, text_bytes
+
+#: Places for parts whose ids a worker remembers; a part has two places to be at.
+SLOTS = 1 << 20
+#: Ids that a worker remembers before it begins anew.
+MOST_IDS = 1 << 23
+#: First bytes of characters that are certainly visible: others may be white space.
+_VISIBLE = np.array([33 <= b <= 126 or (b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3)) for b in range(256)])
+#: Bytes of letters, and marks that end a unit of letters; an apostrophe may begin one with letters in it.
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_MARK = np.array([chr(b) in ",.;:!?|()[]{}<>\"-*#%&;/" for b in range(256)])
 #: How byte-level encoders of this family cut text before they merge bytes (fixed by the vocabulary file).
 _UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 class Encoder:
-    """Ids of whole texts, put together from the ids of words with their leading space.
+    """Ids of whole texts, put together from the ids of their parts.
 
     A space before a visible character always begins a new unit of a byte-level
-    encoder, so the ids of a text are the ids of its words in a row.  A word
-    not met before is cut into units, whose ids the vocabulary's model gives.
-    Added tokens of the vocabulary, such as an end mark written out in a text,
-    are cut out first; what lies between them is a text of its own.
+    encoder, and so do a mark after a letter and white space after other
+    characters.  Texts are cut there, on their bytes, and the ids of a text are
+    those of its parts in a row.  Parts are told apart by 128-bit names and
+    looked up all at once in a table of those met before; a part not met before
+    is cut into units, whose ids the vocabulary's model gives.  Added tokens of
+    the vocabulary, such as an end mark written out in a text, are cut out
+    first; what lies between them is a text of its own.
     ``encode_special_tokens`` is the tokenizer's flag of that name: special
     ones among them are then text like any other.
     """
@@ -51,13 +58,15 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         if not isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or tokenizer.normalizer is not None:
             raise ValueError("a byte-level vocabulary without normaliser is needed")
+        tokenizer.encode_special_tokens = encode_special_tokens
         self.tokenize = tokenizer.model.tokenize
+        self.full = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         added = {
             n: t for n, t in tokenizer.get_added_tokens_decoder().items() if not (t.special and encode_special_tokens)
         }
         if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError("added tokens that take in or ask for what is beside them are not known")
-        self.added = {t.content: array("I", [n]).tobytes() for n, t in added.items() if t.content}
+        self.added = {t.content: n for n, t in added.items() if t.content}
         # As the tokenizer does: those outside normalisation first, and the longest where several begin.
         self.cuts = [
             re.compile("(" + "|".join(map(re.escape, sorted(some, key=len, reverse=True))) + ")")
@@ -67,15 +76,120 @@ class Encoder:
         stay = {*range(33, 127), *range(161, 173), *range(174, 256)}
         free = iter(range(256, 512))
         self.shown = {b: b if b in stay else next(free) for b in range(256)}
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}  # units that do not begin with a space
+        # Parts are encoded many at a time, one a line, if a line break is a unit with an id of its own.
+        self.break_id = tokenizer.token_to_id(chr(self.shown[10]))
+        self.lines = self.break_id is not None and not any("\n" in content for content in self.added)
+        self._forget()
+
+    def _forget(self) -> None:
+        # Entry 0 is nothing; slots hold the entry of a part, under either of its names.
+        self.names = np.zeros((2, SLOTS), np.uint64)
+        self.entry = np.zeros(SLOTS, np.int32)
+        self.begin, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.entries = 1
+        self.used = 0
+
+    def _remember(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Entries of new parts, whose ids come in a row."""
+        entries = self.entries + np.arange(len(sizes))
+        while self.entries + len(sizes) > len(self.begin):
+            self.begin, self.size = (np.concatenate([c, np.zeros_like(c)]) for c in (self.begin, self.size))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.begin[entries], self.size[entries] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.entries += len(sizes)
+        return entries
+
+    def _one(self, ids: list[int]) -> int:
+        return int(self._remember(np.array(ids, np.uint32), np.array([len(ids)]))[0])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        marks = list(self.added)
-        return [self._cut(text) if any(m in text for m in marks) else self._text(text) for text in texts]
-
-    def _cut(self, text: str) -> bytes:
+        ids, offsets = self.encode_all(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+
+    def encode_all(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each followed by ``end_id`` if given, and the place where each begins."""
+        if self.used > MOST_IDS:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        data, offsets = text_bytes(texts)
+        marked = np.zeros(len(texts), bool)
+        for mark in self.added:
+            marked |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        # A part begins at a space before a visible character, at a mark after a letter, and where a line or a text begins or ends.
+        begins = np.zeros(len(data) + 1, bool)
+        if len(data):
+            begins[:-2] = (data[:-1] == 32) & _VISIBLE[data[1:]]
+            letter = _LETTER[data]
+            letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+            blank, seen = (data >= 9) & (data <= 13), _VISIBLE[data]
+            begins[1:-1] |= letter[:-1] & _MARK[data[1:]]
+            # The last blank before a visible character is a unit of its own, or begins one.
+            begins[1:-1] |= (blank[1:] & (seen | letter)[:-1]) | (blank[:-1] & seen[1:])
+            begins[:-2] |= blank[:-1] & seen[1:]
+            ends = offsets[1:][offsets[1:] > 1] - 1
+            begins[ends] = (blank & np.append(False, (seen | letter)[:-1]))[ends]
+        for row in np.flatnonzero(marked):
+            begins[offsets[row] : offsets[row + 1]] = False
+        begins[offsets[:-1]] = True
+        begins = begins[: len(data)]
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data))
+        first = np.searchsorted(start, offsets)
+        entry = self._entries(data, start, end, first[:-1][marked])
+        for row in np.flatnonzero(marked):
+            entry[first[row]] = self._one(self._cut(texts[row].as_py()))
+        if end_id is not None:
+            entry = np.insert(entry, first[1:], self._one([end_id]))
+            first = first + np.arange(len(first))
+        size = self.size[entry]
+        after = np.cumsum(size)
+        ids = self.ids[np.repeat(self.begin[entry] - (after - size), size) + np.arange(size.sum())]
+        return ids, np.concatenate([[0], after])[first]
+
+    def _entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+        """Entry of each part; new parts are encoded, ``skipped`` ones are not looked at."""
+        one, two = (hash_spans(data, start, end, seed) for seed in (0, 1))
+        shift = np.uint64(65 - SLOTS.bit_length())
+        entry = np.zeros(len(start), np.int32)
+        for slot in (one >> shift, two >> shift):
+            hit = (self.names[0][slot] == one) & (self.names[1][slot] == two)
+            entry[hit] = self.entry[slot[hit]]
+        new = entry == 0
+        new[skipped] = False
+        new = np.flatnonzero(new)
+        if len(new):
+            _, lead, same = np.unique(one[new], return_index=True, return_inverse=True)
+            lead = new[lead]
+            body = data.tobytes()
+            found = self._encoded([body[a:b].decode() for a, b in zip(start[lead].tolist(), end[lead].tolist())])
+            entry[new] = found[same]
+            slot = np.where(self.entry[one[lead] >> shift] == 0, one[lead] >> shift, two[lead] >> shift)
+            self.names[0][slot], self.names[1][slot], self.entry[slot] = one[lead], two[lead], found
+        return entry
+
+    def _encoded(self, parts: list[str]) -> np.ndarray:
+        """Entries of new parts.  A line break between parts without white space at their ends is a unit of its own."""
+        lines, plain = [], np.zeros(len(parts), bool)
+        for i, part in enumerate(parts):
+            bare = part[1:] if part[0] == " " else part
+            if bare and not bare[0].isspace() and not bare[-1].isspace() and "\n" not in bare:
+                plain[i] = self.lines
+                lines.append(part)
+        found = np.zeros(len(parts), np.int64)
+        if self.lines and lines:
+            ids = np.array(self.full("\n".join([*lines, ""])), np.uint32)
+            ends = np.flatnonzero(ids == self.break_id)
+            sizes = np.diff(ends, prepend=-1) - 1
+            found[plain] = self._remember(ids[ids != self.break_id], sizes)
+        for i in np.flatnonzero(~plain).tolist():
+            found[i] = self._one(self._fresh(parts[i]))
+        return found
+
+    def _cut(self, text: str) -> list[int]:
         """Ids of a text with added tokens in it."""
         parts = [(text, False)]
         for cut in self.cuts:
@@ -83,51 +197,12 @@ class Encoder:
                 piece for part, done in parts
                 for piece in ([(part, True)] if done else [(p, i % 2 == 1) for i, p in enumerate(cut.split(part)) if p])
             ]
-        return b"".join(self.added[p] if done else self._text(p) for p, done in parts)
-
-    def _text(self, text: str) -> bytes:
-        if _IRREGULAR.search(text):
-            parts = _BREAK.split(text)
-            parts = [parts[0], *[p[1:] for p in parts[1:]]]
-        else:
-            parts = text.split(" ")
-        ids = list(map(self.words.get, parts))
-        ids[0] = self._fresh(parts[0])
-        if None in ids:
-            ids = [self._word(p) if i is None else i for p, i in zip(parts, ids)]
-        return b"".join(ids)
-
-    def _word(self, part: str) -> bytes:
-        """Ids of a word with a space before it."""
-        ids = self.words.get(part) or self.older.get(part)
-        if ids is None:
-            if part.isalpha():
-                ids = self._unit(" " + part)
-            elif part[-1:] in _MARKS and part[:-1].isalpha():
-                ids = self._word(part[:-1]) + self._bare(part[-1])
-            else:
-                ids = self._fresh(" " + part)
-        if len(part) < 64:
-            if len(self.words) >= CACHE_WORDS:
-                self.older, self.words = self.words, {}
-            self.words[part] = ids
-        return ids
-
-    def _fresh(self, word: str) -> bytes:
-        units = _UNIT.findall(word)
-        return b"".join([self._word(u[1:]) if u[0] == " " and u[1:].isalpha() else self._bare(u) for u in units])
-
-    def _bare(self, unit: str) -> bytes:
-        ids = self.bare.get(unit)
-        if ids is None:
-            ids = self._unit(unit)
-            if len(self.bare) < CACHE_WORDS // 4 and len(unit) < 64:
-                self.bare[unit] = ids
-        return ids
-
-    def _unit(self, unit: str) -> bytes:
-        shown = unit.encode().decode("latin-1").translate(self.shown)
-        return array("I", [token.id for token in self.tokenize(shown)]).tobytes()
+        return [i for p, done in parts for i in ([self.added[p]] if done else self._fresh(p))]
+
+    def _fresh(self, text: str) -> list[int]:
+        units = [text] if text.isalpha() or text[0] == " " and text[1:].isalpha() else _UNIT.findall(text)
+        shown = [unit.encode().decode("latin-1").translate(self.shown) for unit in units]
+        return [token.id for unit in shown for token in self.tokenize(unit)]
 
 
 _PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, local bigint"
@@ -135,28 +210,25 @@ _PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint,
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder, part, seen = None, TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-    end = np.asarray([end_id], "<u4").tobytes()
-    for batch in batches:
+    for batch in chunks(batches, "text"):
         encoder = encoder or Encoder(tokenizer, encode_special_tokens=False)
-        for first in range(0, batch.num_rows, 256):
-            rows = batch.slice(first, 256)
-            out = []
-            encoded = encoder.encode([t or "" for t in rows.column("text").to_pylist()])
-            for key, ids in zip(rows.column("id").to_pylist(), encoded):
-                view = memoryview(ids + end)
-                total, start, piece = len(view) // 4, 0, 0
-                length = (total - 1) % size + 1
-                while start < total:
-                    crc = zlib.crc32(view[4 * start : 4 * (start + length)])
-                    out.append((key, piece, start, length, crc, part, int(seen[length])))
-                    seen[length] += 1
-                    start, piece, length = start + length, piece + 1, size
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (
-                    pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(),
-                ))],
-                ["id", "piece", "start", "length", "ids_crc32", "part", "local"],
-            )
+        ids, places = encoder.encode_all(batch.column("text"), end_id)
+        view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+        out = []
+        for key, begin, end in zip(batch.column("id").to_pylist(), places[:-1].tolist(), places[1:].tolist()):
+            start, piece = begin, 0
+            length = (end - begin - 1) % size + 1
+            while start < end:
+                crc = zlib.crc32(view[4 * start : 4 * (start + length)])
+                out.append((key, piece, start - begin, length, crc, part, int(seen[length])))
+                seen[length] += 1
+                start, piece, length = start + length, piece + 1, size
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out), (
+                pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(),
+            ))],
+            ["id", "piece", "start", "length", "ids_crc32", "part", "local"],
+        )
 
 
 def _spread(values: np.ndarray, count: int) -> np.ndarray:

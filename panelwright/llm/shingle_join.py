@@ -24,7 +24,7 @@ from ..session import frozen, scratch_path
 from .components import components
 from .shared_arrays import load, per_group, save
 from .tiles import forest, per_tile, tiled
-from .words import Words, _random_words, chunks, ids, mix, span_hash, _WORD_POWERS
+from .words import Words, _random_words, chunks, ids, mix, sequence_hashes
 
 TREES, DEPTH = 16, 6
 #: Signatures agree on this much less than the threshold before a pair is left out: five standard errors.
@@ -47,7 +47,7 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     doc = words.doc_of_word()[starts] if len(starts) else np.zeros(0, np.int64)
     short = np.flatnonzero((words.count > 0) & (words.count < size))
     if len(short):
-        own = span_hash(hashes, words.doc_start[short], words.doc_start[short + 1], _WORD_POWERS[0])
+        own = sequence_hashes(hashes, words.doc_start[short], words.doc_start[short + 1])
         doc, values = np.concatenate([doc, short]), np.concatenate([values, own])
         order = np.argsort(doc, kind="stable")
         doc, values = doc[order], values[order]
@@ -56,7 +56,7 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _fingerprints(words: Words) -> list[np.ndarray]:
     return [
-        span_hash(words.hashes(seed=s), words.doc_start[:-1], words.doc_start[1:], _WORD_POWERS[s]).view(np.int64)
+        sequence_hashes(words.hashes(seed=s), words.doc_start[:-1], words.doc_start[1:], s).view(np.int64)
         for s in (0, 1)
     ]
 

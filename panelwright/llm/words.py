@@ -1,9 +1,9 @@
 """Words of whole texts as 64-bit hashes, computed on Arrow buffers without a Python object per word.
 
 A word is a maximal run of bytes other than space and the controls 9 to 13.
-Its hash is a polynomial over a random byte table, read off a prefix sum, so a
-batch costs a few vector operations per byte.  Hashes of k consecutive words
-come from a second prefix sum over the word hashes.
+Its hash mixes eight bytes at a time with their place, so a batch costs a few
+vector operations per word.  Hashes of k consecutive words are joined from
+those of shorter runs by a function that mixes as well.
 """
 
 from __future__ import annotations
@@ -36,47 +36,53 @@ def _random_words(seed: int, count: int) -> np.ndarray:
     return mix(steps * np.uint64(0x9E3779B97F4A7C15))
 
 
-#: Powers are kept for the longest chunk so far, in steps of this many.
-_GRAIN = 1 << 16
+#: Factors and offsets of each seed.
+_SEEDED = {seed: _random_words(71 + seed, 4) | np.uint64(1) for seed in range(2)}
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse, grown on demand."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of data[start:end] for each span of at least one byte.
 
-    def __init__(self, seed: int):
-        self.base = np.uint64(int(_random_words(seed, 1)[0]) | 1)
-        self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def need(self, size: int) -> None:
-        if len(self.up) < size:
-            size = (size // _GRAIN + 1) * _GRAIN
-            for name, factor in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, factor, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-
-_BYTE_POWERS = (_Powers(11), _Powers(12))
-_WORD_POWERS = (_Powers(21), _Powers(22))
-_TABLES = {}
-
-
-def _table(seed: int, lower: bool) -> np.ndarray:
-    if (seed, lower) not in _TABLES:
-        table = _random_words(31 + seed, 256)
-        if lower:
-            table[65:91] = table[97:123]
-        _TABLES[seed, lower] = table
-    return _TABLES[seed, lower]
-
-
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
-    """Hash of values[start:end] for each span."""
-    powers.need(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers.up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * powers.down[starts])
+    Eight bytes at a time are mixed with their place in the span before they
+    are added up, so no arrangement of equal blocks cancels out.
+    """
+    factor, offset, step, last = _SEEDED[seed]
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    hashes = mix(((eight[starts] & _MASKS[np.minimum(size, 8)]) ^ offset) + size.astype(np.uint64) * factor)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        blocks = (size[long] - 1) // 8
+        begin = np.cumsum(blocks) - blocks
+        place = np.arange(blocks.sum()) - np.repeat(begin, blocks) + 1
+        at = np.repeat(starts[long], blocks) + 8 * place
+        left = np.minimum(np.repeat(ends[long], blocks) - at, 8)
+        parts = mix((eight[at] & _MASKS[left]) + place.astype(np.uint64) * step)
+        hashes[long] = mix(hashes[long] * last + np.add.reduceat(parts, begin))
+    return hashes
+
+
+def _joined(first: np.ndarray, second: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of two strings of words in a row, from theirs."""
+    return mix(first * _SEEDED[seed][0] + second + _SEEDED[seed][2])
+
+
+def sequence_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the words from each start to its end; spans lie in a row and do not overlap."""
+    size = ends - starts
+    total = np.zeros(len(starts), np.uint64)
+    full = np.flatnonzero(size > 0)
+    if len(full):
+        begin = np.cumsum(size[full]) - size[full]
+        place = np.arange(size[full].sum()) - np.repeat(begin, size[full])
+        words = hashes[np.repeat(starts[full], size[full]) + place]
+        total[full] = np.add.reduceat(mix(words + (place + 1).astype(np.uint64) * _SEEDED[seed][1]), begin)
+    return mix(total + size.astype(np.uint64) * _SEEDED[seed][3])
 
 
 class Words:
@@ -106,7 +112,7 @@ class Words:
         self.count = np.diff(self.doc_start)
 
     def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
-        return span_hash(_table(seed, lower)[self.data], self.start, self.end, _BYTE_POWERS[seed])
+        return hash_spans(_LOWER[self.data] if lower else self.data, self.start, self.end, seed)
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
@@ -119,7 +125,18 @@ class Words:
 
     @staticmethod
     def window_hashes(hashes: np.ndarray, starts: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-        return span_hash(hashes, starts, starts + size, _WORD_POWERS[seed])
+        """Hash of the ``size`` words from each start on, from hashes of 1, 2, 4 ... words in a row."""
+        n, width, done = len(hashes), 1, 0
+        level, whole = hashes, hashes[:0]
+        while len(starts):
+            if size & width:
+                whole = _joined(whole[: n - done - width + 1], level[done:], seed) if done else level
+                done += width
+            if done == size:
+                return whole[starts]
+            level = _joined(level[: n - 2 * width + 1], level[width:], seed)
+            width *= 2
+        return hashes[:0]
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -320,3 +320,41 @@ def test_decontamination(spark, docs_of, odd, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, table).collect()} == set(wanted)
     assert decontaminate.find_leaks(odd, table).count() == 0 and decontaminate.drop_leaks(odd, table.limit(0)).count() == odd.count()
     assert decontaminate.find_leaks(docs.limit(0), table).count() == 0
+
+
+def thue_morse(size):
+    """Two words that polynomial hashes with an odd base do not tell apart modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_cancel_out_are_told_apart(docs_of):
+    from panelwright.llm import decontaminate, shingle_join
+
+    one, two = thue_morse(1024)
+    found = words.Words(pa.array([f"{one} {two}", " ".join(thue_morse(2048)[0]), " ".join(thue_morse(2048)[1])]))
+    for seed in (0, 1):
+        hashes = found.hashes(seed=seed)
+        assert hashes[0] != hashes[1]
+        assert len(set(words.sequence_hashes(hashes, found.doc_start[:-1], found.doc_start[1:], seed).tolist())) == 3
+        long = words.Words.window_hashes(hashes, np.array([2, 2050]), 2048, seed)
+        assert long[0] != long[1]
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = docs_of([f"{one} {rest}", f"{two} {rest}"])
+    assert [r["n_removed"] for r in repeats.drop_repeats(docs).collect()] == [0, 0]
+    scored = kneser_ney.score_texts(docs, kneser_ney.train(docs.where("doc_id = 0"))).orderBy("doc_id").collect()
+    assert [r["n_known"] for r in scored] == [21, 20]
+    same = shingle_join.near_duplicates(docs_of([" ".join([one] * 3), " ".join([two] * 3)])).collect()
+    assert [r["n_links"] for r in same] == [0, 0]
+    items = docs_of([" ".join([two] * 12)]).withColumnRenamed("doc_id", "item_id")
+    assert decontaminate.find_leaks(docs_of([" ".join([one] * 30)]), items).count() == 0
+
+
+def test_spans_of_all_lengths_have_their_own_hash():
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 3, 300).astype(np.uint8)
+    spans = [(a, b) for a in range(300) for b in range(a + 1, min(a + 40, 301))]
+    starts, ends = np.array(spans).T
+    hashes = words.hash_spans(data, starts, ends)
+    bodies = [data[a:b].tobytes() for a, b in spans]
+    assert len(set(hashes.tolist())) == len(set(bodies)) == len({(h, b) for h, b in zip(hashes.tolist(), bodies)})
