@@ -1,9 +1,20 @@
-"""Readers and writers for delimited files and Parquet stages."""
+"""Readers and writers for delimited files and Parquet stages.
+
+Files whose cells hold line breaks are read by many tasks all the same.  A
+first pass gives, for each split of a file, the parity of its quotes and the
+records that begin in it, were it entered inside or outside a cell.  Combined
+in the order of the splits these say how each split is really entered, and the
+number of its first record.  In the second pass every split puts its own lines
+together; what a split leaves open is joined to the pieces that follow.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import year_month_day
@@ -38,6 +49,141 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return placed.withColumn("_place", F.col("_before") + F.col("_id") - F.col("_first") + 1)
 
 
+_SPLIT = ["_file", "_block"]
+_WHOLE, _OPENS, _GOES_ON = range(3)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file and split, in the order they have there."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    )
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where a new split begins."""
+    for batch in batches:
+        if batch.num_rows:
+            files = batch.column("_file").dictionary_encode().indices.to_numpy()
+            blocks = batch.column("_block").to_numpy()
+            cut = np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
+                yield batch.slice(int(a), int(b - a))
+
+
+def _odd(lines: pa.Array) -> np.ndarray:
+    """Which lines have an odd number of quotes."""
+    return pc.fill_null(pc.count_substring(lines, '"'), 0).to_numpy(zero_copy_only=False) % 2 == 1
+
+
+def _split_of(batch: pa.RecordBatch) -> tuple:
+    return batch.column("_file")[0].as_py(), batch.column("_block")[0].as_py()
+
+
+def _summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each split: whether its quotes are odd in number, and the lines that begin a record if entered outside, or inside, a cell."""
+    rows: dict[tuple, list] = {}
+    for batch in _by_split(batches):
+        row = rows.setdefault(_split_of(batch), [0, 0, 0])
+        odd = _odd(batch.column("value"))
+        before = (np.cumsum(odd) - odd + row[0]) % 2
+        row[1] += int((before == 0).sum())
+        row[2] += int((before == 1).sum())
+        row[0] = int(row[0] + odd.sum()) % 2
+    if rows:
+        columns = zip(*[(*split, *row) for split, row in rows.items()])
+        kinds = (pa.string(), *[pa.int64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [*_SPLIT, "odd", "outside", "inside"])
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of each split, numbered; the piece that ends an earlier record, and the one that is left open."""
+    split, inside, place, held = None, False, 0, []
+
+    def piece(values: list, places: list, kinds: list) -> pa.RecordBatch:
+        count = len(values)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([split[0]] * count, pa.string()), pa.array([split[1]] * count, pa.int64()),
+             pa.array(places, pa.int64()), pa.array(kinds, pa.int32()), pa.array(values, pa.string())],
+            [*_SPLIT, "_place", "_kind", "value"],
+        )
+
+    def left_open() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield piece(["\n".join(held)], [place], [_OPENS if begun else _GOES_ON])
+
+    begun = True
+    for batch in _by_split(batches):
+        if _split_of(batch) != split:
+            yield from left_open()
+            split, held = _split_of(batch), []
+            inside, place = batch.column("_inside")[0].as_py() == 1, batch.column("_before")[0].as_py()
+            begun = not inside
+        odd = _odd(batch.column("value"))
+        if not inside and not odd.any():  # the common case: a record a line
+            count = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_file"), batch.column("_block"), pa.array(np.arange(place + 1, place + count + 1)),
+                 pa.array(np.full(count, _WHOLE, np.int32)), batch.column("value")],
+                [*_SPLIT, "_place", "_kind", "value"],
+            )
+            place += count
+            continue
+        values, places, kinds = [], [], []
+        for line, turns in zip(batch.column("value").to_pylist(), odd.tolist()):
+            if not inside:
+                place, begun = place + 1, True
+            held.append(line)
+            inside = inside != turns
+            if not inside:
+                values.append("\n".join(held))
+                places.append(place)
+                kinds.append(_WHOLE if begun else _GOES_ON)
+                held = []
+        if values:
+            yield piece(values, places, kinds)
+    yield from left_open()
+
+
+def read_records(
+    spark: SparkSession, path: str, schema: str, separator: str = ",", header: bool = True, number: bool = False, **options: str
+) -> DataFrame:
+    """Delimited files whose quoted cells may hold line breaks, each read by as many tasks as it has splits.
+
+    Quotes inside cells are doubled.  A cell's line breaks are kept; a record
+    may end in CR LF; blank lines are left out.  ``number`` adds ``_file`` and
+    ``_place``, the record's number in its file from 1, counting blank lines but
+    not the header.  The two passes must see the same splits: if files or
+    settings change in between, reading fails.
+    """
+    splits = _lines(spark, path).mapInArrow(_summed_up, "_file string, _block bigint, odd bigint, outside bigint, inside bigint")
+    earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    entered = splits.withColumn("_inside", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    entered = entered.withColumn("_here", F.when(F.col("_inside") == 1, F.col("inside")).otherwise(F.col("outside")))
+    # One row per split of the files, as many as tasks.
+    entered = frozen(entered.select(*_SPLIT, "_inside", F.coalesce(F.sum("_here").over(earlier), F.lit(0)).alias("_before")))
+    known = _lines(spark, path).join(F.broadcast(entered), _SPLIT, "left").withColumn("_inside", F.coalesce(
+        "_inside", F.raise_error(F.lit("the splits of the files changed between two readings")).cast("bigint")
+    ))
+    pieces = known.mapInArrow(_put_together, "_file string, _block bigint, _place bigint, _kind int, value string")
+    whole = pieces.where(F.col("_kind") == _WHOLE)
+    # At most two pieces per split; a piece goes on with the record that was opened last.
+    parts = frozen(pieces.where(F.col("_kind") != _WHOLE))
+    order = W.partitionBy("_file").orderBy("_block", F.desc("_kind"))
+    opened = parts.withColumn("_record", F.sum((F.col("_kind") == _OPENS).cast("int")).over(order))
+    joined = opened.groupBy("_file", "_record").agg(
+        F.min("_place").alias("_place"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", (-F.col("_kind")).alias("_k"), "value"))), lambda p: p["value"]), "\n").alias("value"),
+    )
+    records = whole.select("_file", "_place", "value").unionByName(joined.select("_file", "_place", "value"))
+    if header:
+        records = records.where("_place > 1").withColumn("_place", F.col("_place") - 1)
+    records = records.withColumn("value", F.regexp_replace("value", "\r$", "")).where("value != ''")
+    settings = {"sep": separator, "escape": '"', "mode": "FAILFAST", "maxCharsPerColumn": "-1", **options}
+    cells = records.select("_file", "_place", F.from_csv("value", schema, settings).alias("_cells"))
+    return cells.select(*(["_file", "_place"] if number else []), "_cells.*")
+
+
 def read_headerless_skip(
     spark: SparkSession, path: str, positions: Mapping[str, int], date_position: int,
     width: int, date_name: str = "date", skip: int = 2,
@@ -72,8 +218,7 @@ def read_sheet_export(
     CSV exports need their column names declared, Parquet exports carry them.
     ``skip`` data rows at the start of each file are left out; ``position``
     names a column with the row's number over all files, in order of their
-    names.  Cells with line breaks keep a CSV file in one task; large sheets
-    should be exported to Parquet.
+    names.  Cells may hold line breaks; a large file is read by many tasks.
     """
     if kind == "parquet":
         sheet = spark.read.parquet(path)
@@ -87,10 +232,7 @@ def read_sheet_export(
             raise ValueError("declare the columns of a CSV export")
         names = list(columns)
         schema = ", ".join(f"`{name}` string" for name in names)
-        rows = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', enforceSchema=True).csv(path)
-        if not skip and position is None:
-            return rows
-        rows = _numbered(rows)
+        rows = read_records(spark, path, schema, number=True)
     if skip:
         rows = rows.where(F.col("_place") > skip)
     if position is not None:

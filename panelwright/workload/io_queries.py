@@ -87,10 +87,9 @@ def csv_export(t):
     # Whole texts with line breaks and quotes survive the round trip.
     documents = t.documents.select("doc_id", "text", "lang", "n_chars")
     path = files.csv_export(documents, scratch_path(t.spark, "documents-csv"))
-    return files.read_delimited(
-        t.spark, path, "doc_id bigint, text string, lang string, n_chars bigint", multiLine="true",
+    return files.read_records(
+        t.spark, path, "doc_id bigint, text string, lang string, n_chars bigint",
         emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
-        maxCharsPerColumn="-1",
     )
 
 

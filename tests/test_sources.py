@@ -86,3 +86,38 @@ def test_batches_recombine(spark, n):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+@pytest.mark.parametrize("split", ["1k", "4k", "64m"])
+def test_cells_with_line_breaks_are_read_by_many_tasks(spark, tmp_path, split):
+    import csv
+    import random
+
+    rng = random.Random(7)
+    def cell(k):
+        size = 9_000 if k % 61 == 0 else rng.randrange(0, 60)  # some cells span several splits
+        return "".join(rng.choice(['a', 'b ', '"', ',', '\n', '\\', 'é', '""\n"']) for _ in range(size)) or "-"
+
+    rows = {"one": [(str(k), cell(k), cell(k + 1)) for k in range(250)], "two": [("x", "\n", '"')], "three": []}
+    folder = tmp_path / split
+    folder.mkdir()
+    for name, own in rows.items():
+        with open(folder / f"{name}.csv", "w", newline="") as file:
+            writer = csv.writer(file, lineterminator="\n" if name == "one" else "\r\n")
+            writer.writerows([("id", "a\nb", "c"), *own])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "16")
+    try:
+        out = files.read_records(
+            spark, str(folder), "id string, a string, b string", number=True,
+            ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
+        )
+        got = {(r["_file"].rsplit("/", 1)[-1], r["_place"]): (r["id"], r["a"], r["b"]) for r in out.collect()}
+        assert got == {(f"{name}.csv", k): row for name, own in rows.items() for k, row in enumerate(own, 1)}
+        if split == "4k":
+            assert files._lines(spark, str(folder)).rdd.getNumPartitions() > 10
+        sheet = files.read_sheet_export(spark, str(folder / "one.csv"), ["id", "a", "b"], skip=3, position="n")
+        assert sorted((r["n"], r["id"]) for r in sheet.select("n", "id").collect())[:2] == [(1, "3"), (2, "4")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
