@@ -43,7 +43,7 @@ STAGES = [
     ("quality", good_texts), ("near_duplicates", one_of_each), ("decontamination", without_benchmark),
     ("secrets", without_secrets), ("packing", packed),
 ]
-#: No stage before the last can be said in SQL; tests hold every stage against a plain version.
+#: No stage before the last can be said in SQL.
 ORACLE_SQL = None
 
 
