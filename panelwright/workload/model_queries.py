@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import regress
+from ..operators import regress, regress_leave_out
 from ..operators.regress import ModelSpec, computed, crossed, interaction, main
 from .registry import query
 from .stats_queries import t_probability_sql
@@ -196,6 +196,18 @@ def subsample_fit(t):
     return rounded_coefficients(fit.coefficients())
 
 
+_LEFT_OUT = (0, 3, 11, 24)
+
+
+@query("leave_out_fits", with_balanced(
+    "".join(f", rest{k} AS (SELECT * FROM balanced WHERE nation <> {k}), " + fit_ctes(f"o{k}", f"rest{k}", "unit") for k in _LEFT_OUT)
+    + "\n" + "\nUNION ALL ".join(coefficient_rows(f"o{k}", f"without {k}") for k in _LEFT_OUT)
+))
+def leave_out_fits(t):
+    fits = regress_leave_out.leave_out_fits(t.balanced, unit_spec(), "nation", _LEFT_OUT)
+    return rounded_coefficients(regress.tidy(list(fits.values())))
+
+
 def _table_sql() -> str:
     models = {"unit_fe": "u", "nation_fe": "v"}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import distributions, regress
 from panelwright.operators.regress import ModelSpec, computed, crossed, interaction, main
+from panelwright.session import frozen
 
 
 def dense_fit(data, y, terms, effects, cluster):
@@ -156,6 +157,34 @@ def test_models_fitted_together_equal_models_fitted_alone(panel, effects):
             assert getattr(fit, name) == pytest.approx(getattr(alone, name), rel=1e-8)
 
 
+def test_leave_out_fits_equal_refits(panel):
+    from panelwright.operators import regress_leave_out
+
+    df, data = panel
+    # A group per unit, clusters that span groups; year 2030 has one row outside group 3, rows of group "none" have no group.
+    more = df.withColumns({"part": F.when(F.col("country") != 5, F.concat(F.lit("g"), "country")), "b": F.col("b") + 1000 * F.col("unit")})
+    extra = more.where("unit = 9").limit(2).unionByName(more.where("unit = 10").limit(1)).withColumn("year", F.lit(2030))
+    more = frozen(more.unionByName(extra))
+    spec = ModelSpec("y", tuple(crossed(main("a"), main("b"))), ("unit", "year"), "firm")
+    fits = regress_leave_out.leave_out_fits(more, spec, "part")
+    assert list(fits) == [f"g{i}" for i in range(5)]
+    for value, fit in fits.items():
+        alone = regress.fe_ols(more.where(~F.col("part").eqNullSafe(F.lit(value))), spec)
+        assert (fit.n_obs, fit.n_clusters, set(fit.estimates)) == (alone.n_obs, alone.n_clusters, set(alone.estimates))
+        for term in alone.estimates:
+            assert fit.estimates[term] == pytest.approx(alone.estimates[term], rel=1e-7)
+            assert fit.std_errors[term] == pytest.approx(alone.std_errors[term], rel=1e-7)
+        for name in ("r2", "adj_r2", "within_r2"):
+            assert getattr(fit, name) == pytest.approx(getattr(alone, name), rel=1e-7)
+    some = more.where("unit % 5 = 0").select("unit").distinct()
+    check(
+        regress_leave_out.leave_units_out(df, ModelSpec("y", (main("a"),), ("unit", "year"), "firm"), some),
+        dense_fit(data[data["unit"] % 5 != 0], "y", ["a"], ["unit", "year"], "firm"), ["a"],
+    )
+    with pytest.raises(ValueError, match="several groups"):
+        regress_leave_out.leave_out_fits(df, spec, "year")
+
+
 def test_the_number_of_jobs_does_not_grow_with_models(panel):
     df, _ = panel
     kept = df.dropna().where("unit < 900").persist()
