@@ -1,13 +1,19 @@
 """Near-duplicate texts by Jaccard similarity of word n-grams: MinHash LSH forest, then exact check.
 
 Every text gets a MinHash signature; exact copies (same words) are one text
-from then on.  Each tree of the forest sorts the texts by its part of the
-signature; texts that share a prefix of it are candidates.  The prefixes begin
-at a length at which a pair at the threshold itself is found with the target's
-chance, and are shortened until the estimated recall reaches it too.  The
-estimate weighs every similar pair seen by how often such a pair shows up.
-Candidates that their signatures put near the threshold are linked to clusters,
-and inside clusters every pair is compared exactly, in tiles.
+from then on.  Each tree of the forest is the sorted table of its part of the
+signatures, a trie whose nodes are runs of rows with a common prefix; a row
+knows how many values it shares with its neighbours, so rows that are alone in
+their node leave without a shuffle.
+
+Texts that share a prefix are candidates.  The first prefixes are whole keys of
+the trees.  The least similar pair seen, as signatures show it, but at least the
+threshold, tells how far prefixes must be shortened for such a pair to be found
+with the target's chance; that may show still less similar pairs, and ends when
+the prefixes are short enough for all.  A round compares only pairs that come
+together by its shorter prefix.  Candidates that their signatures put near the
+threshold are linked to clusters, and inside clusters every pair is compared
+exactly, in tiles.
 """
 
 from __future__ import annotations
@@ -20,13 +26,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import frozen, scratch_path
+from ..session import discard, frozen, scratch_path
 from .components import components
 from .shared_arrays import load, per_group, save
 from .tiles import forest, per_tile, tiled
-from .words import Words, _random_words, chunks, ids, mix, sequence_hashes
+from .words import Words, _random_words, chunks, ids, sequence_hashes
 
 TREES, DEPTH = 16, 6
+LEVELS = [f"k{level}" for level in range(DEPTH)]
 #: Signatures agree on this much less than the threshold before a pair is left out: five standard errors.
 MARGIN = 0.2
 _FACTORS = _random_words(71, TREES * DEPTH) | np.uint64(1)
@@ -81,21 +88,69 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Rec
         row += batch.num_rows
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """The prefix of each tree, as a hash."""
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The key of each text in each tree."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        marks = _marks(batch.column("signature")).reshape(-1, TREES, DEPTH)[:, :, :depth].astype(np.uint64)
-        code = np.broadcast_to(np.arange(TREES, dtype=np.uint64), marks.shape[:2])
-        for level in range(depth):
-            code = mix(code ^ (marks[:, :, level] << np.uint64(8)))
-        rows = batch.column("row").to_numpy()
+        keys = _marks(batch.column("signature")).reshape(-1, DEPTH).view(np.int32)
+        trees = np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)
+        rows = np.repeat(batch.column("row").to_numpy(), TREES)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(rows, TREES)), pa.array(code.reshape(-1).view(np.int64))], ["row", "prefix"]
+            [pa.array(rows), pa.array(trees), *[pa.array(keys[:, level]) for level in range(DEPTH)]],
+            ["row", "tree", *LEVELS],
         )
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted entries with the number of values they share with a neighbour; entries that share none are left out.
+
+    The first and the last entry of a task may go on in another one, and count as sharing all.
+    """
+    def common(keys: np.ndarray) -> np.ndarray:
+        """Values that each row but the last shares with the next; the first column is the tree."""
+        same = np.logical_and.accumulate(keys[1:] == keys[:-1], axis=1)
+        return np.maximum(same.sum(axis=1) - 1, 0)
+
+    held, up = None, DEPTH  # the last entry, whose next one is not known yet, and what it shares with the one before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch if held is None else pa.concat_batches([held, batch])
+        shared = common(np.column_stack([batch.column(c).to_numpy() for c in ("tree", *LEVELS)]))
+        before = np.concatenate([[up], shared])
+        most = np.maximum(before[:-1], shared)
+        held, up = batch.slice(batch.num_rows - 1), int(before[-1])
+        yield _with_shared(batch.slice(0, batch.num_rows - 1), most)
+    if held is not None:
+        yield _with_shared(held, np.array([DEPTH]))
+
+
+def _with_shared(batch: pa.RecordBatch, shared: np.ndarray) -> pa.RecordBatch:
+    whole = pa.RecordBatch.from_arrays(
+        [*batch.columns, pa.array(shared.astype(np.int32))], [*batch.schema.names, "shared"]
+    )
+    return whole.filter(pa.array(shared > 0))
+
+
+def sorted_tries(marks: DataFrame) -> DataFrame:
+    """All trees as one sorted table: row, tree, the values of the key, and how many a neighbour shares."""
+    columns = ", ".join(f"{c} int" for c in ("tree", *LEVELS))
+    entries = marks.mapInArrow(_entries, f"row bigint, {columns}")
+    order = ["tree", *LEVELS, "row"]
+    return frozen(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        _neighbours, f"row bigint, {columns}, shared int"
+    ))
+
+
+def _nodes(tries: DataFrame, depth: int, before: int | None) -> DataFrame:
+    """Rows in the nodes of a depth, with the branch they were compared in ``before``, if any."""
+    branch = F.xxhash64(*LEVELS[depth:before]) if before else F.col("row")
+    return tries.where(F.col("shared") >= depth).select(
+        "row", F.xxhash64("tree", *LEVELS[:depth]).alias("prefix"), branch.alias("branch")
+    )
+
+
 def _marks(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
 
@@ -105,37 +160,42 @@ def _found(similarity: np.ndarray, depth: int) -> np.ndarray:
     return 1 - (1 - similarity**depth) ** TREES
 
 
-def _screen(table: pa.Table, threshold: float, depth: int) -> Iterator[pa.RecordBatch]:
-    """Links between candidates whose signatures agree enough, and what recall they speak for."""
+def _shortened(similarity: float, depth: int, target: float) -> int:
+    """Longest prefix, of ``depth`` values or fewer, by which a pair is found with the target's chance; at least 1."""
+    return next((d for d in range(depth, 1, -1) if _found(np.float64(similarity), d) >= target), 1)
+
+
+def _screen(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between candidates whose signatures agree enough, and the least agreement of these."""
     table = table.combine_chunks()
     rows, first = np.unique(table.column("row").to_numpy(), return_index=True)
     marks = _marks(table.column("signature").chunk(0))[first]
-    side = table.column("side").to_numpy()[first]
+    side, branch = (table.column(c).to_numpy()[first] for c in ("side", "branch"))
+    across = table.column("i")[0] != table.column("j")[0]
     cluster = np.arange(len(rows))
-    links, found, total = [], 0.0, 0.0
+    links, least = [], None
     for lead in range(len(rows)):
-        # A row is compared with all later ones that are not linked with it yet; a tile of two blocks leaves
-        # pairs inside one block to that block's own tile.
-        other = np.flatnonzero(cluster != cluster[lead])
+        # A row is compared with all later ones that are not linked with it yet and came by another branch; a tile of
+        # two blocks leaves pairs inside one block to that block's own tile.
+        other = np.flatnonzero((cluster != cluster[lead]) & (branch != branch[lead]))
         other = other[other > lead]
-        if len(set(table.column("i")[:1].to_pylist() + table.column("j")[:1].to_pylist())) == 2:
+        if across:
             other = other[side[other] != side[lead]]
         if not len(other):
             continue
         share = (marks[other] == marks[lead]).mean(axis=1)
         near = share >= threshold - MARGIN
-        sure = share[share >= threshold]
-        weight = 1 / (TREES * sure**depth)
-        found, total = found + float((weight * _found(sure, depth)).sum()), total + float(weight.sum())
+        if near.any():
+            least = min(share[near].min(), 1.0 if least is None else least)
         for o in other[near]:
             if cluster[o] != cluster[lead]:
                 links.append((rows[lead], rows[o]))
                 cluster[cluster == cluster[o]] = cluster[lead]
-    a, b = (list(x) for x in zip(*links)) if links else ([], [])
+    if least is None:
+        return
+    a, b = zip(*links)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([*a, None], pa.int64()), pa.array([*b, None], pa.int64()),
-         pa.array([0.0] * len(a) + [found]), pa.array([0.0] * len(a) + [total])],
-        ["a", "b", "found", "total"],
+        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([float(least)] * len(a))], ["a", "b", "least"]
     )
 
 
@@ -219,6 +279,27 @@ def _verify(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _candidates(marks: DataFrame, threshold: float, target: float) -> DataFrame:
+    """Links ``a``, ``b`` between texts whose signatures are alike, from prefixes shortened until they suffice."""
+    tries = sorted_tries(marks)
+    links, worst, depth, before = None, 1.0, DEPTH, None
+    while True:
+        members = tiled(_nodes(tries, depth, before), ["prefix"], "row", SIGNATURE_BLOCK, differs="branch")
+        screened = frozen(per_tile(
+            members.join(marks, "row"), ["prefix"], partial(_screen, threshold=threshold),
+            "a bigint, b bigint, least double",
+        ))
+        found = screened.select("a", "b")
+        links = found if links is None else links.unionByName(found)
+        least = screened.agg(F.min("least")).first()[0]
+        worst = min(worst, max(threshold, 1.0 if least is None else least))
+        shorter = _shortened(worst, depth, target)
+        if shorter == depth:
+            discard(tries)
+            return links
+        depth, before = shorter, depth
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8,
     target: float = 0.9995,
@@ -228,6 +309,9 @@ def near_duplicates(
     Two rows are linked if the Jaccard similarity of their sets of ``size``
     words is ``threshold`` or more; a class is what links reach, named by its
     smallest key, and ``kept`` marks one row of each class, one with that key.
+    A pair is found with a chance of ``target`` or more; of the pairs met, those
+    whose signatures agree on less than the threshold by ``MARGIN`` are left out
+    (at the threshold itself less than one pair in a million).
     Texts of fewer words are one shingle; null texts and texts without words
     link with nothing and are classes of their own.  Repeated rows are copies
     like others; a null key comes after all others.  Other columns are not
@@ -247,20 +331,7 @@ def near_duplicates(
         ).select("f1", "f2", "first.id", "first.row", "copies")
     )
     marks = frozen(every.select("row", "signature").join(texts.select("row"), "row"))
-    links = None
-    depth = next((d for d in range(DEPTH, 1, -1) if _found(np.float64(threshold), d) >= target), 1)
-    while True:
-        prefixes = marks.mapInArrow(partial(_prefixes, depth=depth), "row bigint, prefix bigint")
-        tiles = tiled(prefixes, ["prefix"], "row", SIGNATURE_BLOCK).join(marks, "row")
-        screened = frozen(per_tile(
-            tiles, ["prefix"], partial(_screen, threshold=threshold, depth=depth),
-            "a bigint, b bigint, found double, total double",
-        ))
-        found, total = screened.agg(F.sum("found"), F.sum("total")).first()
-        links = screened.where("a IS NOT NULL").select("a", "b")
-        if depth == 1 or not total or found >= target * total:
-            break
-        depth -= 1
+    links = _candidates(marks, threshold, target)
     clusters = frozen(components(links))
     folder = scratch_path(spark, "clusters")
     shelves = max(1, clusters.count() // 100_000)

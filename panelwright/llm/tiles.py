@@ -16,13 +16,18 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import frozen
 
 
-def tiled(members: DataFrame, group: list[str], spread: str, block: int) -> DataFrame:
+def tiled(members: DataFrame, group: list[str], spread: str, block: int, differs: str | None = None) -> DataFrame:
     """Members of groups of two or more with ``tile`` (first and second block) and ``side`` (their own block).
 
     A member comes once for each tile of its block.  ``spread`` is a column
-    that tells members apart.
+    that tells members apart.  Groups whose members all have one value in
+    ``differs`` are left out.
     """
-    sizes = frozen(members.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1"))
+    several = F.min(differs or spread) != F.max(differs or spread)
+    sizes = frozen(
+        members.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"), several.alias("_several"))
+        .where("_size > 1 AND _several").drop("_several")
+    )
     own = members.join(sizes, group).withColumn("_blocks", F.ceil(F.col("_size") / block).cast("int")).withColumn(
         "side", F.pmod(F.xxhash64(spread), F.col("_blocks")).cast("int")
     )
