@@ -3,8 +3,11 @@
 Unit vectors are rounded to int8 with a scale of their own.  With ``u = s q + e``
 the cosine of two vectors differs from ``s s' q.q'`` by at most
 ``|sq||e'| + |e||s'q'| + |e||e'|``, and both norms of the rounding errors are
-known exactly.  Only pairs that may reach the threshold are computed in double
-precision.  Equal vectors are one vector with a number of copies.
+known exactly.  Tiles get codes, scales and norms only, and settle every pair
+whose bounds lie on one side of the threshold.  The full vectors go only to
+tiles with doubtful pairs, and only those with a part in them; there the cosine
+is computed in double precision.  Equal vectors are one vector with a number of
+copies.
 """
 
 from __future__ import annotations
@@ -34,46 +37,94 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return codes, scale, np.linalg.norm(rounded, axis=1), np.linalg.norm(unit - rounded, axis=1)
 
 
-def upper_bounds(left: tuple, right: tuple) -> np.ndarray:
-    """What the cosines of two sets of quantised vectors can be at most."""
+def bounds(left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """What the cosines of two sets of quantised vectors are at least and at most."""
     (a, s, n, e), (b, t, m, f) = left, right
     product = np.zeros((len(a), len(b)))
     for start in range(0, a.shape[1], EXACT):
         part = slice(start, start + EXACT)
         product += a[:, part].astype(np.float32) @ b[:, part].astype(np.float32).T
+    product *= np.outer(s, t)
     slack = np.outer(n, f) + np.outer(e, m) + np.outer(e, f) + 1e-9
-    return product * np.outer(s, t) + slack
+    return product - slack, product + slack
 
 
-def _links(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
-    table = table.combine_chunks()
-    rows, side = table.column("row").to_numpy(), table.column("side").to_numpy()
-    copies = table.column("copies").to_numpy()
-    width = table.column("width")[0].as_py()
-    vectors = table.column("vector").chunk(0).flatten().to_numpy().reshape(-1, width)
-    vectors = vectors / np.abs(vectors).max(axis=1)[:, None]  # no overflow in the squares
-    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-    low = np.flatnonzero(side == table.column("i")[0].as_py())
+def _units(vectors: pa.ListArray, width: int) -> np.ndarray:
+    given = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    given = given / np.abs(given).max(axis=1)[:, None]  # no overflow in the squares
+    return given / np.linalg.norm(given, axis=1)[:, None]
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Int8 codes of the vectors, one after another as bytes."""
+    for batch in batches:
+        widths = batch.column("width").to_numpy()
+        for width in np.unique(widths).tolist():
+            own = batch.filter(pa.array(widths == width))
+            codes, scale, norm, error = quantised(_units(own.column("vector"), width))
+            yield pa.RecordBatch.from_arrays(
+                [own.column("row"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(norm),
+                 pa.array(error)],
+                ["row", "codes", "scale", "norm", "error"],
+            )
+
+
+def _doubtful(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, in a tile, of the pairs surely linked and of the pairs that may be."""
+    side, width = table.column("side").to_numpy(), table.column("width")[0].as_py()
+    codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(-1, width)
+    quantities = (codes, *(table.column(c).to_numpy() for c in ("scale", "norm", "error")))
     same = table.column("i")[0] == table.column("j")[0]
+    low = np.flatnonzero(side == table.column("i")[0].as_py())
     high = low if same else np.flatnonzero(side != table.column("i")[0].as_py())
-    bound = upper_bounds(quantised(unit[low]), quantised(unit[high]))
-    a, b = np.nonzero(np.triu(bound >= threshold, 1) if same else bound >= threshold)
-    a, b = low[a], high[b]
-    sure = np.concatenate([
-        np.einsum("ij,ij->i", unit[a[s : s + PAIRS]], unit[b[s : s + PAIRS]]) >= threshold
-        for s in range(0, len(a), PAIRS)
-    ]) if len(a) else np.zeros(0, bool)
-    a, b = a[sure], b[sure]
-    if not len(a):
-        return
+    least, most = bounds(*(tuple(q[part] for q in quantities) for part in (low, high)))
+    sure, maybe = least >= threshold, (most >= threshold) & (least < threshold)
+    if same:
+        sure, maybe = np.triu(sure, 1), np.triu(maybe, 1)
+    (a, b), (c, d) = np.nonzero(sure), np.nonzero(maybe)
+    return low[a], high[b], low[c], high[d]
+
+
+def _counted(rows: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list, list, list]:
+    """Links of each row of a tile, by copies, and links that join the same components."""
     links = np.bincount(a, copies[b], len(rows)) + np.bincount(b, copies[a], len(rows))
     joined = forest(np.column_stack([a, b]), len(rows))
     some = np.flatnonzero(links)
+    return (
+        [*rows[some], *rows[joined[:, 0]]], [*[None] * len(some), *rows[joined[:, 1]]],
+        [*links[some].astype(np.int64), *[0] * len(joined)],
+    )
+
+
+def _settled(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links that the bounds of a tile settle; rows with a doubtful pair, with their tile."""
+    table = table.combine_chunks()
+    rows = table.column("row").to_numpy()
+    a, b, c, d = _doubtful(table, threshold)
+    u, v, links = _counted(rows, table.column("copies").to_numpy(), a, b)
+    open_ = rows[np.unique(np.concatenate([c, d]))]
+    i, j = (table.column(x)[0].as_py() for x in ("i", "j"))
+    none, doubt = [None] * len(u), [None] * len(open_)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([*u, *open_], pa.int64()), pa.array([*v, *doubt], pa.int64()), pa.array([*links, *doubt], pa.int64()),
+         pa.array([*none, *[i] * len(open_)], pa.int32()), pa.array([*none, *[j] * len(open_)], pa.int32())],
+        ["a", "b", "links", "i", "j"],
+    )
+
+
+def _computed(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links among the doubtful pairs of a tile, from the full vectors."""
+    table = table.combine_chunks()
+    rows = table.column("row").to_numpy()
+    _, _, a, b = _doubtful(table, threshold)
+    unit = _units(table.column("vector").chunk(0), table.column("width")[0].as_py())
+    sure = np.concatenate([np.zeros(0, bool), *(
+        np.einsum("ij,ij->i", unit[a[s : s + PAIRS]], unit[b[s : s + PAIRS]]) >= threshold
+        for s in range(0, len(a), PAIRS)
+    )])
+    u, v, links = _counted(rows, table.column("copies").to_numpy(), a[sure], b[sure])
     yield pa.RecordBatch.from_arrays(
-        [pa.array([*rows[some], *rows[joined[:, 0]]], pa.int64()),
-         pa.array([*[None] * len(some), *rows[joined[:, 1]]], pa.int64()),
-         pa.array([*links[some].astype(np.int64), *[0] * len(joined)], pa.int64())],
-        ["a", "b", "links"],
+        [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(links, pa.int64())], ["a", "b", "links"]
     )
 
 
@@ -104,11 +155,21 @@ def vector_links(
         .agg(F.min(F.coalesce("id", last)).alias("first"), F.count(F.lit(1)).alias("copies"))
         .withColumns({"row": F.monotonically_increasing_id(), "width": F.size("vector")})
     )
-    tiles = tiled(single.select("row", "label", "width", "copies"), ["label", "width"], "row", BLOCK)
-    pairs = frozen(per_tile(
-        tiles.join(single.select("row", "vector"), "row"), ["label", "width"], partial(_links, threshold=threshold),
-        "a bigint, b bigint, links bigint",
+    coded = frozen(single.select("row", "width", "vector").mapInArrow(
+        _codes, "row bigint, codes binary, scale double, norm double, error double"
+    ))
+    group = ["label", "width"]
+    tiles = tiled(single.select("row", *group, "copies"), group, "row", BLOCK)
+    settled = frozen(per_tile(
+        tiles.join(coded, "row"), group, partial(_settled, threshold=threshold),
+        "a bigint, b bigint, links bigint, i int, j int",
     ))
+    needed = settled.where("i IS NOT NULL").select(F.col("a").alias("row"), "i", "j")
+    computed = per_tile(
+        tiles.join(needed, ["row", "i", "j"]).join(coded, "row").join(single.select("row", "vector"), "row"), group,
+        partial(_computed, threshold=threshold), "a bigint, b bigint, links bigint",
+    )
+    pairs = frozen(settled.where("i IS NULL").select("a", "b", "links").unionByName(computed))
     counted = pairs.groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
     classes = components(pairs.where("b IS NOT NULL")).withColumnRenamed("node", "row")
     named = frozen(

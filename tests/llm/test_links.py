@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -82,13 +83,62 @@ def test_near_duplicates_of_odd_rows(odd):
     assert kept.schema == odd.schema and kept.count() == odd.count() - 3
 
 
+def depths_tried(monkeypatch):
+    tried = []
+    nodes = shingle_join._nodes
+
+    def watched(tries, depth, before):
+        tried.append(depth)
+        return nodes(tries, depth, before)
+
+    monkeypatch.setattr(shingle_join, "_nodes", watched)
+    return tried
+
+
 def test_prefixes_are_shortened_until_links_are_found(docs_of, monkeypatch):
     monkeypatch.setattr(shingle_join, "TREES", 4)
     monkeypatch.setattr(shingle_join, "_FACTORS", shingle_join._FACTORS[:24])
+    tried = depths_tried(monkeypatch)
     texts = corpus(random.Random(13))
     rows = shingle_join.near_duplicates(docs_of(texts), target=0.99999).collect()
     wanted = plain_near(texts)
     assert sum((r["class_id"], r["n_links"]) == wanted[r["doc_id"]] for r in rows) >= 0.97 * len(texts)
+    assert tried[0] == 6 and tried[-1] == 1 and tried == sorted(set(tried), reverse=True)
+
+
+@pytest.mark.parametrize("changed, last", [(0, 6), (1, 6), (12, 6), (40, 4)])
+def test_prefixes_are_as_long_as_the_pairs_seen_allow(docs_of, monkeypatch, changed, last):
+    tried = depths_tried(monkeypatch)
+    rng = random.Random(19)
+    texts = []
+    for _ in range(40):  # the last words are changed: (400 - changed) / (400 + changed) of the shingles are common
+        own = [str(rng.getrandbits(60)) for _ in range(404)]
+        texts += [" ".join(own), " ".join(own[: 404 - changed] + [f"x{rng.getrandbits(60)}" for _ in range(changed)])]
+    rows = {r["doc_id"]: r["class_id"] for r in shingle_join.near_duplicates(docs_of(texts)).collect()}
+    assert all(rows[i] == rows[i + 1] == i for i in range(0, 80, 2))
+    assert tried[0] == 6 and tried[-1] == last
+
+
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_entries_know_what_they_share_with_their_neighbours(size):
+    rng = np.random.default_rng(20)
+    keys = rng.integers(0, 3, (300, 7)).astype(np.int32)
+    keys = keys[np.lexsort(keys.T[::-1])]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(300)), *[pa.array(keys[:, c]) for c in range(7)]], ["row", "tree", *shingle_join.LEVELS]
+    )
+    got = {
+        r["row"]: r["shared"]
+        for part in shingle_join._neighbours(batch.slice(s, size) for s in range(0, 300, size)) for r in part.to_pylist()
+    }
+
+    def common(a, b):
+        return max(0, next((n for n in range(7) if a[n] != b[n]), 7) - 1)
+
+    for n in range(1, 299):
+        wanted = max(common(keys[n], keys[n - 1]), common(keys[n], keys[n + 1]))
+        assert got.get(n, 0) == wanted
+    assert got[0] == got[299] == 6
 
 
 def test_borderline_pairs_are_found_beside_many_near_copies(docs_of):
@@ -160,8 +210,34 @@ def test_bounds_hold_for_every_pair():
         unit = rng.normal(size=(60, width)) * rng.lognormal(0, 2, (60, width))
         unit /= np.linalg.norm(unit, axis=1)[:, None]
         codes = vector_links.quantised(unit)
-        bound = vector_links.upper_bounds(codes, codes)
-        assert (bound >= unit @ unit.T - 1e-12).all() and (bound - unit @ unit.T).max() < 0.2
+        least, most = vector_links.bounds(codes, codes)
+        exact = unit @ unit.T
+        assert (most >= exact - 1e-12).all() and (most - exact).max() < 0.2
+        assert (least <= exact + 1e-12).all() and (exact - least).max() < 0.2
+
+
+def test_only_doubtful_vectors_are_read_in_full(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    base = rng.normal(size=(20, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    near = base + rng.normal(size=base.shape) * 0.001  # surely linked
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(axis=1)[:, None] * base
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    edge = [b * c + o * (1 - c * c) ** 0.5 for b, o, c in zip(base[:2], other, (0.931, 0.929))]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate([*base, *near, *edge])]
+    read = []
+    tile = vector_links.per_tile
+
+    def watched(tiles, group, function, schema):
+        if "vector" in tiles.columns:
+            read.extend(r["row"] for r in tiles.select("row").collect())
+        return tile(tiles, group, function, schema)
+
+    monkeypatch.setattr(vector_links, "per_tile", watched)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: tuple(r)[1:] for r in vector_links.vector_links(df).collect()}
+    assert got == plain_vectors(rows) and 2 <= len(read) <= 6
 
 
 def test_pipeline_stages_keep_their_contract(spark):
