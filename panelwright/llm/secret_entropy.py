@@ -34,13 +34,14 @@ CLASSES = (
 )
 #: Words as letter case shows them; strings without a digit are suspect if there is one for every four characters or fewer.
 CASE_WORD, CASE_WORD_LENGTH = r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", 4
-#: Candidates that are never reported by entropy alone.
+#: What is never reported by entropy alone: windows that overlap a match are acquitted, the rest of a candidate is not.
+#: Identifiers, dated names and paths of words are bounded in length, so that no long secret passes for one of them.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|sample|dummy|placeholder|your[_-]",
     r"(?i)0123456789|abcdefgh|(.)\1{7}",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"//|^/?([A-Za-z_]+/){2}",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_=-]{0,80}",
+    r"^//[^/]{0,80}(?:/[^/]{0,40})*$|^/?(?:[A-Za-z_]+/){2}(?:[^/]{0,40}/)*[^/]{0,40}$",
 )
 _STEP = 256
 
@@ -133,7 +134,10 @@ def window_entropy(value: Column, window: int) -> Column:
 
 
 def _suspect(value: Column, window: int, allowed: Sequence[str]) -> Column:
-    """Whether a candidate, or a part of it between separators, has a window that reaches the bound of its class."""
+    """Whether a candidate has a window that reaches the bound of its class and overlaps nothing allowed.
+
+    What lies between allowed parts is judged whole, and by its parts between separators.
+    """
     def reaches(part: Column) -> Column:
         bits = F.when(F.lit(False), F.lit(0.0))
         for name, pattern, least in CLASSES:
@@ -144,9 +148,13 @@ def _suspect(value: Column, window: int, allowed: Sequence[str]) -> Column:
             bits = bits.when(fits, F.lit(least))
         return F.when(bits.isNotNull(), window_entropy(part, window) >= bits).otherwise(F.lit(False))
 
-    parts = F.filter(F.split(value, r"[^A-Za-z0-9]+"), lambda p: F.length(p) >= window)
-    free = ~value.rlike("|".join(f"(?:{a})" for a in allowed)) if allowed else F.lit(True)
-    return F.when(free, F.exists(F.array_union(F.array(value), parts), reaches)).otherwise(F.lit(False))
+    def long_parts(whole: Column, between: str) -> Column:
+        return F.filter(F.split(whole, between, -1), lambda p: F.length(p) >= window)
+
+    pieces = long_parts(value, "|".join(f"(?:{a})" for a in allowed)) if allowed else F.array(value)
+    return _let(pieces, lambda free: F.exists(
+        F.array_union(free, F.flatten(F.transform(free, lambda p: long_parts(p, r"[^A-Za-z0-9]+")))), reaches
+    ))
 
 
 def find_secrets(
@@ -157,8 +165,9 @@ def find_secrets(
 
     ``spans`` has the base spans and, of the other strings of 20 or more
     characters, those with a window whose entropy reaches the bound of the
-    character class of the string, or of its part between separators, unless
-    they are allowed or touch a base span.  A null
+    character class of the string, or of its part between separators, without
+    overlapping an ``allowed`` part (patterns may refer back to the first group
+    of all of them only), unless they touch a base span.  A null
     text counts as empty and has no spans; repeated rows and null keys stay
     rows of their own; other columns are not looked at.
     """

@@ -168,6 +168,29 @@ def test_random_tokens_are_found_and_words_are_not(docs_of):
     assert len(spans[0]) == 1 and [w for i, w in enumerate(words, 1) if spans[i]] == []
 
 
+def test_an_allowed_part_acquits_only_windows_that_overlap_it(docs_of):
+    import random
+    import string
+
+    rng = random.Random(21)
+    alphabet = string.ascii_letters + string.digits + "+/"
+
+    def token(n, letters=alphabet):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    long_ones = [f"x {token(1024)} y" for _ in range(400)]
+    plain = alphabet[:62]
+    mixed = [f"{token(40, plain)}{part}{token(40, plain)}" for part in ("example", "0123456789", "aaaaaaaaa", "//", "your_")]
+    allowed = [
+        "123e4567-e89b-12d3-a456-426614174000", "//cdn3/assets/v2/Header2024Background/file", "2024-01-02-release-notes-V3-final",
+        "usr/lib/python3/site-packages/xYz12/abcQ", "my_example_key_0123456789_sample_A1",
+    ]
+    rows = secret_entropy.find_secrets(docs_of([*long_ones, *mixed, *allowed])).collect()
+    spans = [r["spans"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+    assert sum(not s for s in spans[:400]) <= 4
+    assert all(len(s) == 1 for s in spans[400:405]) and not any(spans[405:])
+
+
 def test_redaction_replaces_spans_and_keeps_columns(docs_of):
     docs = docs_of([*SECRETS, None, "clean text"])
     rows = {r["doc_id"]: r for r in secret_entropy.redact_secrets(docs).collect()}
