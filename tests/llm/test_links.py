@@ -170,6 +170,30 @@ def test_components(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_components_of_long_paths_over_many_tasks(spark):
+    """Links of one component lie in many tasks, so that stars of tasks must be joined over rounds."""
+    rng = np.random.default_rng(9)
+    names = rng.permutation(2_000)
+    links = [(int(a), int(b)) for path in np.split(names, [1_200, 1_900, 1_960]) for a, b in zip(path, path[1:])]
+    expected = {int(n): int(path.min()) for path in np.split(names, [1_200, 1_900, 1_960]) for n in path}
+    links += [(b, a) for a, b in links[::7]] + [(5, 5)]
+    df = spark.createDataFrame([links[i] for i in rng.permutation(len(links))], "a bigint, b bigint").repartition(40)
+    got = components.components(df.unionByName(spark.createDataFrame([(None, 3)], "a bigint, b bigint")))
+    assert {r["node"]: r["root"] for r in got.collect()} == expected
+    assert got.count() == len(expected)
+
+
+def test_stars_of_links():
+    rng = np.random.default_rng(10)
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    parent = {int(n): int(n) for n in np.concatenate([a, b])}
+    for _ in range(400):
+        for x, y in zip(a.tolist(), b.tolist()):
+            parent[x] = parent[y] = min(parent[x], parent[y])
+    nodes, roots = components.stars(a, b)
+    assert dict(zip(nodes.tolist(), roots.tolist())) == {n: r for n, r in parent.items() if n != r}
+
+
 def plain_vectors(rows, threshold=0.93):
     fit = {}
     for key, vector, label in rows:
