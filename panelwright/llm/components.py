@@ -62,16 +62,16 @@ def components(edges: DataFrame) -> DataFrame:
     links = frozen(given.mapInArrow(_joined, "u bigint, v bigint").distinct())
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        # What is joined back is a written table: a join fed by a shuffle alone can split a node with many links.
+        near = frozen(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
         if near.where("m < u AND n > 1").isEmpty():
+            discard(near)
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         nearest = near.select("u", F.least("m", "u").alias("m"))
         large = frozen(both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = F.explode(F.array("u", "v")).alias("u")
-        old, links = links, frozen(
-            large.join(least, "u").select(hung, F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        discard(old, large)
+        least = frozen(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        old, links = links, frozen(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(old, near, large, least)
