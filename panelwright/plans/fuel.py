@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.recode import fuel_of, lookup, matches_ignoring_case
 from ..operators.aggregates import first_by, matched_vs_unmatched
 from ..operators.reshape import pivot_flag
 from ..operators.spatial import best_match_per_row, nearest_within_radius
+from ..session import frozen
 
 
 def combustion_plants(units: DataFrame) -> DataFrame:
@@ -33,18 +34,31 @@ def site_coordinates(installations: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def fuel_match(installations: DataFrame, units: DataFrame, radius_km: float = 5.0) -> DataFrame:
-    """Installations with the nearest plant of their country inside the radius."""
-    plants = combustion_plants(units).select(
+def known_plants(units: DataFrame) -> DataFrame:
+    return combustion_plants(units).select(
         "registry_id", F.col("lat").alias("lat_plant"), F.col("lon").alias("lon_plant"),
         "fuel_type", "capacity_p", F.col("name_p").alias("name_plant"),
     )
+
+
+def _nearest(installations: DataFrame, plants: DataFrame, radius_km: float) -> DataFrame:
     return nearest_within_radius(
         site_coordinates(installations), plants, radius_km=radius_km, country="registry_id",
         left_place=("lat_site", "lon_site"), right_place=("lat_plant", "lon_plant"),
     )
 
 
+def fuel_match(installations: DataFrame, units: DataFrame, radius_km: float = 5.0) -> DataFrame:
+    """Installations with the nearest plant of their country inside the radius."""
+    return _nearest(installations, known_plants(units), radius_km)
+
+
+def place_match(installations: DataFrame, units: DataFrame, radius_km: float = 5.0) -> DataFrame:
+    """Installations with the place of their nearest plant: one row, however many plants share it."""
+    places = known_plants(units).select("registry_id", "lat_plant", "lon_plant").distinct()
+    return _nearest(installations, places, radius_km)
+
+
 def with_fuel(panel: DataFrame, matches: DataFrame) -> DataFrame:
     """Panel with one match per installation and a matched flag."""
     one = best_match_per_row(
@@ -67,14 +81,33 @@ def country_coverage(panel_with_fuel: DataFrame) -> DataFrame:
     )
 
 
-def plant_crosswalk(matches: DataFrame, units: DataFrame) -> DataFrame:
-    """Matched installations with the plant and unit codes at the same place."""
-    codes = units.select(
+def plant_crosswalk(matched_places: DataFrame, units: DataFrame) -> DataFrame:
+    """Matched installations with the plant and unit codes at the same place.
+
+    ``matched_places`` comes from ``place_match``.  Installations and codes are made
+    distinct before they meet, so the many rows of a crowded place are neither
+    shuffled nor sorted.  The same row can then come out twice only where one
+    installation has several nearest places and one code stands at several
+    places; such pairs alone are made distinct afterwards.
+    """
+    place = ["registry_id", "lat_plant", "lon_plant"]
+    site = ["installation_id", "install_name", "registry_id", "dist_km"]
+    code = ["registry_id", "name_plant", "fuel_type", "eic_p", "eic_g"]
+    listed = units.where(F.col("eic_p").isNotNull()).select(
         F.col("name_p").alias("name_plant"), F.col("lat").alias("lat_plant"),
         F.col("lon").alias("lon_plant"), "eic_p", "eic_g",
-    )
-    joined = matches.join(codes, ["name_plant", "lat_plant", "lon_plant"], "left")
-    return joined.where(F.col("eic_p").isNotNull()).select(
-        "installation_id", "install_name", "registry_id", "name_plant", "fuel_type", "dist_km",
-        "eic_p", "eic_g",
     ).distinct()
+    plants = known_plants(units).select(*place, "name_plant", "fuel_type").distinct()
+    codes = plants.join(listed, ["name_plant", "lat_plant", "lon_plant"]).select(*code, "lat_plant", "lon_plant")
+    # Written once, as both kinds of pairs read them.
+    sites = frozen(_with_repeats(matched_places.select(*site, "lat_plant", "lon_plant").distinct(), site, "_tied"))
+    codes = frozen(_with_repeats(codes, code, "_spread"))
+    twice = F.col("_tied") & F.col("_spread")
+    pairs = sites.join(codes, place)
+    columns = ["installation_id", "install_name", "registry_id", "name_plant", "fuel_type", "dist_km", "eic_p", "eic_g"]
+    return pairs.where(~twice).select(*columns).unionByName(pairs.where(twice).select(*columns).distinct())
+
+
+def _with_repeats(rows: DataFrame, by: list[str], flag: str) -> DataFrame:
+    """Flag rows that share all ``by`` columns, missing values included, with another row."""
+    return rows.withColumn(flag, F.count(F.lit(1)).over(W.partitionBy(*by)) > 1)

@@ -351,8 +351,8 @@ def pipe_fuel_match(t):
 SELECT DISTINCT installation_id, fuel AS fuel_type, 'P' || b.plant AS eic_p, eic_g FROM best b JOIN units u ON u.plant = b.plant""")
 def pipe_fuel_crosswalk(t):
     units = plant_units(t)
-    matches = fuel.fuel_match(installations(t), units, radius_km=400)
-    return fuel.plant_crosswalk(matches, units).select("installation_id", "fuel_type", "eic_p", "eic_g")
+    places = fuel.place_match(installations(t), units, radius_km=400)
+    return fuel.plant_crosswalk(places, units).select("installation_id", "fuel_type", "eic_p", "eic_g")
 
 
 @query("pipe_fuel_coverage", with_panel(f""", {_FUEL_SQL.strip()},
