@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import fixed_values as fv
@@ -41,24 +43,23 @@ def known_plants(units: DataFrame) -> DataFrame:
     )
 
 
-def _nearest(installations: DataFrame, plants: DataFrame, radius_km: float) -> DataFrame:
+def fuel_match(
+    installations: DataFrame, units: DataFrame, radius_km: float = 5.0, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Installations with the nearest plant of their country inside the radius.
+
+    With ``columns``, plants of one place that agree in them count once: a crowded
+    place gives an installation one row per combination, with no columns one row.
+    """
+    plants = known_plants(units)
+    if columns is not None:
+        plants = plants.select("registry_id", "lat_plant", "lon_plant", *columns).distinct()
     return nearest_within_radius(
         site_coordinates(installations), plants, radius_km=radius_km, country="registry_id",
         left_place=("lat_site", "lon_site"), right_place=("lat_plant", "lon_plant"),
     )
 
 
-def fuel_match(installations: DataFrame, units: DataFrame, radius_km: float = 5.0) -> DataFrame:
-    """Installations with the nearest plant of their country inside the radius."""
-    return _nearest(installations, known_plants(units), radius_km)
-
-
-def place_match(installations: DataFrame, units: DataFrame, radius_km: float = 5.0) -> DataFrame:
-    """Installations with the place of their nearest plant: one row, however many plants share it."""
-    places = known_plants(units).select("registry_id", "lat_plant", "lon_plant").distinct()
-    return _nearest(installations, places, radius_km)
-
-
 def with_fuel(panel: DataFrame, matches: DataFrame) -> DataFrame:
     """Panel with one match per installation and a matched flag."""
     one = best_match_per_row(
@@ -84,7 +85,7 @@ def country_coverage(panel_with_fuel: DataFrame) -> DataFrame:
 def plant_crosswalk(matched_places: DataFrame, units: DataFrame) -> DataFrame:
     """Matched installations with the plant and unit codes at the same place.
 
-    ``matched_places`` comes from ``place_match``.  Installations and codes are made
+    ``matched_places`` comes from ``fuel_match`` with no columns.  Installations and codes are made
     distinct before they meet, so the many rows of a crowded place are neither
     shuffled nor sorted.  The same row can then come out twice only where one
     installation has several nearest places and one code stands at several

@@ -351,7 +351,7 @@ def pipe_fuel_match(t):
 SELECT DISTINCT installation_id, fuel AS fuel_type, 'P' || b.plant AS eic_p, eic_g FROM best b JOIN units u ON u.plant = b.plant""")
 def pipe_fuel_crosswalk(t):
     units = plant_units(t)
-    places = fuel.place_match(installations(t), units, radius_km=400)
+    places = fuel.fuel_match(installations(t), units, radius_km=400, columns=[])
     return fuel.plant_crosswalk(places, units).select("installation_id", "fuel_type", "eic_p", "eic_g")
 
 
@@ -362,7 +362,7 @@ w AS (SELECT registry_id, nullif(count(DISTINCT unit) FILTER (NOT matched), 0) A
 SELECT registry_id, f AS "matched_FALSE", y AS "matched_TRUE", round_even(y * 100e0 / (y + f), 1) AS pct_matched FROM w"""))
 def pipe_fuel_coverage(t):
     panel = t.panel.select(F.col("unit").cast("string").alias("installation_id"), iso2("nation").alias("registry_id"))
-    matches = fuel.fuel_match(installations(t), plant_units(t), radius_km=400)
+    matches = fuel.fuel_match(installations(t), plant_units(t), radius_km=400, columns=["fuel_type"])
     return fuel.country_coverage(fuel.with_fuel(panel, matches))
 
 
@@ -376,7 +376,7 @@ def pipe_fuel_representativeness(t):
     panel = t.panel.select(
         F.col("unit").cast("string").alias("installation_id"), "verified", F.col("own").alias("state_ownership_pct_tv")
     )
-    matches = fuel.fuel_match(installations(t), plant_units(t), radius_km=400)
+    matches = fuel.fuel_match(installations(t), plant_units(t), radius_km=400, columns=["fuel_type"])
     out = fuel.representativeness(fuel.with_fuel(panel, matches))
     return round_all(round_all(out, "mean_value", "median_value", digits=3), "share_positive")
 

@@ -42,7 +42,7 @@ def test_crosswalk_equals_the_plain_join(spark, broadcast):
     want = plain.where("eic_p IS NOT NULL").select(*COLUMNS).distinct()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
-        got = fuel.plant_crosswalk(fuel.place_match(sites, units, 100.0), units)
+        got = fuel.plant_crosswalk(fuel.fuel_match(sites, units, 100.0, []), units)
         assert got.columns == COLUMNS
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
         # G1 is west and east of the site between them, yet comes once.
@@ -51,6 +51,17 @@ def test_crosswalk_equals_the_plain_join(spark, broadcast):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_plants_of_one_place_and_fuel_count_once(spark):
+    kinds = ["Fossil Gas", "Biomass"]
+    units = spark.createDataFrame([unit(f"P{i}", None, f"N{i}", 52.0, 10.0, kinds[i % 2]) for i in range(40)], UNIT)
+    sites = spark.createDataFrame(SITES, "id string, name string, registry_id string, latitudeGoogle double, longitudeGoogle double")
+    every, few = fuel.fuel_match(sites, units, 100.0), fuel.fuel_match(sites, units, 100.0, ["fuel_type"])
+    assert (every.count(), few.count()) == (4 * 40, 4 * 2)  # four sites within reach
+    panel = spark.createDataFrame([("1",), ("2",), ("4",)], "installation_id string")
+    with_every, with_few = (sorted(map(tuple, fuel.with_fuel(panel, m).collect())) for m in (every, few))
+    assert with_every == with_few and [r[-1] for r in with_few].count(True) == 1
+
+
 def rows_dealt(plan):
     """Rows written by the exchanges of an executed plan, written tables aside."""
     kind = plan.getClass().getSimpleName()
